@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pricewright.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from pricewright.llm.substring_dedup import OP3_SQL, op3_substring_dedup
+from pricewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
     "op3_substring_dedup": OP3_SQL,
+    "op5_exact_dedup": OP5_SQL,
 }
