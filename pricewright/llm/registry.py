@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from pricewright.llm.decontamination import OP7_SQL, op7_decontamination
 from pricewright.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from pricewright.llm.license_scan import op9_license_scan, op9_sql
 from pricewright.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from pricewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
     "op3_substring_dedup": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op7_decontamination": OP7_SQL,
+    "op9_license_scan": op9_sql(),
 }
