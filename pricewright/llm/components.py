@@ -1,0 +1,41 @@
+"""Connected components of links between documents, as Spark joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pricewright.session import materialize
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``links`` (u long, v long).
+
+    The component is its smallest node. Alternating large-star and small-star
+    steps: each joins the edges to the smallest neighbour of their node, with
+    partial aggregation, so a node of very many links is no bottleneck. Rounds
+    grow with the logarithm of the longest chain; each is written to the shared
+    folder. Self-links and null nodes are ignored.
+    """
+    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = materialize(edges.where("u <> v").distinct(), "edges")
+    before = _state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # large star: larger neighbours move to the smallest one
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: smaller neighbours and the node itself move to the smallest one
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pricewright.llm.decontamination import OP7_SQL, op7_decontamination
 from pricewright.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from pricewright.llm.license_scan import op9_license_scan, op9_sql
+from pricewright.llm.near_dedup import op2_near_dedup
 from pricewright.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from pricewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_decontamination": op7_decontamination,
