@@ -6,13 +6,17 @@ from pricewright.llm.decontamination import OP7_SQL, op7_decontamination
 from pricewright.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from pricewright.llm.license_scan import op9_license_scan, op9_sql
 from pricewright.llm.near_dedup import op2_near_dedup
+from pricewright.llm.quality_classifier import op6_quality_classifier
+from pricewright.llm.sentencepiece_codec import op4_sentencepiece
 from pricewright.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from pricewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
