@@ -1,11 +1,13 @@
 """Substring deduplication by seed and extend.
 
-1. *Seed.* Every document is winnowed: of each ``window`` consecutive words the
+0. *Copies.* A document whose words are all those of a smaller one repeats as a
+   whole, and is settled by one hash.
+1. *Seed.* Every other document is winnowed: of each ``window`` consecutive words the
    k-gram with the smallest hash is its anchor, so equal windows have equal
    anchors. Joining documents on anchors leaves those that two documents share.
 2. *Extend.* Around each shared anchor the match is extended both ways as far
    as the windows that chose this anchor reach, and those windows are matched
-   by a 128-bit key to the smallest doc_id where they start.
+   by a 96-bit key to the smallest doc_id where they start.
 3. *Keep.* Adjoining matched windows merge into maximal repeats of at least
    ``window`` words.
 
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +32,11 @@ from pricewright.llm.common import chunks, gram_hashes, load, raw, row_key, runs
 
 WINDOW = 13
 ANCHOR = 5
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 
 SEEDS = "grp long, key long, doc_id long, pos int, more binary"
-WINDOWS = "grp long, grp2 long, key long, doc_id long, pos int, more binary"
+WINDOWS = "grp long, grp2 int, key long, doc_id long, pos int, more binary"
 
 
 def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -76,7 +81,8 @@ def _settle(groups: list[np.ndarray], doc: np.ndarray, key: np.ndarray, pos: np.
         open_ = ~several
         open_[first_row] = True
     picked = order[open_]
-    columns = [g[picked].view(np.int64) for g in groups]
+    picked = picked[np.lexsort((pos[picked], key[picked]))]  # rows of a document compress well together
+    columns = [g[picked] for g in groups]
     none = pa.nulls(len(picked), pa.binary())
     yield _batch(columns, key[picked], doc[picked], pa.array(pos[picked], pa.int32()), none)
     sure = order[known]
@@ -85,16 +91,33 @@ def _settle(groups: list[np.ndarray], doc: np.ndarray, key: np.ndarray, pos: np.
         sure = sure[by]
         cut = np.flatnonzero(np.append(True, key[sure][1:] != key[sure][:-1]))
         packed = pa.array([np.unique(x).astype("<i4").tobytes() for x in np.split(pos[sure], cut[1:])], pa.binary())
-        spread = [key[sure][cut] for _ in groups]
+        spread = [key[sure][cut].view(np.uint64) for _ in groups]
         yield _batch(spread, key[sure][cut], doc[sure][cut], pa.nulls(len(cut), pa.int32()), packed)
 
 
 def _batch(groups: list[np.ndarray], key: np.ndarray, doc: np.ndarray, pos: pa.Array, more: pa.Array) -> pa.RecordBatch:
     names = ["grp", "grp2"][: len(groups)] + ["key", "doc_id", "pos", "more"]
-    arrays = [pa.array(g, pa.int64()) for g in groups] + [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pos, more]
+    arrays = [pa.array(groups[0].view(np.int64), pa.int64())]
+    arrays += [pa.array(g.astype(np.uint32).view(np.int32), pa.int32()) for g in groups[1:]]
+    arrays += [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pos, more]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _whole(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                digests = []
+                for text in raw(part):
+                    own = list(words(text))
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(own)) if len(own) >= window else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("doc_id"), pa.array(digests, pa.binary())], names=["key", "doc_id", "whole"]
+                )
+
+    return run
+
+
 def _seed(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,6 +125,8 @@ def _seed(window: int, anchor: int):
             for part in chunks(batch):
                 keys, docs = values(part, "key"), values(part, "doc_id")
                 for text, key, doc in zip(raw(part), keys, docs):
+                    if doc == NO_ID:
+                        continue
                     hashes = word_hashes(text)
                     at = np.unique(anchors(hashes, window, anchor))
                     if len(at):
@@ -132,7 +157,7 @@ def _extend(window: int, anchor: int):
                     near = np.isin(anchors(hashes, window, anchor), _positions(pos, more))
                     at = np.flatnonzero(near)
                     if len(at):
-                        one, two = gram_hashes(hashes, window, 2)[at], gram_hashes(hashes, window, 3)[at]
+                        one, two = gram_hashes(hashes, window, 2)[at], gram_hashes(hashes, window, 3)[at] >> np.uint64(32)
                         found.append((one, two, np.full(len(at), key), np.full(len(at), doc), at.astype(np.int32)))
             if found:
                 one, two, key, doc, pos = (np.concatenate(x) for x in zip(*found))
@@ -147,13 +172,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
 
     ``docs`` has doc_id and text; the keyed documents add ``key``. Starts come
     as one row per key: ``pos`` array<int> and ``more`` array<binary> (packed
-    little-endian int32). Documents of fewer than ``window`` words and null
+    little-endian int32), or ``all_of_it`` for a copy of a whole document. Documents of fewer than ``window`` words and null
     texts have none; rows without a doc_id neither match nor are matched; rows
     that share a doc_id count as one document.
     """
     keyed = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
-    with_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    seeds = keyed.where(F.col("doc_id").isNotNull()).mapInArrow(_seed(window, anchor), SEEDS)
+    rank = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
+    whole = keyed.mapInArrow(_whole(window), "key long, doc_id long, whole binary").where("whole is not null")
+    first = whole.groupBy("whole").agg(F.min("doc_id").alias("first_id"))
+    copies = whole.join(first, "whole").where("doc_id > first_id").select("key").distinct()
+    seeds = keyed.join(copies, "key", "left_anti").select("key", rank, "text").mapInArrow(_seed(window, anchor), SEEDS)
     by = Window.partitionBy("grp")
     shared = (
         seeds.withColumn("shared", F.col("more").isNotNull() | (F.min("doc_id").over(by) < F.max("doc_id").over(by)))
@@ -161,7 +189,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
         .groupBy("key")
         .agg(F.collect_list("pos").alias("pos"), F.collect_list("more").alias("more"))
     )
-    near = keyed.join(shared, "key").select("key", with_id.alias("doc_id"), "text", "pos", "more")
+    near = keyed.join(shared, "key").select("key", rank, "text", "pos", "more")
     windows = near.mapInArrow(_extend(window, anchor), WINDOWS)
     by = Window.partitionBy("grp", "grp2")
     starts = (
@@ -170,6 +198,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
         .groupBy("key")
         .agg(F.collect_list("pos").alias("pos"), F.collect_list("more").alias("more"))
     )
+    none = F.array().cast("array<int>"), F.array().cast("array<binary>")
+    starts = starts.withColumn("all_of_it", F.lit(False)).unionByName(
+        copies.select("key", none[0].alias("pos"), none[1].alias("more"), F.lit(True).alias("all_of_it"))
+    )
     return keyed, starts
 
 
@@ -177,11 +209,11 @@ def _apply(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                places = zip(part.column("pos").to_pylist(), part.column("more").to_pylist())
+                places = zip(part.column("pos").to_pylist(), part.column("more").to_pylist(), part.column("all_of_it").to_pylist())
                 total, gone, digest, spans = [], [], [], []
-                for text, (pos, more) in zip(raw(part), places):
+                for text, (pos, more, copy) in zip(raw(part), places):
                     own = list(words(text))
-                    at = _positions(pos, more)
+                    at = np.arange(len(own) - window + 1) if copy else _positions(pos, more)
                     kept = own
                     marks = np.zeros(0, np.int64)
                     if len(at):
