@@ -10,6 +10,7 @@ from pricewright.llm.quality_classifier import op6_quality_classifier
 from pricewright.llm.sentencepiece_codec import op4_sentencepiece
 from pricewright.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from pricewright.llm.token_counts import op10_token_counts
+from pricewright.llm.warc_revisits import OP8_SQL, op8_warc_revisits
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
@@ -25,5 +27,6 @@ ORACLES = {
     "op3_substring_dedup": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_decontamination": OP7_SQL,
+    "op8_warc_revisits": OP8_SQL,
     "op9_license_scan": op9_sql(),
 }
