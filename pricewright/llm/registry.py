@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pricewright.llm.decontamination import OP7_SQL, op7_decontamination
 from pricewright.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from pricewright.llm.language_id import op1_language_id, page_language_id
 from pricewright.llm.license_scan import op9_license_scan, op9_sql
 from pricewright.llm.near_dedup import op2_near_dedup
 from pricewright.llm.quality_classifier import op6_quality_classifier
@@ -13,6 +15,9 @@ from pricewright.llm.token_counts import op10_token_counts
 from pricewright.llm.warc_revisits import OP8_SQL, op8_warc_revisits
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_language_id": op1_language_id,
+    "pages_language_id": page_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
