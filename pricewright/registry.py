@@ -1,4 +1,7 @@
 """All registered queries of the price engine and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pricewright.operators import offers
+
+MODULES = [offers]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: text for module in MODULES for name, text in module.ORACLES.items()}
