@@ -1,7 +1,7 @@
 """All registered queries of the price engine and their SQL oracles."""
 
-from pricewright.operators import activity, history, offers, search
+from pricewright.operators import activity, history, matching, offers, search
 
-MODULES = [offers, history, activity, search]
+MODULES = [offers, history, activity, search, matching]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in MODULES for name, text in module.ORACLES.items()}
