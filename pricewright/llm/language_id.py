@@ -27,6 +27,10 @@ UNKNOWN = "und"
 BUCKETS = 1 << 13
 #: Neighbouring trigrams tell much the same, so their likelihood counts in part.
 TEMPER = 0.25
+#: Nats by trigram that a text must fall below even odds to look like none of the languages.
+MARGIN = 1.5
+#: Letters in lower case; all else is a space, so numbers, keys and addresses say little.
+LETTERS = bytes(32 if 48 <= c <= 57 else c for c in ALNUM)
 #: Documents that the wider prior is worth in a narrower one.
 SMOOTHING = 20.0
 #: Posterior probability below which a language is not accepted.
@@ -36,7 +40,7 @@ LEAST = 0.5
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed trigrams of all texts, text of each)."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts).translate(ALNUM), np.uint8).astype(np.uint32)
+    data = np.frombuffer(b"".join(texts).translate(LETTERS), np.uint8).astype(np.uint32)
     if len(data) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     of = np.repeat(np.arange(len(texts)), sizes)
@@ -64,7 +68,7 @@ def _count(languages: tuple[str, ...]):
 
 
 def likelihoods(train: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """Log likelihood of each hashed trigram by language, and even odds for ``und``; a table of fixed size.
+    """Log likelihood of each hashed trigram by language, and less than even odds for ``und``; a table of fixed size.
 
     ``train`` has text and declared; rows of other or no languages are left out.
     """
@@ -74,7 +78,7 @@ def likelihoods(train: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.
     table[rows.column("cell").to_numpy()] += rows.column("n").to_numpy()
     table = table.reshape(len(languages), BUCKETS)
     logs = np.log(table / table.sum(1, keepdims=True))
-    return np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS))]).astype(np.float32)
+    return np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS) - MARGIN)]).astype(np.float32)
 
 
 def _score(table: np.ndarray):
@@ -115,8 +119,8 @@ def identify(docs: DataFrame, table: np.ndarray, languages: tuple[str, ...] = LA
 
     ``docs``: doc_id, text, declared, host and suffix (any may be null: a null
     host has the corpus prior, a null or unlisted declaration or suffix counts
-    as such). A document is accepted unless it has no trigram of letters or
-    digits, looks like none of the languages, or leaves the posterior below
+    as such). A document is accepted unless it has no trigram of letters,
+    looks like none of the languages, or leaves the posterior below
     ``least``. Repeated rows give a row each, and ties go to the first language.
     """
     classes = [*languages, UNKNOWN]
