@@ -8,7 +8,6 @@ from conftest import words
 from pricewright.llm import exact_dedup as ed
 from pricewright.llm import near_dedup as nd
 from pricewright.llm import substring_dedup as sd
-from pricewright.llm.components import components
 
 
 def brute_substring(rows, window=13):
@@ -137,12 +136,3 @@ def test_samples_estimate_weighted_jaccard():
     sampler = nd.Sampler(600)
     same = (sampler(a[0], wa) == sampler(b[0], wb)).mean()
     assert abs(same - nd.weighted_jaccard((a[0], wa), (b[0], wb))) < 0.07
-
-
-def test_components_of_chains_and_stars(spark):
-    chain = [(i, i + 1) for i in range(20)]
-    star = [(100, i) for i in range(101, 160)]
-    rows = spark.createDataFrame([*chain, *star, (5, 5), (300, 299)], "u long, v long")
-    got = dict(tuple(r) for r in components(rows).collect())
-    assert got == {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 160)}, 300: 299, 299: 299}
-    assert components(rows.limit(0)).count() == 0
