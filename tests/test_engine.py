@@ -192,3 +192,13 @@ def test_feeds(spark, tmp_path):
     assert one(spark, feeds.usable_url(F.col("u")), u="https://www.google.com/x") is False and one(spark, feeds.usable_url(F.col("u")), u="no url") is True
     sku = spark.createDataFrame([("s1",)], "sku string")
     assert {r.url for r in feeds.curated(sku, [("a", "http://a/"), ("b", "http://b/")]).collect()} == {"http://a/s1", "http://b/s1"}
+
+
+def test_judged_pairs_keep_the_more_confident(spark):
+    from pricewright.plans import matching_deep as md
+
+    schema = "anchor_id long, candidate_id long, decision string, confidence double"
+    held = spark.createDataFrame([(1, 2, "same", 0.6)], schema)
+    new = spark.createDataFrame([(2, 1, "different", 0.9), (5, 4, "same", 0.5), (3, 3, "same", 1.0)], schema)
+    assert sorted(tuple(r) for r in md.upsert_decision(held, new).collect()) == [(1, 2, "different", 0.9), (4, 5, "same", 0.5)]
+    assert md.expand_query("Galaxy24 best tv", {"tv": "television"}, ["best"]) == ["galaxy24 best tv", "galaxy 24 best television", "galaxy24 tv"]
