@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewright.llm.common import load, row_key
+from pricewright.session import materialize
 
 K = 3
 #: Diagonals at most this far apart belong to one span.
@@ -110,7 +111,7 @@ def license_scan(
     schema = "template int, label string, base boolean, at int, gram array<string>, n_grams int"
     grams = docs.sparkSession.createDataFrame(table, schema)
     grams = grams.withColumn("hash", F.xxhash64(*(F.col("gram")[i] for i in range(K))))
-    votes = diagonals(docs, grams)
+    votes = materialize(diagonals(docs, grams), "votes")  # read twice below
     whole = F.col("base") & (F.bit_count("mask") == F.col("n_grams"))
     places = votes.where(whole).select(
         "key", "label", F.col("diagonal").alias("place"), F.lit(1.0).alias("share"), F.lit(True).alias("base")
