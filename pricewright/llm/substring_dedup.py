@@ -35,8 +35,8 @@ ANCHOR = 5
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
-SEEDS = "grp long, key long, doc_id long, pos int, more binary"
-WINDOWS = "grp long, grp2 int, key long, doc_id long, pos int, more binary"
+SEEDS = "grp long, key long, doc_id long, pos int, also binary, more binary"
+WINDOWS = "grp long, grp2 int, key long, doc_id long, pos int, also binary, more binary"
 
 
 def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -63,7 +63,7 @@ def _settle(groups: list[np.ndarray], doc: np.ndarray, key: np.ndarray, pos: np.
     """
     if not len(pos):
         return
-    order = np.lexsort((doc, *groups[::-1]))
+    order = np.lexsort((key, doc, *groups[::-1]))
     new = np.zeros(len(order), bool)
     new[0] = True
     for g in groups:
@@ -80,26 +80,37 @@ def _settle(groups: list[np.ndarray], doc: np.ndarray, key: np.ndarray, pos: np.
         known = several
         open_ = ~several
         open_[first_row] = True
-    picked = order[open_]
-    picked = picked[np.lexsort((pos[picked], key[picked]))]  # rows of a document compress well together
+    picked, of = order[open_], group[open_]
+    head = np.append(True, (of[1:] != of[:-1]) | (key[picked][1:] != key[picked][:-1]))
+    cut = np.flatnonzero(head)  # a group's positions in one document share a row
+    size = np.diff(np.append(cut, len(picked)))
+    also: list = [None] * len(cut)
+    for i in np.flatnonzero(size > 1):
+        also[i] = _pack(pos[picked[cut[i] + 1 : cut[i] + size[i]]])
+    picked = picked[cut]
+    tidy = np.lexsort((pos[picked], key[picked]))  # rows of a document compress well together
+    picked, none = picked[tidy], pa.nulls(len(cut), pa.binary())
     columns = [g[picked] for g in groups]
-    none = pa.nulls(len(picked), pa.binary())
-    yield _batch(columns, key[picked], doc[picked], pa.array(pos[picked], pa.int32()), none)
+    yield _batch(columns, key[picked], doc[picked], pa.array(pos[picked], pa.int32()), pa.array([also[i] for i in tidy], pa.binary()), none)
     sure = order[known]
     if len(sure):
         by = np.lexsort((pos[sure], key[sure]))
         sure = sure[by]
         cut = np.flatnonzero(np.append(True, key[sure][1:] != key[sure][:-1]))
-        packed = pa.array([np.unique(x).astype("<i4").tobytes() for x in np.split(pos[sure], cut[1:])], pa.binary())
+        packed = pa.array([_pack(x) for x in np.split(pos[sure], cut[1:])], pa.binary())
         spread = [key[sure][cut].view(np.uint64) for _ in groups]
-        yield _batch(spread, key[sure][cut], doc[sure][cut], pa.nulls(len(cut), pa.int32()), packed)
+        yield _batch(spread, key[sure][cut], doc[sure][cut], pa.nulls(len(cut), pa.int32()), pa.nulls(len(cut), pa.binary()), packed)
 
 
-def _batch(groups: list[np.ndarray], key: np.ndarray, doc: np.ndarray, pos: pa.Array, more: pa.Array) -> pa.RecordBatch:
-    names = ["grp", "grp2"][: len(groups)] + ["key", "doc_id", "pos", "more"]
+def _pack(pos: np.ndarray) -> bytes:
+    return np.unique(pos).astype("<i4").tobytes()
+
+
+def _batch(groups: list[np.ndarray], key: np.ndarray, doc: np.ndarray, pos: pa.Array, also: pa.Array, more: pa.Array) -> pa.RecordBatch:
+    names = ["grp", "grp2"][: len(groups)] + ["key", "doc_id", "pos", "also", "more"]
     arrays = [pa.array(groups[0].view(np.int64), pa.int64())]
     arrays += [pa.array(g.astype(np.uint32).view(np.int32), pa.int32()) for g in groups[1:]]
-    arrays += [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pos, more]
+    arrays += [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pos, also, more]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
@@ -187,7 +198,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
         seeds.withColumn("shared", F.col("more").isNotNull() | (F.min("doc_id").over(by) < F.max("doc_id").over(by)))
         .where("shared")
         .groupBy("key")
-        .agg(F.collect_list("pos").alias("pos"), F.collect_list("more").alias("more"))
+        .agg(F.collect_list("pos").alias("pos"), F.concat(F.collect_list("more"), F.collect_list("also")).alias("more"))
     )
     near = keyed.join(shared, "key").select("key", rank, "text", "pos", "more")
     windows = near.mapInArrow(_extend(window, anchor), WINDOWS)
@@ -196,7 +207,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
         windows.withColumn("covered", F.col("more").isNotNull() | (F.min("doc_id").over(by) < F.col("doc_id")))
         .where("covered")
         .groupBy("key")
-        .agg(F.collect_list("pos").alias("pos"), F.collect_list("more").alias("more"))
+        .agg(F.collect_list("pos").alias("pos"), F.concat(F.collect_list("more"), F.collect_list("also")).alias("more"))
     )
     none = F.array().cast("array<int>"), F.array().cast("array<binary>")
     starts = starts.withColumn("all_of_it", F.lit(False)).unionByName(
