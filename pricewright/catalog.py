@@ -84,9 +84,9 @@ class Catalog:
     @cached_property
     def offers(self) -> DataFrame:
         """Latest price point by product and store; one partial aggregation, no sort."""
-        rest = ["cents", "currency", "ngn", "discount", "recorded_at", "in_stock"]
+        rest = ["offer_id", "cents", "currency", "ngn", "discount", "recorded_at", "in_stock"]
         newest = F.max_by(F.struct(*rest), F.struct("recorded_at", "order_no", "line_no")).alias("o")
-        return self.points.groupBy("product_id", "store_id", "offer_id").agg(newest).select("product_id", "store_id", "offer_id", "o.*")
+        return self.points.groupBy("product_id", "store_id").agg(newest).select("product_id", "store_id", "o.*")
 
     @cached_property
     def live(self) -> DataFrame:

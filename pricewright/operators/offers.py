@@ -15,16 +15,12 @@ def best_offers(c: Catalog, at: str = AS_OF) -> DataFrame:
     price of the last 30 days (with two prices at least), or carry a discount.
     Flags are null where there is nothing to compare.
     """
+    rest = ["cents", "currency", "discount", "recorded_at", "in_stock"]
+    by_store = c.live.groupBy("product_id", "store_id").agg(F.min(F.struct("ngn", "offer_id", *rest)).alias("o")).select("product_id", "store_id", "o.*")
     by = Window.partitionBy("product_id").orderBy("ngn", "offer_id")
-    anchor = c.live.withColumn("rn", F.row_number().over(by)).where("rn = 1").drop("rn")
-    rival = c.live.select("product_id", F.col("store_id").alias("rival_store"), F.col("ngn").alias("rival_ngn"))
-    runner = (
-        anchor.select("product_id", "store_id")
-        .join(rival, "product_id")
-        .where("store_id <> rival_store")
-        .groupBy("product_id")
-        .agg(F.min("rival_ngn").alias("runner_ngn"))
-    )
+    # the next row of a product is the cheapest of another store
+    ranked = by_store.withColumn("rn", F.row_number().over(by)).withColumn("runner_ngn", F.lead("ngn").over(by))
+    anchor = ranked.where("rn = 1").drop("rn")
     hist = (
         c.points.where(F.col("recorded_at") > days_before(30, at))
         .groupBy("product_id")
@@ -33,8 +29,7 @@ def best_offers(c: Catalog, at: str = AS_OF) -> DataFrame:
     cheapest = F.col("ngn") * 100 < F.col("runner_ngn") * 99
     below = (F.col("n_points") >= 2) & (F.col("ngn") * 100 < F.col("high_ngn") * 99)
     return (
-        anchor.join(runner, "product_id", "left")
-        .join(hist, "product_id", "left")
+        anchor.join(hist, "product_id", "left")
         .withColumn("cross_store_cheapest", cheapest)
         .withColumn("below_30d_high", below)
         .withColumn("is_real_deal", (F.col("discount") > 0) | F.col("cross_store_cheapest") | F.col("below_30d_high"))
