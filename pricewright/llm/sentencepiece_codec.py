@@ -27,6 +27,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 THREADS = 2
+#: Bytes of text encoded at a time; an encoding takes a hundred times the memory of its text.
+BATCH_BYTES = 1 << 18
 
 
 @dataclass
@@ -120,7 +122,7 @@ def merges(model: Model) -> list[tuple[str, str]]:
 
 def build_tokenizer(model: Model):
     """The tokenizers pipeline of a model."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind not in (UNIGRAM, BPE) or model.space_as_suffix or not model.escape_spaces:
         raise ValueError("only unigram and BPE models with leading, escaped spaces are supported")
@@ -137,29 +139,59 @@ def build_tokenizer(model: Model):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
-    inner = any(SPACE in p.lstrip(SPACE) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
-    if not inner:  # no piece reaches over the start of a word, so words are encoded apart
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
     tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED])
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return tokenizer
 
 
-def _open(path: str, threads: int):
+class Codec:
+    """Encoding and decoding of batches with the pipeline of a model.
+
+    A normaliser that only marks spaces is applied to the text beforehand,
+    which spares the library its bookkeeping of positions. Decoding joins the
+    bytes of the pieces, and leaves what isn't valid UTF-8 to the library.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.whole = model, build_tokenizer(model)
+        self.marks_only = not model.charsmap and not model.remove_extra_spaces and all(kind != USER_DEFINED for *_, kind in model.pieces)
+        if self.marks_only:
+            self.bare = build_tokenizer(model)
+            self.bare.normalizer = None
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in model.pieces]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        tokenizer = self.whole
+        if self.marks_only:
+            prefix = SPACE if self.model.dummy_prefix else ""
+            tokenizer, texts = self.bare, [prefix + t.replace(" ", SPACE) if t else "" for t in texts]
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        out = []
+        for each in ids:
+            data = b"".join(map(self.bytes.__getitem__, each))
+            try:
+                out.append(data[self.model.dummy_prefix and data[:1] == b" " :].decode())
+            except UnicodeDecodeError:
+                out.append(self.whole.decode(each, skip_special_tokens=False))
+        return out
+
+
+def _open(path: str, threads: int) -> Codec:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     with open(path, "rb") as file:
-        return build_tokenizer(parse_model(file.read()))
+        return Codec(parse_model(file.read()))
 
 
 def _encode(path: str, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _open(path, threads)
+        codec = _open(path, threads)
         for batch in batches:
-            for part in chunks(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            for part in chunks(batch, limit=BATCH_BYTES):
+                ids = codec.encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -172,9 +204,9 @@ def encode(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
 
 def _decode(path: str, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _open(path, threads)
+        codec = _open(path, threads)
         for batch in batches:
-            texts = tokenizer.decode_batch([i or [] for i in batch.column("ids").to_pylist()], skip_special_tokens=False)
+            texts = codec.decode([i or [] for i in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
@@ -189,13 +221,13 @@ def _report(path: str, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        tokenizer = _open(path, threads)
+        codec = _open(path, threads)
         judge = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=BATCH_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                ids = codec.encode(texts)
+                back = codec.decode(ids)
                 judged = judge.encode(texts, num_threads=threads)
                 yield pa.RecordBatch.from_arrays(
                     [

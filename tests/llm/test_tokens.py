@@ -75,3 +75,13 @@ def test_unigram_scores_and_byte_fallback():
         ids = made.encode(text, add_special_tokens=False).ids
         assert ids == judge.encode(text), text
         assert made.decode(ids, skip_special_tokens=False) == judge.decode(ids)
+
+
+def test_codec_is_the_pipeline():
+    with open(MODEL, "rb") as file:
+        codec = sp.Codec(sp.parse_model(file.read()))
+    texts = [*ODD, "", " ", "a" * 300, "▁▁ x▁y  z"]
+    assert codec.marks_only
+    assert codec.encode(texts) == [e.ids for e in codec.whole.encode_batch(texts, add_special_tokens=False)]
+    broken = [[3 + 0xC3, 3 + 0x28], [], [5]]
+    assert codec.decode(broken) == codec.whole.decode_batch(broken, skip_special_tokens=False)
