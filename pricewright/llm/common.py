@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of one long text that are split into words at a time.
 PIECE_BYTES = 1 << 20
 
+#: Fixed value: the parameter of mallopt for the number of heaps.
+M_ARENA_MAX = -8
+
 WHITE = b" \t\n\r\x0b\x0c"
 #: Lower-cases A-Z and turns every other ASCII byte than 0-9 and a-z into a space.
 ALNUM = bytes(
@@ -34,6 +38,15 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def release() -> None:
+    """Give freed memory back to the system; allocators would keep it while a worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(M_ARENA_MAX, 2)  # threads of native libraries share their heaps
+        libc.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``limit`` bytes of ``text`` each."""
     if not batch.num_rows:
@@ -46,6 +59,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
