@@ -17,6 +17,14 @@ from pricewright.llm.sentencepiece_codec import encode_decode
 from pricewright.session import materialize
 
 
+#: Rows in one Arrow batch; whole texts pass through it, so fewer rows than Spark's default bound a task's memory.
+BATCH_ROWS = 2000
+
+
+def _spare_memory(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     """``docs`` less the rows with a dropped doc_id.
 
@@ -27,18 +35,22 @@ def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _spare_memory(spark)
     return _without(docs, identify_documents(docs).where("not accepted"), "other-languages")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _spare_memory(spark)
     return _without(docs, exact_dedup(docs).where("not kept"), "exact-copies")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _spare_memory(spark)
     return _without(docs, near_dedup(docs).where("not kept"), "near-copies")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _spare_memory(spark)
     items = load(spark, sf_dir, "benchmark", "item_id", "text")
     return _without(docs, decontaminate(docs, items).where("contaminated"), "contaminated")
 
@@ -46,6 +58,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    _spare_memory(spark)
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
