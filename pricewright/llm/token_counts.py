@@ -7,9 +7,11 @@ around them, and each distinct pre-token needs counting once.
 
 Blocks of documents are written as their distinct pre-tokens (the dictionary)
 and, per document, how often each occurs (frequencies, as packed indexes into
-the dictionary). Only dictionaries travel: joined to the piece counts of the
-distinct pre-tokens, they return to their blocks as numbers and are summed
-with the frequencies. A pre-token takes one row a block, however frequent.
+the dictionary). Only dictionaries travel, packed by hash bucket: where all of
+a bucket meets, each distinct pre-token is encoded once; the numbers return to
+their blocks and are joined to the frequencies there and summed. A pre-token
+is sent once a block, however frequent, and buckets grow in number with the
+documents, not in size.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +35,9 @@ from pricewright.session import materialize
 LIMIT = 1024
 #: Bytes of text in one block.
 BLOCK_BYTES = 48 << 20
-#: Entries of a dictionary that one row holds.
-DICTIONARY_ROW = 20_000
-BLOCKS = "block long, base int, words array<string>, doc_ids array<long>, sizes array<long>, distinct_words array<int>, packed binary"
+#: Documents for each hash bucket of pre-tokens, and the fewest buckets.
+BUCKET_DOCS, BUCKETS = 2000, 64
+BLOCKS = "block long, bucket int, base int, words binary, doc_ids array<long>, sizes array<long>, distinct_words array<int>, packed binary"
 
 PRE_TOKEN = re.compile(r"\s*\S+|\s+")
 #: Characters on which regular-expression libraries differ in what is white space.
@@ -53,43 +56,72 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[0].astype(np.int64), both[1].astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, limit=BLOCK_BYTES):
-            block = int.from_bytes(os.urandom(8), "little", signed=True)
-            vocabulary: defaultdict = defaultdict()
-            vocabulary.default_factory = vocabulary.__len__
-            index, times, distinct, sizes = [], [], [], []
-            for text in part.column("text").to_pylist():
-                text = text or ""
-                found = Counter([text] if UNCERTAIN.search(text) else PRE_TOKEN.findall(text))
-                found.pop("", None)
-                index.append(np.fromiter(map(vocabulary.__getitem__, found), np.uint32, len(found)))
-                times.append(np.fromiter(found.values(), np.uint32, len(found)))
-                distinct.append(len(found))
-                sizes.append(len(text) if text.isascii() else len(text.encode()))
-            order = [np.argsort(i) for i in index]
-            steps = [np.diff(i[o], prepend=np.uint32(0)) for i, o in zip(index, order)]
-            rows = [
-                {
-                    "block": block,
-                    "doc_ids": part.column("doc_id").to_pylist(),
-                    "sizes": sizes,
-                    "distinct_words": distinct,
-                    "packed": _pack(np.concatenate(steps), np.concatenate([t[o] for t, o in zip(times, order)])),
-                }
-            ]
-            held = list(vocabulary)
-            for base in range(0, len(held), DICTIONARY_ROW):
-                rows.append({"block": block, "base": base, "words": held[base : base + DICTIONARY_ROW]})
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+def _pack_words(words: list[str]) -> bytes:
+    data = [w.encode() for w in words]
+    lengths = np.fromiter(map(len, data), np.uint32, len(data)).astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(len(data).to_bytes(4, "little") + lengths + b"".join(data))
+
+
+def _unpack_words(packed: bytes) -> pa.Array:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.append(0, np.cumsum(np.frombuffer(raw, "<u4", n, 4))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 + 4 * n :]))
+
+
+def _blocks(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, limit=BLOCK_BYTES):
+                yield pa.RecordBatch.from_pylist(_block(part, buckets), schema=_ARROW)
+
+    return run
+
+
+def _block(part: pa.RecordBatch, buckets: int) -> list[dict]:
+    """The rows of one block: its frequencies, and its dictionary by bucket."""
+    block = int.from_bytes(os.urandom(8), "little", signed=True)
+    vocabulary: defaultdict = defaultdict()
+    vocabulary.default_factory = vocabulary.__len__
+    index, times, distinct, sizes = [], [], [], []
+    for text in part.column("text").to_pylist():
+        text = text or ""
+        found = Counter([text] if UNCERTAIN.search(text) else PRE_TOKEN.findall(text))
+        found.pop("", None)
+        index.append(np.fromiter(map(vocabulary.__getitem__, found), np.uint32, len(found)))
+        times.append(np.fromiter(found.values(), np.uint32, len(found)))
+        distinct.append(len(found))
+        sizes.append(len(text) if text.isascii() else len(text.encode()))
+    held = list(vocabulary)
+    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)).astype(np.int64) & (buckets - 1)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(held), np.uint32)
+    rank[order] = np.arange(len(held), dtype=np.uint32)
+    index = [rank[i] for i in index]
+    by_rank = [np.argsort(i) for i in index]
+    steps = [np.diff(i[o], prepend=np.uint32(0)) for i, o in zip(index, by_rank)]
+    rows = [
+        {
+            "block": block,
+            "doc_ids": part.column("doc_id").to_pylist(),
+            "sizes": sizes,
+            "distinct_words": distinct,
+            "packed": _pack(np.concatenate(steps), np.concatenate([t[o] for t, o in zip(times, by_rank)])),
+        }
+    ]
+    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(held))
+    for base, end in zip(cut[:-1], cut[1:]):
+        words = [held[i] for i in order[base:end]]
+        rows.append({"block": block, "bucket": int(bucket[order[base]]), "base": int(base), "words": _pack_words(words)})
+    return rows
 
 
 _ARROW = pa.schema(
     [
         ("block", pa.int64()),
+        ("bucket", pa.int32()),
         ("base", pa.int32()),
-        ("words", pa.list_(pa.string())),
+        ("words", pa.binary()),
         ("doc_ids", pa.list_(pa.int64())),
         ("sizes", pa.list_(pa.int64())),
         ("distinct_words", pa.list_(pa.int32())),
@@ -111,6 +143,8 @@ def check_tokenizer(path: str) -> None:
 
 
 def _count(path: str):
+    """Rows sorted by bucket get the pieces of their words; a bucket's distinct words are encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -118,19 +152,27 @@ def _count(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        now, known = None, {}
         for batch in batches:
-            for part in chunks(batch, "word"):
-                found = tokenizer.encode_batch_fast(part.column("word").to_pylist(), add_special_tokens=False)
-                n = np.fromiter(map(len, found), np.int64, len(found))
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(n)], names=["word", "n"])
+            out = []
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = _unpack_words(packed).to_pylist()
+                new = [w for w in words if w not in known]
+                known.update(zip(new, map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+                n = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+                out.append(zstandard.ZstdCompressor(level=1).compress(n.astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("base"), pa.array(out, pa.binary())], names=["home", "base", "n"])
 
     return run
 
 
 def _sum(rows: pa.Table, counts: pa.Table) -> pa.Table:
     block = rows.to_pylist()[0]
-    pieces = np.zeros(counts.num_rows, np.int64)
-    pieces[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+    ordered = sorted(zip(counts.column("base").to_pylist(), counts.column("n").to_pylist()))
+    each = [np.frombuffer(zstandard.ZstdDecompressor().decompress(n), "<u4") for _, n in ordered]
+    pieces = np.concatenate(each).astype(np.int64) if each else np.empty(0, np.int64)
     distinct = np.array(block["distinct_words"], np.int64)
     ends = np.cumsum(distinct)
     steps, times = _unpack(block["packed"])
@@ -156,11 +198,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     with characters whose class differs between libraries is counted whole.
     """
     check_tokenizer(path)
-    blocks = materialize(docs.select("doc_id", "text").mapInArrow(_blocks, BLOCKS), "blocks")
-    entries = blocks.where("words is not null").select("block", "base", F.posexplode("words").alias("i", "word"))
-    entries = entries.select(F.col("block").alias("home"), (F.col("base") + F.col("i")).alias("at"), "word")
-    pieces = entries.select("word").distinct().mapInArrow(_count(path), "word string, n long")
-    counted = entries.join(pieces, "word").select("home", "at", "n")
+    buckets = 1 << max(BUCKETS, docs.count() // BUCKET_DOCS).bit_length() - 1
+    blocks = materialize(docs.select("doc_id", "text").mapInArrow(_blocks(buckets), BLOCKS), "blocks")
+    entries = blocks.where("words is not null").select(F.col("block").alias("home"), "bucket", "base", "words")
+    counted = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(path), "home long, base int, n binary")
     frequencies = blocks.where("packed is not null").select("block", "doc_ids", "sizes", "distinct_words", "packed")
     summed = frequencies.groupBy("block").cogroup(counted.groupBy("home"))
     out = summed.applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
