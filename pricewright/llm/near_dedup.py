@@ -9,11 +9,13 @@
    Samples of two documents agree as often as their weighted Jaccard
    similarity. Documents that agree on a band are candidates.
 3. Documents with the same words are one node. In a bucket every node is
-   paired with the smallest one; nodes that look unlike it are dealt again by
-   pairs of bands, to find the partners they may have. Pairs grow with the
-   nodes, not with their square.
-4. Pairs whose samples agree often enough are verified by weighted Jaccard
-   similarity over whole texts; components of the verified links are classes.
+   paired with the smallest one. Pairs whose samples agree often enough are
+   verified by weighted Jaccard similarity over whole texts.
+4. A bucket whose nodes the verified links don't join stays open: first the
+   best partners of its nodes outside their components are verified, then all
+   pairs of nodes that are still in different components. No pair that shares a
+   band is left out, unless links already join it or its samples rule it out.
+5. Components of the verified links are classes.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ POOL = 1 << 14
 #: Share of a weight that doesn't depend on document frequency.
 FLOOR = 0.5
 SEED = 20_240_601
+#: Nodes of a bucket in one group; a tile pairs two groups, so a task holds a part of a large bucket.
+GROUP = 4096
+#: Pairs of signatures that a task compares at a time.
+AT_ONCE = 1 << 18
 
 SIGNATURES = "doc_id long, whole binary, signature binary, bands array<long>"
 
@@ -191,6 +197,90 @@ def _verify(idf: np.ndarray, threshold: float):
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    asked = materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
+    texts = texts.join(asked, "doc_id", "left_semi")  # few of the texts are shuffled
+    for end in ("u", "v"):
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    checked = pairs.select("u", "v", "text_u", "text_v").mapInArrow(_verify(idf, threshold), "u long, v long, similarity double")
+    return checked.where(F.col("similarity") >= threshold)
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, component, n): the buckets that hold more than one component, with their number of nodes."""
+    known = rows.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    sizes = materialize(sizes.where("least < most").select("bucket", "n"), "open-sizes")
+    return materialize(known.join(sizes, "bucket"), "open")
+
+
+def _tiles(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, tile, side, node, component, signature), sorted by tile: any two nodes of a bucket meet in a tile."""
+    groups = F.ceil(F.col("n") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("node"), groups).cast("int")
+    meet = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    dealt = held.withColumn("groups", groups).withColumn("side", own).withColumn("other", meet)
+    dealt = dealt.withColumn("tile", F.least("side", "other") * F.col("groups") + F.greatest("side", "other"))
+    signed = dealt.join(nodes.select("node", "signature"), "node").select("bucket", "tile", "side", "node", "component", "signature")
+    return signed.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "component", "node")
+
+
+def _partners(least: float, best: bool):
+    """Pairs in each tile that aren't in one component and whose samples agree at ``least`` so often; of ``best`` only one for each node."""
+
+    def pairs(side: np.ndarray, node: np.ndarray, component: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        across = side.min() < side.max()  # a tile of two groups: pairs within one have their own tile
+        step, at = max(1, AT_ONCE // len(node)), 0
+        while at < len(node):
+            to = min(at + step, len(node))
+            after = int(np.searchsorted(component, component[at], "right"))
+            if after == len(node):
+                return
+            agree = (sig[at:to, None] == sig[None, after:]).mean(2, dtype=np.float32)
+            agree[component[at:to, None] >= component[None, after:]] = -1
+            if across:
+                agree[side[at:to, None] == side[None, after:]] = -1
+            if best:
+                i, j = np.arange(to - at), agree.argmax(1)
+                some = agree[i, j] >= least
+                i, j = i[some], j[some]
+            else:
+                i, j = np.nonzero(agree >= least)
+            a, b = node[at:to][i], node[after:][j]
+            yield np.maximum(a, b), np.minimum(a, b)
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def found(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rest).combine_chunks()
+            column = {name: table.column(name).to_numpy() for name in ("bucket", "tile", "side", "node", "component")}
+            new = (np.diff(column["bucket"]) != 0) | (np.diff(column["tile"]) != 0)
+            ends = [0, *(np.flatnonzero(new) + 1).tolist(), *([table.num_rows] if last else [])]
+            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(table.num_rows, -1)
+            u, v, n = [], [], 0
+            for a, b in zip(ends, ends[1:]):
+                for x, y in pairs(*(column[name][a:b] for name in ("side", "node", "component")), sig[a:b]):
+                    u.append(x), v.append(y)
+                    n += len(x)
+                    if n >= AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                        u, v, n = [], [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+            rest[:] = table.slice(ends[-1]).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                rest.append(batch)
+                yield from found(False)
+        if rest:
+            yield from found(True)
+
+    return run
+
+
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links): nodes of documents, and verified links (u, v, similarity) between nodes.
 
@@ -205,20 +295,17 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     nodes = materialize(
         some.join(first, "whole").where("doc_id = node").select("node", "signature", "bands").dropDuplicates(["node", "signature"]), "nodes"
     )
-    star = materialize(_star(nodes.select("node", F.explode("bands").alias("bucket"))), "star")
-    sure, spread = threshold, 4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    seen = materialize(_agreement(star, nodes), "agreement")
-    weak = star.join(seen.where(F.col("agree") < sure).select("u", "v"), ["u", "v"]).select("bucket", F.col("u").alias("node")).distinct()
-    again = weak.join(nodes.select("node", F.explode("bands").alias("other")), "node").where("bucket <> other")
-    again = again.select("node", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
-    more = _agreement(_star(again), nodes)
-    likely = seen.unionByName(more).where(F.col("agree") >= sure - spread).select("u", "v").distinct()
-    likely = materialize(likely, "likely")
-    pairs = likely
-    for end in ("u", "v"):
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
-    checked = pairs.select("u", "v", "text_u", "text_v").mapInArrow(_verify(idf, threshold), "u long, v long, similarity double")
-    links = materialize(checked.where(F.col("similarity") >= threshold), "links")
+    star = _star(nodes.select("node", F.explode("bands").alias("bucket")))
+    least = threshold - 4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    compared = materialize(_agreement(star, nodes).where(F.col("agree") >= least).select("u", "v").distinct(), "likely")
+    links = materialize(_verified(compared, texts, idf, threshold), "links")
+    held = nodes.select("node", F.explode("bands").alias("bucket"))
+    for best in (True, False):
+        held = _open(held, components(links))
+        pairs = _tiles(held, nodes).mapInArrow(_partners(least, best), "u long, v long").distinct()
+        pairs = materialize(pairs.join(compared, ["u", "v"], "left_anti"), "partners")
+        links = links.unionByName(materialize(_verified(pairs, texts, idf, threshold), "links"))
+        compared = compared.unionByName(pairs)
     members = signed.join(first, "whole", "left").select("doc_id", "whole", "node")
     return members, links
 

@@ -3,11 +3,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from conftest import words
 
 from pricewright.llm import exact_dedup as ed
 from pricewright.llm import near_dedup as nd
 from pricewright.llm import substring_dedup as sd
+from pricewright.operators.graph import components
 
 
 def brute_substring(rows, window=13):
@@ -136,3 +138,28 @@ def test_samples_estimate_weighted_jaccard():
     sampler = nd.Sampler(600)
     same = (sampler(a[0], wa) == sampler(b[0], wb)).mean()
     assert abs(same - nd.weighted_jaccard((a[0], wa), (b[0], wb))) < 0.07
+
+
+def test_near_compares_all_pairs_of_crowded_buckets(make, monkeypatch):
+    """A family of unlike copies of one template, with planted near copies that no hub is like; one short band."""
+    monkeypatch.setattr(nd, "GROUP", 20)
+    draw = np.random.default_rng(8)
+    base, texts = words(200, 900), {}
+    for i in range(50):
+        own = list(base)
+        for at in range(0, 200, 32):
+            own[at + int(draw.integers(0, 3))] = f"own{i}x{at}"
+        texts[i] = " ".join(own)
+        for at in (110, 145, 180):
+            own[at] = f"copy{i}"
+        texts[100 + i] = " ".join(own)
+    docs = make(list(texts.items()))
+    idf = nd.idf_table(docs)
+    weights = {i: nd.weighted_shingles(t.encode(), idf) for i, t in texts.items()}
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "text": list(texts.values())})
+    (signed,) = nd._sign(idf, 1, 2)(iter([batch]))
+    bands = dict(zip(texts, map(set, signed.column("bands").to_pylist())))
+    links = {(b, a) for a in texts for b in texts if a < b and bands[a] & bands[b] and nd.weighted_jaccard(weights[a], weights[b]) >= 0.8}
+    assert len(links) >= 30
+    labels = {r.node: r.component for r in components(nd.near_links(docs, bands=1, rows=2)[1]).collect()}
+    assert [(u, v) for u, v in links if labels.get(u, u) != labels.get(v, v)] == []
