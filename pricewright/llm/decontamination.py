@@ -211,7 +211,8 @@ def proximity_matches(docs: DataFrame, items: list[tuple[int, bytes]], slop: int
     """(key, item, first, last): the rarest terms of a whole item occur near their places.
 
     Each of the ``rarest`` terms of the item is at its offset from a common
-    place, give or take ``slop`` words in all. Items without words, or with a
+    place, give or take ``slop`` words in all; every window of ``slop`` and one
+    diagonals is tested, so other occurrences nearby hide none. Items without words, or with a
     looked-up term that no document has, match nowhere.
     """
     spark = docs.sparkSession
@@ -220,6 +221,11 @@ def proximity_matches(docs: DataFrame, items: list[tuple[int, bytes]], slop: int
     lookups = spark.createDataFrame([(bytearray(t), i, at) for t, i, at in asked], "term binary, item int, offset int")
     sizes = spark.createDataFrame([(i, len({at for w in found for at in w})) for i, found in needs], "item int, n int")
     place = F.floor(F.col("diagonal") / (slop + 1))
+    window = F.transform(
+        F.array_distinct("hits.diagonal"),
+        lambda start: F.filter("hits", lambda hit: (hit["diagonal"] >= start) & (hit["diagonal"] <= start + slop)),
+    )
+    # 2 * (slop + 1) diagonals of a few offsets bound the hits of a group
     return (
         build_index(docs, terms)
         .join(F.broadcast(lookups), "term")
@@ -227,20 +233,26 @@ def proximity_matches(docs: DataFrame, items: list[tuple[int, bytes]], slop: int
         .withColumn("diagonal", F.col("pos") - F.col("offset"))
         .withColumn("near", F.explode(F.array(place, place + 1)))
         .groupBy("key", "item", "near")
-        .agg(
-            F.countDistinct("offset").alias("matched"),
-            F.min("diagonal").alias("least"),
-            F.max("diagonal").alias("most"),
-            F.min("pos").alias("first"),
-            F.max("pos").alias("last"),
-        )
+        .agg(F.collect_set(F.struct("diagonal", "offset", "pos")).alias("hits"))
         .join(F.broadcast(sizes), "item")
-        .where((F.col("matched") == F.col("n")) & (F.col("most") - F.col("least") <= slop))
-        .select("key", "item", "first", "last")
+        .select("key", "item", "n", F.explode(window).alias("hits"))
+        .where(F.size(F.array_distinct("hits.offset")) == F.col("n"))
+        .select("key", "item", F.array_min("hits.pos").alias("first"), F.array_max("hits.pos").alias("last"))
         .distinct()
     )
 
 
+def benchmark_proximity(docs: DataFrame, benchmark: DataFrame, slop: int, rarest: int = 4, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, item_id, first, last): ``proximity_matches`` of a benchmark table, taken in the blocks of ``decontaminate``."""
+    spark = docs.sparkSession
+    found = spark.createDataFrame([], "key long, item_id string, first int, last int")
+    for items in _blocks(spark, benchmark, block_bytes)[0]:
+        names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(items)], "item int, item_id string")
+        places = proximity_matches(docs, [(i, text.encode()) for i, (_, text) in enumerate(items)], slop, rarest)
+        found = found.unionByName(materialize(places.join(F.broadcast(names), "item").select("key", "item_id", "first", "last"), "near-places"))
+    return found.distinct()
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
 

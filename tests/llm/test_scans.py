@@ -78,6 +78,25 @@ def test_proximity(spark, make):
     assert sorted(r.doc_id for r in got.join(keyed, "key").collect()) == [1, 2]
 
 
+def test_proximity_with_repeated_terms(spark, make):
+    """A stray term before the phrase, and the phrase twice, in blocks and without."""
+    rows = [
+        (1, "alpha x alpha beta x gamma delta"),
+        (2, "x alpha beta gamma delta alpha beta gamma delta"),
+        (3, "alpha x x x beta gamma delta"),
+        (4, "x x alpha beta alpha x gamma delta"),
+    ]
+    docs = make(rows)
+    keyed = docs.select(dc.row_key("doc_id", "text").alias("key"), "doc_id")
+    got = dc.proximity_matches(docs, [(0, b"alpha beta gamma delta")], slop=2).join(keyed, "key").collect()
+    assert {r.doc_id for r in got} == {1, 2, 4}
+    assert {(r.first, r.last) for r in got if r.doc_id == 2} == {(1, 4), (5, 8)}
+    items = spark.createDataFrame([("a", "alpha beta gamma delta"), ("b", "beta gamma"), (None, "x")], "item_id string, text string")
+    got = dc.benchmark_proximity(docs, items, slop=2, block_bytes=12).join(keyed, "key").collect()
+    assert {r.doc_id for r in got if r.item_id == "a"} == {1, 2, 4}
+    assert {r.doc_id for r in got if r.item_id == "b"} == {1, 2, 3, 4}
+
+
 def brute_base(text):
     ws, places, labels = split(text), [], set()
     for label, phrase in ls.BASE:
