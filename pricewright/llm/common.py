@@ -34,7 +34,7 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def row_key(*columns: str) -> Column:
-    """A key that is never null and is equal only for rows equal in ``columns``."""
+    """A 64-bit hash of ``columns``, never null. It tells rows of one doc_id apart: join by doc_id (null-safe) and key."""
     return F.xxhash64(*columns)
 
 

@@ -109,7 +109,7 @@ def brute_base(text):
 
 
 def test_license_edges(make, edge_rows):
-    mit = dict(ls.TEMPLATES)["mit"].split()
+    mit = next(text for label, text in ls.PHRASES if text.startswith("permission is hereby")).split()
     rows = [
         *edge_rows,
         (30, "Released under the MIT License. Under  THE mit LICENSE! cc by nc"),
@@ -118,6 +118,10 @@ def test_license_edges(make, edge_rows):
         (33, "licensed under the GNU General Public License, version 3"),
         (34, "under the\x0bmit license " * 3),
         (35, "under the mit licensé"),
+        (36, "the GNU General Public License, either version 3"),
+        (37, "GNU Affero General Public License version 3"),
+        (38, "Creative Commons Attribution-NonCommercial 4.0 International"),
+        (39, "the GNU General Public License, version of your choice"),
     ]
     got = ls.license_scan(make(rows)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=repr) == sorted(
@@ -126,5 +130,38 @@ def test_license_edges(make, edge_rows):
     by = {r.doc_id: r for r in got}
     assert by[32].labels == "mit" and by[32].n_base == 0 and 0.8 <= by[32].score < 1
     assert by[33].labels == "gpl-3" and by[33].score == 1
-    assert by[30].labels == "cc-by-nc,mit" and by[35].labels == "" and by[35].score == 0
+    assert by[36].labels == "gpl-3" and by[37].labels == "agpl-3" and by[38].labels == "cc-by-nc" and by[39].labels == ""
+    assert by[30].labels == "cc-by-nc,mit" and (by[35].labels, by[35].base_labels, by[35].score) == ("mit", "", 0.75)
     assert ls.license_scan(make([])).count() == 0
+
+
+def test_edited_templates_are_found(make):
+    """Every template with one word put in, and the longer ones with one changed and many words left out."""
+    rows, want = [], {}
+    for number, (label, text) in enumerate(ls.TEMPLATES):
+        own, needed, _ = ls.parse(text)
+        middle = len(own) // 2
+        free = [i for i in range(len(own)) if i not in needed and (i >= 3 or len(own) - i > 3)]
+        edits = [own]
+        if len(own) >= 5:
+            edits.append(own[:3] + ["really"] + own[3:])
+        if len(own) >= 7 and free:
+            edits.append([*own[: free[-1]], "changed", *own[free[-1] + 1 :]])
+        if len(own) > 65:
+            edits.append(own[: middle - 5] + own[middle + 3 :])
+        for edit, each in enumerate(edits):
+            rows.append((number * 10 + edit, "some words before " + " ".join(each) + " and after"))
+            want[number * 10 + edit] = label
+    got = {r.doc_id: r for r in ls.license_scan(make(rows)).collect()}
+    assert [(i, label, got[i].labels) for i, label in want.items() if label not in got[i].labels.split(",")] == []
+    assert max(len(ls.parse(text)[0]) for _, text in ls.TEMPLATES) > 65
+
+
+def test_license_scan_of_a_very_long_text(make):
+    import time
+
+    text = " ".join(words(1_000_000, 77)) + " under the mit license"
+    began = time.perf_counter()
+    (row,) = ls.license_scan(make([(1, text)])).collect()
+    assert (row.n_words, row.first_word, row.labels) == (1_000_004, 1_000_000, "mit")
+    assert time.perf_counter() - began < 60
