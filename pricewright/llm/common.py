@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as word arrays at a time.
 CHUNK_BYTES = 2 << 20
+#: Groups of more rows than this share of all are joined by broadcast.
+SHARE = 1000
 #: Bytes of one long text that are split into words at a time.
 PIECE_BYTES = 1 << 20
 
@@ -38,6 +40,19 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def left_join_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """``rows`` left join ``groups``, which has one row for each ``key`` and says in ``size`` how many of ``rows`` have it.
+
+    Groups of more than a ``SHARE``-th of all rows, of which there are fewer
+    than ``SHARE``, are broadcast. The others are joined by shuffle, where none
+    of them outweighs a task. Rows whose key is null keep nulls.
+    """
+    large = F.col(size) * SHARE > F.lit(n_rows)
+    hot, rest = F.broadcast(groups.where(large)), groups.where(~large)
+    few = rows.join(hot, key)
+    return few.unionByName(rows.join(F.broadcast(groups.where(large).select(key)), key, "left_anti").join(rest, key, "left"))
+
+
 def release() -> None:
     """Give freed memory back to the system; allocators would keep it while a worker waits for its next task."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import ALNUM, chunks, load, raw
+from pricewright.llm.common import ALNUM, chunks, left_join_by_size, load, raw
 from pricewright.session import materialize
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -87,8 +87,10 @@ def _score(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                bucket, of = _trigrams(raw(part))
+                texts = raw(part)
+                bucket, of = _trigrams(texts)
                 n = np.bincount(of, minlength=part.num_rows)
+                some_word = pa.array([bool(t.translate(ALNUM).strip()) for t in texts])
                 total = np.zeros((part.num_rows, table.shape[0]))
                 some = np.flatnonzero(n)
                 if len(some):
@@ -96,8 +98,8 @@ def _score(table: np.ndarray):
                     total[some] = np.add.reduceat(columns[bucket], starts, axis=0, dtype=np.float64)
                 kept = [part.column(c) for c in ("doc_id", "declared", "host", "suffix")]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(n, pa.int64()), pa.array(list(total), pa.list_(pa.float64()))],
-                    names=["doc_id", "declared", "host", "suffix", "n_trigrams", "scores"],
+                    [*kept, some_word, pa.array(n, pa.int64()), pa.array(list(total), pa.list_(pa.float64()))],
+                    names=["doc_id", "declared", "host", "suffix", "some_word", "n_trigrams", "scores"],
                 )
 
     return run
@@ -119,18 +121,20 @@ def identify(docs: DataFrame, table: np.ndarray, languages: tuple[str, ...] = LA
 
     ``docs``: doc_id, text, declared, host and suffix (any may be null: a null
     host has the corpus prior, a null or unlisted declaration or suffix counts
-    as such). A document is accepted unless it has no trigram of letters,
-    looks like none of the languages, or leaves the posterior below
-    ``least``. Repeated rows give a row each, and ties go to the first language.
+    as such). A document is accepted unless it has no word or number at all,
+    looks like none of the languages, or leaves the posterior below ``least``.
+    A text without a trigram of letters says nothing (text_language is null):
+    then declaration, suffix and host decide. Repeated rows give a row each,
+    and ties go to the first language.
     """
     classes = [*languages, UNKNOWN]
     types = dict(docs.dtypes)
-    schema = f"doc_id {types['doc_id']}, declared string, host string, suffix string, n_trigrams long, scores array<double>"
+    schema = f"doc_id {types['doc_id']}, declared string, host string, suffix string, some_word boolean, n_trigrams long, scores array<double>"
     scored = docs.select("doc_id", "text", "declared", "host", "suffix").mapInArrow(_score(table), schema)
-    best = F.array_position("scores", F.array_max("scores")).cast("int")
+    best = F.when(F.col("n_trigrams") > 0, F.array_position("scores", F.array_max("scores")).cast("int"))
     known = F.when(F.col("declared").isin(*languages), F.col("declared")).when(F.col("declared").isNull(), F.lit("none")).otherwise(F.lit("other"))
     scored = materialize(scored.withColumn("best", best).withColumn("claim", known), "language-scores")
-    counts = [F.sum((F.col("best") == i + 1).cast("double")).alias(f"n_{c}") for i, c in enumerate(classes)]
+    counts = [F.count_if(F.col("best") == i + 1).cast("double").alias(f"n_{c}") for i, c in enumerate(classes)]
     whole = scored.agg(*(F.coalesce(c, F.lit(0.0)).alias(f"n_{k}") for c, k in zip(counts, classes))).first().asDict()
     n = sum(whole.values())
     root = [(whole[f"n_{c}"] + 1) / (n + len(classes)) for c in classes]
@@ -139,7 +143,8 @@ def identify(docs: DataFrame, table: np.ndarray, languages: tuple[str, ...] = LA
     wide = _shares(domains, [F.lit(r) for r in root], classes)
     domains = domains.select("domain", *(p.alias(f"d_{c}") for p, c in zip(wide, classes)))
     narrow = hosts.join(domains, "domain")
-    priors = narrow.select("host", *(p.alias(f"p_{c}") for p, c in zip(_shares(narrow, [F.col(f"d_{c}") for c in classes], classes), classes)))
+    size = sum((F.col(f"n_{c}") for c in classes), F.lit(0.0))
+    priors = narrow.select("host", size.alias("n_host"), *(p.alias(f"p_{c}") for p, c in zip(_shares(narrow, [F.col(f"d_{c}") for c in classes], classes), classes)))
     claims = {r["claim"]: r for r in scored.groupBy("claim").agg(*counts).collect()}  # at most a row for each language and two more
     kinds = [*languages, "other", "none"]
 
@@ -152,9 +157,10 @@ def identify(docs: DataFrame, table: np.ndarray, languages: tuple[str, ...] = LA
     ends = scored.where("suffix is not null").groupBy("suffix").agg(*counts)
     share = sum((F.col(f"n_{c}") for c in classes), F.lit(0.0)) / max(n, 1.0)
     ends = ends.select(
-        "suffix", *(F.log((F.col(f"n_{c}") + SMOOTHING * share) / (whole[f"n_{c}"] + SMOOTHING)).alias(f"s_{c}") for c in classes)
+        "suffix", size.alias("n_suffix"), *(F.log((F.col(f"n_{c}") + SMOOTHING * share) / (whole[f"n_{c}"] + SMOOTHING)).alias(f"s_{c}") for c in classes)
     )
-    joined = scored.join(priors, "host", "left").join(ends, "suffix", "left")
+    joined = left_join_by_size(scored, materialize(priors, "host-priors"), "host", "n_host", n)
+    joined = left_join_by_size(joined, materialize(ends, "suffixes"), "suffix", "n_suffix", n)
     top = F.array_max("scores")
     evidence = F.array(
         *(
@@ -171,22 +177,36 @@ def identify(docs: DataFrame, table: np.ndarray, languages: tuple[str, ...] = LA
     fused = fused.withColumn("posterior", 1 / mass).withColumn(
         "language", F.element_at(names, F.array_position("evidence", F.col("most")).cast("int"))
     )
-    accepted = (F.col("n_trigrams") > 0) & (F.col("language") != UNKNOWN) & (F.col("posterior") >= least)
+    accepted = F.col("some_word") & (F.col("language") != UNKNOWN) & (F.col("posterior") >= least)
     return fused.select(
         "doc_id", "language", "posterior", F.element_at(names, F.col("best")).alias("text_language"), "declared", accepted.alias("accepted")
     )
 
 
+ADDRESS = r"(?i)\bhttps?://[a-z0-9.-]*\.([a-z]{2,18})\b"
+LANG = r"""(?i)<html[^>]*\blang=["']?([a-z]{2})"""
+
+
 def of_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``documents``: lang is what they declare, source their host."""
-    return docs.select("doc_id", "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    """Rows of ``documents``: source is their host.
+
+    What they declare is the lang of an html element in the text, else the
+    column lang; the suffix is that of a source which is a host name, else of
+    the first address in the text.
+    """
+    suffix = F.coalesce(
+        F.nullif(F.lower(F.regexp_extract("source", r"\.([A-Za-z]{2,18})$", 1)), F.lit("")),
+        F.nullif(F.lower(F.regexp_extract("text", ADDRESS, 1)), F.lit("")),
+    )
+    marked = F.when(F.col("text").contains("<html"), F.nullif(F.lower(F.regexp_extract("text", LANG, 1)), F.lit("")))
+    return docs.select("doc_id", "text", F.coalesce(marked, F.lower("lang")).alias("declared"), F.col("source").alias("host"), suffix.alias("suffix"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
     """Web pages: text without markup, the lang of the html element, the host and its last label."""
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), "<[^>]*>", " ")
     host = F.lower(F.regexp_extract("url", "^(?i)[a-z]+://([^/:?#]+)", 1))
-    lang = F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*\blang=["']?([a-z]{2})""", 1))
+    lang = F.lower(F.regexp_extract("html", LANG, 1))
     return pages.select(
         F.col("page_id").alias("doc_id"), bare.alias("text"), F.nullif(lang, F.lit("")).alias("declared"),
         F.nullif(host, F.lit("")).alias("host"), F.nullif(F.substring_index(host, ".", -1), F.lit("")).alias("suffix"),

@@ -41,6 +41,82 @@ def test_host_prior_decides_without_text(spark, sf_dir):
     assert {r.language for r in got} == {"fr"}
 
 
+def brute_fusion(rows):
+    """(language, posterior, accepted) of (text, declared, host, suffix), in plain loops."""
+    import math
+    from collections import Counter
+
+    classes = [*li.LANGUAGES, li.UNKNOWN]
+
+    def grams(text):
+        data = (text or "").encode().translate(li.LETTERS)
+        for i in range(len(data) - 2):
+            a, b, c = data[i : i + 3]
+            if not (a == b == 32 or b == c == 32):
+                yield ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 19
+
+    table = {c: Counter() for c in li.LANGUAGES}
+    for text, declared, _, _ in rows:
+        if declared in table:
+            table[declared].update(grams(text))
+    totals = {c: sum(t.values()) + 0.5 * li.BUCKETS for c, t in table.items()}
+    scores = []
+    for text, *_ in rows:
+        own = list(grams(text))
+        each = [sum(math.log((table[c][g] + 0.5) / totals[c]) for g in own) for c in li.LANGUAGES]
+        scores.append((own, [*each, len(own) * (-math.log(li.BUCKETS) - li.MARGIN)]))
+    best = [classes[s.index(max(s))] if own else None for own, s in scores]
+    whole = Counter(b for b in best if b)
+    n, kinds = sum(whole.values()), [*li.LANGUAGES, "other", "none"]
+
+    def claim(d):
+        return "none" if d is None else d if d in li.LANGUAGES else "other"
+
+    def shares(counts, parent):
+        return {c: (counts[c] + li.SMOOTHING * parent[c]) / (sum(counts.values()) + li.SMOOTHING) for c in classes}
+
+    def counts(keep):
+        return Counter(b for b, row in zip(best, rows) if b and keep(row))
+
+    root = {c: (whole[c] + 1) / (n + len(classes)) for c in classes}
+    out = []
+    for (own, score), (text, declared, host, suffix) in zip(scores, rows):
+        prior = root
+        if host is not None:
+            domain = ".".join(host.split(".")[-2:])
+            wide = shares(counts(lambda r: r[2] is not None and ".".join(r[2].split(".")[-2:]) == domain), root)
+            prior = shares(counts(lambda r: r[2] == host), wide)
+        end = counts(lambda r: r[3] == suffix) if suffix is not None else None
+        said = counts(lambda r: claim(r[1]) == claim(declared))
+        evidence = []
+        for c, s in zip(classes, score):
+            e = li.TEMPER * (s - max(score)) + math.log(prior[c]) + math.log((said[c] + 0.5) / (whole[c] + 0.5 * len(kinds)))
+            if end:
+                e += math.log((end[c] + li.SMOOTHING * sum(end.values()) / n) / (whole[c] + li.SMOOTHING))
+            evidence.append(e)
+        most = max(evidence)
+        language, posterior = classes[evidence.index(most)], 1 / sum(math.exp(e - most) for e in evidence)
+        out.append((language, posterior, any(ch.isalnum() for ch in text or "") and language != li.UNKNOWN and posterior >= li.LEAST))
+    return out
+
+
+def test_fusion_matches_brute_force(spark):
+    german, english = "der hund und die katze sind im haus", "the dog and the cat are in the house"
+    rows = [(german, "de", "a.x.de", "de")] * 6 + [(english, "en", "b.x.com", "com")] * 9 + [("zqxj kvwq", "en", "b.x.com", "com")]
+    rows += [("42", None, "a.x.de", "de"), ("haus", "en", None, None), ("the", "de", "c.x.de", "de"), ("", "de", "a.x.de", "de"), (None, None, None, None)]
+    rows += [(english, "xx", "b.x.com", None), ("7 8", "fr", "unseen.org", "org"), ("--", "en", "b.x.com", "com")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, declared string, host string, suffix string")
+    got = {r.doc_id: r for r in li.identify(frame, li.likelihoods(frame)).collect()}
+    for i, (language, posterior, accepted) in enumerate(brute_fusion(rows)):
+        assert (got[i].language, got[i].accepted) == (language, accepted) and abs(got[i].posterior - posterior) < 1e-4, rows[i]
+
+
+def test_documents_with_markup_and_addresses(spark):
+    rows = [(1, '<html lang="FR"> see http://a.example.DE/x', "en", "src1"), (2, "no address", None, "News.Example.org"), (3, "x https://b.co.uk.", "en", "src2"), (4, None, None, None)]
+    got = li.of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id: (r.declared, r.suffix) for r in got} == {1: ("fr", "de"), 2: (None, "org"), 3: ("en", "uk"), 4: (None, None)}
+
+
 def test_page_languages(spark, sf_dir):
     got = li.page_language_id(spark, sf_dir).collect()
     assert sum(r.language == r.declared for r in got) >= 0.97 * len(got)
