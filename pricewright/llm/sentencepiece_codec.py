@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +30,10 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2
 #: Bytes of text encoded at a time; an encoding takes a hundred times the memory of its text.
 BATCH_BYTES = 1 << 18
+#: Characters after which a text is cut at the next word.
+PART = 1 << 16
+#: Fixed value: how the library shows an unknown piece.
+UNKNOWN_SHOWN = " \u2047 "
 
 
 @dataclass
@@ -121,25 +126,45 @@ def merges(model: Model) -> list[tuple[str, str]]:
 
 
 def build_tokenizer(model: Model):
-    """The tokenizers pipeline of a model."""
+    """The tokenizers pipeline of a model.
+
+    Only pieces that a text may spell are within its reach: byte, control and
+    unused pieces keep their ids under names with a plain space, which no
+    normalised text has.
+    """
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind not in (UNIGRAM, BPE) or model.space_as_suffix or not model.escape_spaces:
         raise ValueError("only unigram and BPE models with leading, escaped spaces are supported")
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
+    named = [p if kind in (NORMAL, USER_DEFINED) else f" {i}" for i, (p, _, kind) in enumerate(model.pieces)]
+    own = [(p, s) for p, s, kind in model.pieces if kind == USER_DEFINED]
     if model.kind == UNIGRAM:
-        engine = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unknown, byte_fallback=model.byte_fallback)
+        normal = [s for _, s, kind in model.pieces if kind == NORMAL]
+        best, least = max(normal, default=0.0), min(normal, default=0.0)
+        # the scores that the library gives to pieces of the user
+        scores = [len(p) * best - 0.1 if kind == USER_DEFINED else s if kind == NORMAL else best for p, s, kind in model.pieces]
+        if min(scores, default=0.0) < least:
+            raise ValueError("user-defined pieces that are less likely than all others are not supported")
+        engine = models.Unigram(list(zip(named, scores)), unk_id=unknown, byte_fallback=False)
     else:
-        vocabulary = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        engine = models.BPE(vocabulary, merges(model), unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+        if any(kind == UNUSED for *_, kind in model.pieces):
+            raise ValueError("BPE models with unused pieces are not supported")
+        spelled = [p if kind == BYTE else n for n, (p, _, kind) in zip(named, model.pieces)]  # merges can't reach byte pieces
+        spelled[unknown] = model.pieces[unknown][0]
+        engine = models.BPE({p: i for i, p in enumerate(spelled)}, merges(model), unk_token=spelled[unknown], fuse_unk=True, byte_fallback=model.byte_fallback)
     tokenizer = Tokenizer(engine)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
+    if any(normalizers.Sequence(steps).normalize_str(p) != p for p, _ in own):
+        raise ValueError("user-defined pieces that the character map changes are not supported")
     if model.remove_extra_spaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        # spaces only: tabs and line ends are the character map's business
+        steps += [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(rf"[ {SPACE}]+\z"), "")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
-    tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED])
+    if model.kind == BPE:
+        tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _ in own])
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return tokenizer
@@ -148,25 +173,55 @@ def build_tokenizer(model: Model):
 class Codec:
     """Encoding and decoding of batches with the pipeline of a model.
 
-    A normaliser that only marks spaces is applied to the text beforehand,
-    which spares the library its bookkeeping of positions. Decoding joins the
-    bytes of the pieces, and leaves what isn't valid UTF-8 to the library.
+    Texts are normalised as wholes before the library splits them (one that
+    only marks spaces needs no library), and long ones are cut before a space
+    mark where no piece of the model reaches over it. Unigram byte fallback
+    spells what the library leaves unknown. Decoding joins the bytes of the
+    pieces, and leaves what isn't valid UTF-8 to the library.
     """
 
     def __init__(self, model: Model):
-        self.model, self.whole = model, build_tokenizer(model)
-        self.marks_only = not model.charsmap and not model.remove_extra_spaces and all(kind != USER_DEFINED for *_, kind in model.pieces)
-        if self.marks_only:
-            self.bare = build_tokenizer(model)
-            self.bare.normalizer = None
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in model.pieces]
+        self.model, self.whole, self.bare = model, build_tokenizer(model), build_tokenizer(model)
+        self.marks_only = not model.charsmap and not model.remove_extra_spaces
+        self.bare.normalizer = None
+        reachable = [p for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)]
+        self.cuts = SPACE in reachable and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in reachable)
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
+        self.unknown = next((i for i, (*_, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
+        self.spells = model.kind == UNIGRAM and model.byte_fallback and len(self.byte_ids) == 256
+        shown = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: UNKNOWN_SHOWN.encode()}
+        self.bytes = [shown.get(kind, lambda p: p.replace(SPACE, " ").encode())(p) for p, _, kind in model.pieces]
+
+    def _normalised(self, text: str) -> str:
+        if not self.marks_only:
+            return self.whole.normalizer.normalize_str(text)
+        return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE) if text else ""
+
+    def _parts(self, text: str) -> list[str]:
+        parts, at = [], 0
+        while self.cuts and len(text) - at > PART:
+            cut = at + PART
+            while (cut := text.find(SPACE, cut)) > 0 and text[cut - 1] == SPACE:
+                cut += 1
+            if cut < 0:
+                break
+            parts.append(text[at:cut])
+            at = cut
+        return [*parts, text[at:]]
+
+    def _spelled(self, encoding) -> list[int]:
+        ids = []
+        for i, token in zip(encoding.ids, encoding.tokens):
+            ids += [self.byte_ids[b] for b in token.encode()] if i == self.unknown else [i]
+        return ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        tokenizer = self.whole
-        if self.marks_only:
-            prefix = SPACE if self.model.dummy_prefix else ""
-            tokenizer, texts = self.bare, [prefix + t.replace(" ", SPACE) if t else "" for t in texts]
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [self._parts(self._normalised(t)) for t in texts]
+        # the fast way doesn't tell what an unknown piece stands for
+        encode = self.bare.encode_batch if self.spells else self.bare.encode_batch_fast
+        made = encode([p for each in parts for p in each], add_special_tokens=False)
+        ids = (self._spelled(e) if self.spells and self.unknown in e.ids else e.ids for e in made)
+        return [next(ids) if len(each) == 1 else [i for _ in each for i in next(ids)] for each in parts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         out = []

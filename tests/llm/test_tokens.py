@@ -56,25 +56,43 @@ def block(number, data):
     return varint(number << 3 | 2) + varint(len(data)) + data
 
 
-def unigram_model():
-    """A hand-written unigram model with byte fallback, never trained."""
+def unigram_model(own=(), fallback=True, extra_spaces=True):
+    """A hand-written unigram model, never trained."""
     pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)]
-    pieces += [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    pieces += [(f"<0x{b:02X}>", 0, 6) for b in range(256)] if fallback else []
     pieces += [("▁", -3, 1), ("▁the", -2, 1), ("▁th", -4, 1), ("e", -3.5, 1), ("he", -3, 1), ("t", -4, 1), ("h", -4.2, 1), ("cat", -5, 1), ("ca", -4.5, 1), ("c", -6, 1), ("a", -5.5, 1)]
+    pieces += [(p, 0, 4) for p in own]
     data = b"".join(block(1, block(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(k)) for p, s, k in pieces)
-    trainer = varint(3 << 3) + varint(1) + varint(35 << 3) + varint(1)
-    normal = varint(3 << 3) + varint(1) + varint(4 << 3) + varint(1)
+    trainer = varint(3 << 3) + varint(1) + varint(35 << 3) + varint(int(fallback))
+    normal = varint(3 << 3) + varint(1) + varint(4 << 3) + varint(int(extra_spaces))
     return data + block(2, trainer) + block(3, normal)
 
 
-def test_unigram_scores_and_byte_fallback():
-    data = unigram_model()
+UNIGRAM_TEXTS = [
+    "the cat", "  the   the cat ", "hehethe", "xyz é", "", "that cat teeth", "the <s> cat", "a</s>", "<0x41> the", "<unk> cat", "the cat\n", " \t the", "\n", "the ▁ cat ▁", "▁",
+    "日本 the", "at##the ## cat", "##",
+]
+
+
+@pytest.mark.parametrize(("own", "fallback", "extra_spaces"), [((), True, True), ((), False, True), ((), True, False), (("##",), True, True), (("##",), False, False)])
+def test_unigram_is_that_of_the_library(own, fallback, extra_spaces):
+    data = unigram_model(own, fallback, extra_spaces)
     judge = sentencepiece.SentencePieceProcessor(model_proto=data)
-    made = sp.build_tokenizer(sp.parse_model(data))
-    for text in ["the cat", "  the   the cat ", "hehethe", "xyz é", "", "that cat teeth"]:
-        ids = made.encode(text, add_special_tokens=False).ids
+    codec = sp.Codec(sp.parse_model(data))
+    for text in UNIGRAM_TEXTS:
+        (ids,) = codec.encode([text])
         assert ids == judge.encode(text), text
-        assert made.decode(ids, skip_special_tokens=False) == judge.decode(ids)
+        assert codec.decode([ids]) == [judge.decode(ids)]
+
+
+def test_long_texts_are_cut_at_words(monkeypatch):
+    monkeypatch.setattr(sp, "PART", 7)
+    with open(MODEL, "rb") as file:
+        data = file.read()
+    for each in (data, unigram_model(), unigram_model(fallback=False)):
+        codec, judge = sp.Codec(sp.parse_model(each)), sentencepiece.SentencePieceProcessor(model_proto=each)
+        texts = ["the cat that   the cat xyz the é cat é é the", "a" * 50, "", *ODD, *UNIGRAM_TEXTS]
+        assert codec.encode(texts) == judge.encode(texts)
 
 
 def test_codec_is_the_pipeline():
