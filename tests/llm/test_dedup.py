@@ -77,24 +77,49 @@ def test_exact_edges(make, edge_rows):
     assert ed.exact_dedup(make([])).count() == 0
 
 
-def test_filters_merge_without_loss():
+def as_filter(prints, bits):
+    return ed.QuotientFilter.build(*ed.add_up(prints, np.ones(len(prints), np.int64)), bits)
+
+
+def test_filter_holds_fingerprints_and_counts():
     draw = np.random.default_rng(0)
-    prints = draw.integers(0, 500, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    import pyarrow as pa
+    for bits, n, distinct in ((8, 700, 60), (20, 3000, 500), (63, 5000, 4000), (12, 1, 1), (9, 4000, 1)):
+        pool = draw.integers(0, 2**bits, distinct).astype(np.uint64)
+        prints = draw.choice(pool, n)
+        made = as_filter(prints, bits)
+        back = ed.QuotientFilter.parse(made.serialise())
+        got, counts = back.decode()
+        assert dict(zip(got.tolist(), counts.tolist())) == Counter(prints.tolist())
+        assert (np.diff(got.astype(np.float64)) > 0).all()
+        assert np.array_equal(back.meta, made.meta) and np.array_equal(back.slots, made.slots)
+    none = ed.QuotientFilter.build(np.empty(0, np.uint64), np.empty(0, np.int64), 10)
+    assert len(ed.QuotientFilter.parse(none.serialise()).decode()[0]) == 0
+
+
+def test_filter_size():
+    """Distinct fingerprints take a slot of remainder and four bits; well under the 16 bytes of a print and a count."""
+    prints = np.unique(np.random.default_rng(4).integers(0, 2**26, 12_000).astype(np.uint64))
+    made = as_filter(prints, 26)
+    assert len(made.serialise()) * 8 / len(prints) < (made.remainder + 4) / (ed.LOAD / 2) + 1 < 46
 
-    for bits in (0, 3):
-        parts = []
+
+def test_filters_merge_without_loss():
+    draw = np.random.default_rng(0)
+    prints = draw.integers(0, 500, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    parts = [as_filter(part, 24) for part in np.array_split(prints, 4)]
+    merged, whole = ed.QuotientFilter.merge(parts), as_filter(prints, 24)
+    assert np.array_equal(merged.meta, whole.meta) and np.array_equal(merged.slots, whole.slots)
+    for segments in (0, 3):
+        rows = []
         for part in np.array_split(prints, 4):
             batch = pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], names=["fp"])
-            parts += [b for b in ed._build(bits)(iter([batch, batch.slice(0, 0)]))]
-        slots = pa.Table.from_batches(parts)
+            rows += list(ed._build(segments, 24 - segments)(iter([batch, batch.slice(0, 0)])))
+        table = pa.Table.from_batches(rows)
         found = {}
-        for q in set(slots.column("quotient").to_pylist()):
-            slot = slots.filter(pa.compute.equal(slots.column("quotient"), q))
-            merged = ed._merge(bits)(slot).to_pydict()
-            found |= dict(zip(merged["fp"], merged["n"]))
-        want = {int(np.uint64(k).astype(np.int64)): n for k, n in Counter(prints.tolist()).items() if n > 1}
-        assert found == want
+        for segment in set(table.column("segment").to_pylist()):
+            some = ed._merge(24 - segments)(table.filter(pa.compute.equal(table.column("segment"), segment))).to_pydict()
+            found |= dict(zip(some["fp"], some["n"]))
+        assert found == {k: n for k, n in Counter(prints.tolist()).items() if n > 1}
 
 
 def test_near_edges(make, edge_rows):
