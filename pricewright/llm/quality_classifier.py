@@ -1,11 +1,13 @@
 """Quality classification by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded
-as shape features (character classes, word lengths, repetition), standardised
-and projected; gated attention, tanh(V h) * sigmoid(U h), weighs the passages
-of a bag; a logistic unit scores the weighted passage representation. Only
-document labels train it. Weights are learned on a sample of at most
-``SAMPLE`` labelled documents, scoring runs over all texts.
+by its content: its words, how far back each of them last stood, and the
+three-byte runs of its text pick rows of three embedding tables (words and runs
+by hash), whose means add up. Gated attention,
+tanh(V h) * sigmoid(U h), weighs the passages of a bag; a logistic unit scores
+the weighted passage representation. Only document labels train all of it,
+embeddings included. Weights are learned on a sample bounded in documents
+(``SAMPLE``) and bytes (``SAMPLE_BYTES``); scoring runs over all texts.
 """
 
 from __future__ import annotations
@@ -15,172 +17,210 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import chunks, load, raw, values, word_hashes
+from pricewright.llm.common import chunks, load, raw, word_hashes
+from pricewright.session import materialize
 
 PASSAGE = 64
-#: Labelled documents that training uses at most.
-SAMPLE = 2500
+#: Labelled documents, and bytes of their texts, that training uses at most.
+SAMPLE, SAMPLE_BYTES = 2500, 6 << 20
 THRESHOLD = 0.7
-HIDDEN, GATE = 16, 8
-STEPS, RATE, DECAY = 250, 0.03, 1e-3
+#: Rows of the hashed embedding tables and of that of recurrence, and widths of embeddings and gates.
+ROWS, GAPS, HIDDEN, GATE = 1 << 13, 8, 8, 4
+EPOCHS, BATCH, RATE, DECAY = 8, 50, 0.02, 1e-4
+#: Embedding rows that a task adds up at a time.
+AT_ONCE = 1 << 19
 
-#: Byte classes: lower, upper, digit, white, sentence marks, !, |, other symbols, not ASCII.
-CLASSES = np.full(256, 7, np.int64)
-CLASSES[97:123], CLASSES[65:91], CLASSES[48:58] = 0, 1, 2
-CLASSES[[32, 9, 10, 11, 12, 13]] = 3
-CLASSES[[ord(c) for c in ".,;:?'\"-()"]] = 4
-CLASSES[ord("!")], CLASSES[ord("|")], CLASSES[128:] = 5, 6, 8
-WHITE = CLASSES == 3
-FEATURES = 9 + 8
+WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features by passage, number of passages by text); a text without words is one empty passage."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begins = np.append(0, np.cumsum(sizes))
-    white = WHITE[data]
-    head = np.zeros(len(data) + 1, bool)
-    head[begins] = True
-    before = np.append(True, white)[:-1] | head[:-1] if len(data) else white
-    start = np.flatnonzero(~white & before)
-    text_of = np.searchsorted(begins, start, "right") - 1 if len(start) else np.empty(0, np.int64)
-    n_words = np.bincount(text_of, minlength=len(texts))
-    n_passages = np.maximum(1, -(-n_words // PASSAGE))
-    base = np.append(0, np.cumsum(n_passages))
-    first = np.append(0, np.cumsum(n_words))
-    rank = np.arange(len(start)) - first[text_of]
-    passage = base[text_of] + rank // PASSAGE
-    total = int(base[-1])
-    # bytes belong to the passage of the last word that began, or the first of their text
-    word = np.cumsum(np.bincount(start, minlength=len(data))[: len(data)]) - 1 if len(data) else np.empty(0, np.int64)
-    of_text = np.repeat(np.arange(len(texts)), sizes)
-    of_byte = np.where(word >= first[of_text], passage[np.maximum(word, 0)] if len(passage) else 0, base[of_text])
-    counts = np.bincount(of_byte * 9 + CLASSES[data], minlength=total * 9).reshape(total, 9).astype(np.float64)
-    x = np.zeros((total, FEATURES))
-    x[:, :9] = counts / np.maximum(1, counts.sum(1, keepdims=True))
-    if len(start):
-        hashes = np.concatenate([word_hashes(t) for t in texts])
-        length = np.bincount(word[~white], minlength=len(start)).astype(np.float64)
-        n = np.maximum(1, np.bincount(passage, minlength=total))
-        mean = np.bincount(passage, length, total) / n
-        x[:, 9] = mean / 10
-        x[:, 10] = np.sqrt(np.maximum(0, np.bincount(passage, length**2, total) / n - mean**2)) / 10
-        x[:, 11] = np.bincount(passage, length <= 3, total) / n
-        x[:, 12] = np.bincount(passage, CLASSES[data[start]] == 1, total) / n
-        last = data[start + length.astype(np.int64) - 1]
-        x[:, 13] = np.bincount(passage, np.isin(CLASSES[last], (5, 6, 7)), total) / n
-        again = np.append(False, (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1]))
-        x[:, 14] = np.bincount(passage, again, total) / n
-        order = np.lexsort((hashes, passage))
-        h, p = hashes[order], passage[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))
-        x[:, 15] = np.bincount(p, new, total) / n
-        x[:, 16] = np.log1p(np.bincount(passage, minlength=total)) / 5
-    return x, n_passages
-
-
 @dataclass
-class Attention:
-    """Gated attention over passages; ``encode`` to ``score`` is one bag operation."""
-
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: dict[str, np.ndarray]
-
-    def score(self, x: np.ndarray, n_passages: np.ndarray) -> np.ndarray:
-        return _forward(self.weights, (x - self.mean) / self.scale, n_passages)[0]
-
-
-def _forward(w: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray) -> tuple:
+class Bags:
+    """Passages of some texts: embedding rows of their byte runs, words and recurrences, in order, with how many
+    runs and words each passage has."""
+
+    n_passages: np.ndarray
+    runs: np.ndarray
+    n_runs: np.ndarray
+    words: np.ndarray
+    gaps: np.ndarray
+    n_words: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Bags:
+        """A text without words is one passage; bytes belong to the passage of the last word that began."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begins = np.append(0, np.cumsum(sizes))
+        white = WHITE[data]
+        head = np.zeros(len(data) + 1, bool)
+        head[begins] = True
+        before = np.append(True, white)[:-1] | head[:-1]
+        start = np.flatnonzero(~white & before)
+        text_of = np.searchsorted(begins, start, "right") - 1
+        n_words = np.bincount(text_of, minlength=len(texts))
+        n_passages = np.maximum(1, -(-n_words // PASSAGE))
+        base, first = np.append(0, np.cumsum(n_passages)), np.append(0, np.cumsum(n_words))
+        passage = base[text_of] + (np.arange(len(start)) - first[text_of]) // PASSAGE
+        total = int(base[-1])
+        word = np.cumsum(np.bincount(start, minlength=len(data))[: len(data)]) - 1
+        of_text = np.repeat(np.arange(len(texts)), sizes)
+        of_byte = base[of_text]
+        begun = word >= first[of_text]
+        of_byte[begun] = passage[word[begun]]
+        code = data.astype(np.uint32)
+        code = (code[:-2] << np.uint32(16)) | (code[1:-1] << np.uint32(8)) | code[2:] if len(data) > 2 else code[:0]
+        inside = of_text[2:] == of_text[:-2] if len(data) > 2 else np.zeros(0, bool)
+        rows = ((code[inside] * np.uint32(2654435761)) >> np.uint32(19)).astype(np.uint16)
+        hashes = np.concatenate([np.empty(0, np.uint64), *(word_hashes(t) for t in texts)])
+        order = np.lexsort((hashes, passage))
+        again = np.append(False, (hashes[order][1:] == hashes[order][:-1]) & (passage[order][1:] == passage[order][:-1]))[: len(order)]
+        gaps = np.zeros(len(order), np.uint8)  # 0 for a word that is new to its passage, else the magnitude of the distance
+        gaps[order[again]] = np.minimum(GAPS - 1, 1 + np.log2(order[again] - order[np.flatnonzero(again) - 1]).astype(np.int64))
+        return cls(
+            n_passages, rows, np.bincount(of_byte[: len(inside)][inside], minlength=total),
+            (hashes & np.uint64(ROWS - 1)).astype(np.uint16), gaps, np.bincount(passage, minlength=total),
+        )
+
+    def pack(self) -> bytes:
+        """Of one text."""
+        head = np.concatenate(([len(self.n_runs)], self.n_runs, self.n_words)).astype("<u4")
+        return head.tobytes() + self.runs.astype("<u2").tobytes() + self.words.astype("<u2").tobytes() + self.gaps.tobytes()
+
+    @classmethod
+    def unpack(cls, packed: list[bytes]) -> Bags:
+        n, runs, n_runs, words, gaps, n_words = [], [], [], [], [], []
+        for data in packed:
+            (p,) = np.frombuffer(data, "<u4", 1)
+            sizes = np.frombuffer(data, "<u4", 2 * p, 4).astype(np.int64)
+            a, b = int(sizes[:p].sum()), int(sizes[p:].sum())
+            rows = np.frombuffer(data, "<u2", a + b, 4 + 8 * int(p))
+            n.append(p), n_runs.append(sizes[:p]), n_words.append(sizes[p:]), runs.append(rows[:a]), words.append(rows[a:])
+            gaps.append(np.frombuffer(data, np.uint8, b, len(data) - b))
+        return cls(np.array(n, np.int64), *(np.concatenate(x) for x in (runs, n_runs, words, gaps, n_words)))
+
+
+def mean_rows(table: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The mean table row of each passage; zeros for one without any."""
+    out = np.zeros((len(n), table.shape[1]), table.dtype)
+    of = np.repeat(np.arange(len(n)), n)
+    for at in range(0, len(rows), AT_ONCE):
+        each = of[at : at + AT_ONCE]
+        starts = np.flatnonzero(np.append(True, each[1:] != each[:-1]))
+        out[each[starts]] += np.add.reduceat(table[rows[at : at + AT_ONCE]], starts)
+    return out / np.maximum(1, n)[:, None].astype(table.dtype)
+
+
+Weights = dict[str, np.ndarray]
+SHAPES = {"R": (ROWS, HIDDEN), "W": (ROWS, HIDDEN), "G": (GAPS, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,), "b": (1,)}
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def forward(w: Weights, bags: Bags) -> tuple:
+    """(scores, then what the gradients need)."""
+    n = bags.n_passages
     starts = np.append(0, np.cumsum(n))[:-1]
-    h = np.tanh(x @ w["E"] + w["e"])
-    v, u = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-np.clip(h @ w["U"], -30, 30)))
+    x = mean_rows(w["R"], bags.runs, bags.n_runs) + mean_rows(w["W"], bags.words, bags.n_words) + mean_rows(w["G"], bags.gaps, bags.n_words)
+    h = np.tanh(x + w["e"])
+    v, u = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
     s = (v * u) @ w["a"]
     s = np.exp(s - np.repeat(np.maximum.reduceat(s, starts), n))
     a = s / np.repeat(np.add.reduceat(s, starts), n)
     z = np.add.reduceat(a[:, None] * h, starts)
-    p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -30, 30)))
-    return p, h, v, u, a, z, starts
+    return _sigmoid(z @ w["c"] + w["b"]), h, v, u, a, z, starts
+
+
+def _scatter(rows: np.ndarray, n: np.ndarray, grad: np.ndarray, size: int = ROWS) -> np.ndarray:
+    each = np.repeat(grad / np.maximum(1, n)[:, None], n, 0)
+    return np.stack([np.bincount(rows, each[:, i], size) for i in range(grad.shape[1])], 1)
 
 
-def _gradients(w: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    p, h, v, u, a, z, starts = _forward(w, x, n)
-    d = (p - y) * weight
-    dz = np.repeat(d[:, None] * w["c"], n, 0)
-    da = (dz * h).sum(1)
+def gradients(w: Weights, bags: Bags, y: np.ndarray) -> Weights:
+    """Of the mean log loss."""
+    n = bags.n_passages
+    p, h, v, u, a, z, starts = forward(w, bags)
+    d = (p - y) / len(y)
+    da = (np.repeat(d[:, None] * w["c"], n, 0) * h).sum(1)
     ds = a * (da - np.repeat(np.add.reduceat(a * da, starts), n))
     dg = ds[:, None] * w["a"]
     dv, du = dg * u * (1 - v**2), dg * v * u * (1 - u)
-    dh = (a[:, None] * dz + dv @ w["V"].T + du @ w["U"].T) * (1 - h**2)
-    return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ ds, "c": z.T @ d, "b": np.array([d.sum()])}
+    dx = (a[:, None] * np.repeat(d[:, None] * w["c"], n, 0) + dv @ w["V"].T + du @ w["U"].T) * (1 - h**2)
+    return {
+        "R": _scatter(bags.runs, bags.n_runs, dx), "W": _scatter(bags.words, bags.n_words, dx),
+        "G": _scatter(bags.gaps, bags.n_words, dx, GAPS), "e": dx.sum(0),
+        "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ ds, "c": z.T @ d, "b": np.array([d.sum()]),
+    }
 
 
-def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Attention:
-    """Fit the weights by Adam; equal data give equal weights. Without both labels the score is their share."""
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+def train(packed: list[bytes], y: np.ndarray, epochs: int = EPOCHS) -> Weights:
+    """Fit the weights by Adam over small batches; equal data give equal weights. Without both labels the score is their share."""
     draw = np.random.Generator(np.random.PCG64(7))
-    shape = {"E": (FEATURES, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,), "b": (1,)}
-    w = {k: draw.normal(0, 0.3, s) for k, s in shape.items()}
+    w = {k: draw.normal(0, 0.3, s).astype(np.float32) for k, s in SHAPES.items()}
     rate = float(y.mean())
+    w["b"][:] = np.log(rate / (1 - rate)) if 0 < rate < 1 else 30 if rate else -30
     if not 0 < rate < 1:
         w["c"][:] = 0
-        w["b"][:] = 30 if rate else -30
-        return Attention(mean, scale, w)
-    w["b"][:] = np.log(rate / (1 - rate))
-    x, weight = ((x - mean) / scale).astype(np.float32), np.full(len(y), 1 / len(y), np.float32)
-    w, y = {k: v.astype(np.float32) for k, v in w.items()}, y.astype(np.float32)
-    m, q = {k: np.zeros(s) for k, s in shape.items()}, {k: np.zeros(s) for k, s in shape.items()}
-    for step in range(1, steps + 1):
-        for k, g in _gradients(w, x, n, y, weight).items():
-            g = g + DECAY * w[k] * (k not in ("b", "e"))
-            m[k] = 0.9 * m[k] + 0.1 * g
-            q[k] = 0.999 * q[k] + 0.001 * g * g
-            w[k] = w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8)
-    return Attention(mean, scale, {k: v.astype(np.float64) for k, v in w.items()})
+        return w
+    m, q = ({k: np.zeros(s, np.float32) for k, s in SHAPES.items()} for _ in range(2))
+    step = 0
+    for _ in range(epochs):
+        order = draw.permutation(len(y))
+        for at in range(0, len(y), BATCH):
+            some = order[at : at + BATCH]
+            step += 1
+            for k, g in gradients(w, Bags.unpack([packed[i] for i in some]), y[some]).items():
+                g = (g + DECAY * w[k] * (k not in ("b", "e"))).astype(np.float32)
+                m[k] = 0.9 * m[k] + 0.1 * g
+                q[k] = 0.999 * q[k] + 0.001 * g * g
+                w[k] = w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8)
+    return {k: v.astype(np.float32) for k, v in w.items()}
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
-            x, n = passages(raw(part))
-            cut = np.append(0, np.cumsum(n))
-            bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(bags, pa.binary())], names=["quality", "bag"])
+            texts = raw(part)
+            columns = [part.column("quality"), part.column("place"), pa.array(map(len, texts), pa.int64()), pa.array([Bags.of([t]).pack() for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["quality", "place", "n_bytes", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Weights | None:
     """Train on at most ``sample`` labelled documents that aren't held out; None without any.
 
-    The sample is the first ones by a hash of doc_id. Null labels and ids are
-    left out, and a doc_id of several labels takes the smallest.
+    The sample is the first ones by a hash of doc_id, as long as their texts
+    fit into ``sample_bytes``. Null labels and ids are left out; of several
+    labels or texts of a doc_id the smallest is taken.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = chosen.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))  # of the sample alone
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = some.select("doc_id", "quality", "text").mapInArrow(_bags, "quality int, bag binary").toArrow()
+    bags = materialize(some.select("quality", "place", "text").mapInArrow(_bags, "quality int, place int, n_bytes long, bag binary"), "bags")
+    one = bags.groupBy("place").agg(F.min(F.struct("n_bytes", "bag", "quality")).alias("r")).select("place", "r.*")
+    held = F.sum("n_bytes").over(Window.orderBy("place"))  # at most `sample` rows
+    rows = one.withColumn("held", held).where(F.col("held") <= sample_bytes).orderBy("place").toArrow()
     if not rows.num_rows:
         return None
-    order = sorted(zip(rows.column("bag").to_pylist(), rows.column("quality").to_pylist()))
-    bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(np.float64) for b, _ in order]
-    return train(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([q > 0 for _, q in order], np.float64))
+    return train(rows.column("bag").to_pylist(), np.array([q > 0 for q in rows.column("quality").to_pylist()], np.float64))
 
 
-def _score(model: Attention | None):
+def _score(w: Weights | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                x, n = passages(raw(part))
-                scores = model.score(x, n) if model else np.full(len(n), 0.5)
+                bags = Bags.of(raw(part))
+                scores = forward(w, bags)[0] if w else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "score", "n_passages"]
+                    [part.column("doc_id"), pa.array(scores.astype(np.float64)), pa.array(bags.n_passages, pa.int64())], names=["doc_id", "score", "n_passages"]
                 )
 
     return run

@@ -5,8 +5,11 @@ to the latest earlier full response with the same canonical URL. The validators
 of both must agree; then the payload is that of the response and its headers
 are the stored ones, updated by those that a 304 may change.
 
+Only a whole answer is a full response: another status than 200 (an error, a
+part, a stored 304) answers no revisit.
+
 The as-of join takes two levels, so that a URL of very many captures isn't one
-group: within a URL and day, and then over one row for each day of the URL.
+group: within a URL and hour, and then over one row for each hour of the URL.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pricewright.llm.common import load
 
 # Query parameters that only track visits, and headers that describe the stored payload.
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
+FULL = 200
 PAYLOAD_HEADERS = ["content-encoding", "content-length", "content-range", "content-type", "transfer-encoding"]
 
 
@@ -35,6 +39,21 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
 
 
+def is_full() -> Column:
+    return F.coalesce((F.col("warc_type") == "response") & (F.col("status") == FULL), F.lit(False))
+
+
+def one_record(records: DataFrame) -> DataFrame:
+    """One row for each record_id: of several the latest, then the greatest by type, URL, status and headers.
+
+    Rows without a record_id are left out.
+    """
+    named = records.where("record_id is not null").select("record_id", "url", "warc_date", "warc_type", "status", "headers")
+    order = F.struct("warc_date", "warc_type", "url", "status", F.to_json(F.array_sort(F.map_entries("headers"))))
+    held = F.struct("url", "warc_date", "warc_type", "status", "headers")
+    return named.groupBy("record_id").agg(F.max_by(held, order).alias("r")).select("record_id", "r.*")
+
+
 def latest_response(records: DataFrame) -> DataFrame:
     """(record_id, ref_id, n) of each revisit: the latest full response of its URL that is earlier.
 
@@ -46,22 +65,22 @@ def latest_response(records: DataFrame) -> DataFrame:
         "warc_date",
         "warc_type",
         F.coalesce(canonical_url(F.col("url")), F.concat(F.lit(" "), F.col("record_id").cast("string"))).alias("site"),
-        F.coalesce(F.to_date("warc_date"), F.lit("0001-01-01").cast("date")).alias("day"),
+        F.coalesce(F.date_trunc("hour", "warc_date"), F.lit("0001-01-01").cast("timestamp")).alias("hour"),
         F.when(
-            (F.col("warc_type") == "response") & F.col("url").isNotNull() & F.col("warc_date").isNotNull(),
+            is_full() & F.col("url").isNotNull() & F.col("warc_date").isNotNull(),
             F.struct("warc_date", "record_id"),
         ).alias("full"),
     )
-    in_day = Window.partitionBy("site", "day").orderBy("warc_date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    marked = keyed.withColumn("same_day", F.last("full", ignorenulls=True).over(in_day))
-    revisits = marked.where("warc_type = 'revisit'").select("record_id", "warc_date", "site", "day", "same_day")
-    by_day = keyed.where("full is not null").groupBy("site", "day").agg(F.max("full").alias("newest"))
-    days = by_day.unionByName(revisits.select("site", "day", F.lit(None).cast(by_day.schema["newest"].dataType).alias("newest")).distinct())
-    days = days.groupBy("site", "day").agg(F.max("newest").alias("newest"))
-    before = Window.partitionBy("site").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.withColumn("carried", F.last("newest", ignorenulls=True).over(before)).select("site", "day", "carried")
-    found = revisits.join(carried, ["site", "day"], "left")
-    usable = F.when(F.col("warc_date").isNotNull(), F.coalesce("same_day", "carried"))
+    in_hour = Window.partitionBy("site", "hour").orderBy("warc_date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    marked = keyed.withColumn("same_hour", F.last("full", ignorenulls=True).over(in_hour))
+    revisits = marked.where("warc_type = 'revisit'").select("record_id", "warc_date", "site", "hour", "same_hour")
+    by_hour = keyed.where("full is not null").groupBy("site", "hour").agg(F.max("full").alias("newest"))
+    hours = by_hour.unionByName(revisits.select("site", "hour", F.lit(None).cast(by_hour.schema["newest"].dataType).alias("newest")).distinct())
+    hours = hours.groupBy("site", "hour").agg(F.max("newest").alias("newest"))
+    before = Window.partitionBy("site").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.withColumn("carried", F.last("newest", ignorenulls=True).over(before)).select("site", "hour", "carried")
+    found = revisits.join(carried, ["site", "hour"], "left")
+    usable = F.when(F.col("warc_date").isNotNull(), F.coalesce("same_hour", "carried"))
     return found.select("record_id", usable["record_id"].alias("ref_id"))
 
 
@@ -82,18 +101,18 @@ def merge_headers(stored: str, fresh: str) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, ref_id, status and headers.
 
-    ``records``: record_id, url, warc_date, warc_type (response or revisit) and
-    headers, a map with lower-case names; other columns and types of record are
-    ignored. status is resolved, changed (validators differ), unverified (no
+    ``records``: record_id, url, warc_date, warc_type (response or revisit),
+    status (of the answer; null is no full response) and headers, a map with
+    lower-case names; other columns and types of record are ignored. status is resolved, changed (validators differ), unverified (no
     validator on both sides to compare) or missing (no earlier response);
     headers are merged where resolved, else null. Entity tags decide before
-    Last-Modified, compared weakly. A record_id that repeats gives no more rows
-    than its revisits.
+    Last-Modified, compared weakly. A record_id that repeats is one record, by
+    ``one_record``.
     """
-    unique = records.where("record_id is not null").dropDuplicates(["record_id"])
+    unique = one_record(records)
     refs = latest_response(unique)
     fresh = unique.where("warc_type = 'revisit'").select("record_id", F.col("headers").alias("fresh"))
-    stored = unique.where("warc_type = 'response'").select(F.col("record_id").alias("ref_id"), F.col("headers").alias("stored"))
+    stored = unique.where(is_full()).select(F.col("record_id").alias("ref_id"), F.col("headers").alias("stored"))
     both = fresh.join(refs, "record_id").join(stored, "ref_id", "left")
     tags = _validator("fresh", "etag"), _validator("stored", "etag")
     dates = _validator("fresh", "last-modified"), _validator("stored", "last-modified")
@@ -112,7 +131,8 @@ def capture_log(pages: DataFrame) -> DataFrame:
     Page n is captured n minutes into the crawl, as record 4n. Records 4n+1 and
     4n+2 are revisits, one hour and three days later; the first has the page's
     entity tag, the second only its modification date, and that of every
-    seventh page comes with another tag.
+    seventh page comes with another tag. Record 4n+3 of every fifth page is a
+    not-found answer, half an hour after the capture.
     """
     start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60)
     tag, changed = F.md5("html"), (F.col("page_id") % 7 == 0)
@@ -129,16 +149,18 @@ def capture_log(pages: DataFrame) -> DataFrame:
         F.when(changed, F.create_map(F.lit("etag"), F.lit("other"))).otherwise(F.create_map().cast("map<string,string>")),
     )
     rows = F.array(
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("later"), F.lit("response").alias("warc_type"), answer.alias("headers")),
-        F.struct(F.lit(1).alias("n"), F.lit(3600).alias("later"), F.lit("revisit").alias("warc_type"), first.alias("headers")),
-        F.struct(F.lit(2).alias("n"), F.lit(259_200).alias("later"), F.lit("revisit").alias("warc_type"), second.alias("headers")),
+        *(
+            F.struct(F.lit(n).alias("n"), F.lit(later).alias("later"), F.lit(kind).alias("warc_type"), F.lit(status).alias("status"), headers.alias("headers"))
+            for n, later, kind, status, headers in ((0, 0, "response", 200, answer), (1, 3600, "revisit", 304, first), (2, 259_200, "revisit", 304, second), (3, 1800, "response", 404, first))
+        )
     )
-    each = pages.select("page_id", "url", start.alias("start"), F.explode(rows).alias("r"))
+    each = pages.select("page_id", "url", start.alias("start"), F.explode(rows).alias("r")).where("r.n < 3 or page_id % 5 = 0")
     return each.select(
         (F.col("page_id") * 4 + F.col("r.n")).alias("record_id"),
         "url",
         (F.col("start") + F.make_dt_interval(secs=F.col("r.later").cast("decimal(18,6)"))).alias("warc_date"),
         F.col("r.warc_type").alias("warc_type"),
+        F.col("r.status").alias("status"),
         F.col("r.headers").alias("headers"),
     )
 

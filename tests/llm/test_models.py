@@ -141,25 +141,64 @@ def test_quality_edges(spark, make, edge_rows):
     assert qc.quality_scores(make([]), labels).count() == 0
 
 
+def small_weights(draw):
+    return {k: draw.normal(size=s) for k, s in qc.SHAPES.items()}
+
+
+TEXTS = ["two words", "", "  lead " + "ab cd " * 100 + "é end\n", "x", "Some other text, of " + "many words " * 60]
+
+
+def test_forward_pass_matches_brute_force():
+    """Passages, hashed embeddings, attention and score in plain loops."""
+    import math
+
+    import xxhash
+
+    w = small_weights(np.random.default_rng(1))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    want = []
+    for text in TEXTS:
+        data = text.encode()
+        spans = [(i, j) for i in range(len(data)) if (i == 0 or data[i - 1 : i].isspace()) and not data[i : i + 1].isspace() for j in [i]]
+        n = max(1, -(-len(spans) // qc.PASSAGE))
+        owner = [max(0, sum(s <= at for s, _ in spans) - 1) // qc.PASSAGE for at in range(len(data))]
+        hidden = []
+        for p in range(n):
+            runs = [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> 19 for i in range(len(data) - 2) if owner[i] == p]
+            own = [xxhash.xxh3_64_intdigest(x) % qc.ROWS for x in data.split()[p * qc.PASSAGE : (p + 1) * qc.PASSAGE]]
+            x = w["e"].copy()
+            last = [max((j for j in range(i) if own[j] == own[i]), default=None) for i in range(len(own))]
+            gaps = [0 if j is None else min(qc.GAPS - 1, 1 + int(math.log2(i - j))) for i, j in enumerate(last)]
+            for table, rows in (("R", runs), ("W", own), ("G", gaps)):
+                if rows:
+                    x = x + sum(w[table][r] for r in rows) / len(rows)
+            hidden.append(np.tanh(x))
+        logits = [sum(math.tanh(h @ w["V"][:, k]) * sigmoid(h @ w["U"][:, k]) * w["a"][k] for k in range(qc.GATE)) for h in hidden]
+        weight = [math.exp(x - max(logits)) for x in logits]
+        z = sum(a * h for a, h in zip(weight, hidden)) / sum(weight)
+        want.append(sigmoid(z @ w["c"] + w["b"][0]))
+    bags = qc.Bags.of([t.encode() for t in TEXTS])
+    assert np.allclose(qc.forward(w, bags)[0], want)
+    packed = qc.Bags.unpack([qc.Bags.of([t.encode()]).pack() for t in TEXTS])
+    assert np.allclose(qc.forward(w, packed)[0], want)
+
+
 def test_attention_gradients():
-    draw = np.random.default_rng(1)
-    x, n, y = draw.normal(size=(9, qc.FEATURES)), np.array([2, 4, 3]), np.array([1.0, 0, 1])
-    shape = {"E": (qc.FEATURES, 3), "e": (3,), "V": (3, 2), "U": (3, 2), "a": (2,), "c": (3,), "b": (1,)}
-    w = {k: draw.normal(size=s) for k, s in shape.items()}
+    w, bags, y = small_weights(np.random.default_rng(2)), qc.Bags.of([t.encode() for t in TEXTS]), np.array([1.0, 0, 1, 1, 0])
 
     def loss(w):
-        p = qc._forward(w, x, n)[0]
-        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+        p = qc.forward(w, bags)[0]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    g = qc._gradients(w, x, n, y, np.ones(3))
+    g = qc.gradients(w, bags, y)
     for k in w:
-        at = tuple(0 for _ in w[k].shape)
+        at = np.unravel_index(np.abs(g[k]).argmax(), w[k].shape)
         moved = {a: b.copy() for a, b in w.items()}
         moved[k][at] += 1e-6
-        assert abs((loss(moved) - loss(w)) / 1e-6 - g[k][at]) < 1e-3
+        assert abs((loss(moved) - loss(w)) / 1e-6 - g[k][at]) < 1e-3, k
 
 
-RECORD = "record_id long, url string, warc_date timestamp, warc_type string, headers map<string,string>, site string, day string"
+RECORD = "record_id long, url string, warc_date timestamp, warc_type string, headers map<string,string>, status int, site string, hour string"
 
 
 def test_revisits(spark):
@@ -180,10 +219,25 @@ def test_revisits(spark):
         (None, "https://b.example/", D(2024, 2, 1), "revisit", {}),
         (12, "https://b.example/", D(2024, 2, 1), "warcinfo", {}),
     ]
-    records = spark.createDataFrame([(*r, "x", "y") for r in rows], RECORD)
+    records = spark.createDataFrame([(*r, 200 if r[3] == "response" else 304, "x", "y") for r in rows], RECORD)
     records = records.unionByName(records.where("record_id = 2"))
+    others = [
+        (13, "https://a.example/x", D(2024, 1, 1, 1, 30), "response", {"etag": '"a"'}, 404, "x", "y"),
+        (14, "https://a.example/x", D(2024, 1, 5, 1), "response", {"etag": '"b"'}, 206, "x", "y"),
+        (15, "https://a.example/x", D(2024, 1, 5, 2), "response", {"etag": '"b"'}, None, "x", "y"),
+        (5, "https://a.example/y", D(2024, 1, 4), "response", {"last-modified": "n"}, 200, "x", "y"),  # the later record of this id wins
+    ]
+    records = records.unionByName(spark.createDataFrame(others, RECORD))
     got = {r.record_id: (r.ref_id, r.status, r.headers) for r in wr.resolve_revisits(records).collect()}
     assert got.pop(2) == (1, "resolved", {"etag": 'W/"a"', "content-type": "t", "date": "new"})
     assert got.pop(6) == (5, "resolved", {"last-modified": "m", "etag": '"q"'})
     assert {k: v[:2] for k, v in got.items()} == {3: (5, "unverified"), 4: (None, "missing"), 7: (5, "unverified"), 8: (None, "missing"), 9: (None, "missing"), 11: (10, "unverified")}
     assert wr.resolve_revisits(records.limit(0)).count() == 0
+
+
+def test_capture_log_of_odd_pages(spark):
+    """Null and repeated ids and urls, a very long page, other columns."""
+    pages = [(1, "http://a.b/", "x"), (1, "http://a.b/", "x"), (None, "http://a.b/", "x"), (5, None, None), (7, "not an address", "long " * 200_000)]
+    log = wr.capture_log(spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, headers string"))
+    got = {r.record_id: r.status for r in wr.resolve_revisits(log).collect()}
+    assert got == {5: "resolved", 6: "resolved", 21: "missing", 22: "missing", 29: "resolved", 30: "changed"}
