@@ -61,7 +61,7 @@ def test_decontamination_matches_brute_force(spark, make, edge_rows):
     rows = contaminated_rows(edge_rows)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for block in (16 << 20, 60):
-        got = sorted((tuple(r) for r in dc.decontaminate(make(rows), items, block_bytes=block).collect()), key=repr)
+        got = sorted((tuple(r)[:6] for r in dc.decontaminate(make(rows), items, block_bytes=block).collect()), key=repr)
         assert got == brute_contamination(rows, ITEMS)
 
 
@@ -71,30 +71,52 @@ def test_decontamination_of_empty_tables(spark, make):
     assert dc.decontaminate(make([]), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
-def test_proximity(spark, make):
-    docs = make([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha x x x x x x beta gamma delta"), (4, "beta gamma")])
-    got = dc.proximity_matches(docs, [(0, b"alpha beta gamma delta")], slop=1)
-    keyed = docs.select(dc.row_key("doc_id", "text").alias("key"), "doc_id")
-    assert sorted(r.doc_id for r in got.join(keyed, "key").collect()) == [1, 2]
+def brute_near(rows, items, slop, few):
+    """Item ids with a proximity match by document, in plain loops."""
+    seen = [w for _, t in rows for w in split(t)]
+    out = {}
+    for i, text in rows:
+        ws, names = split(text), set()
+        for name, item in items:
+            if name is None or not (own := split(item)):
+                continue
+            asked = sorted(range(len(own)), key=lambda at: (seen.count(own[at]), at))[:few]
+            places = {at: [p - at for p, w in enumerate(ws) if w == own[at]] for at in asked}
+            if any(all(any(d <= x <= d + slop for x in places[at]) for at in asked) for d in {x for p in places.values() for x in p}):
+                names.add(str(name))
+        out[i] = len(names)
+    return out
 
 
-def test_proximity_with_repeated_terms(spark, make):
-    """A stray term before the phrase, and the phrase twice, in blocks and without."""
+def test_proximity_matches_brute_force(spark, make):
+    """Stray terms before a phrase, a phrase twice, words put in, and items without words or terms, in blocks and without."""
     rows = [
         (1, "alpha x alpha beta x gamma delta"),
         (2, "x alpha beta gamma delta alpha beta gamma delta"),
         (3, "alpha x x x beta gamma delta"),
         (4, "x x alpha beta alpha x gamma delta"),
+        (5, "alpha x beta gamma delta"),
+        (6, "beta gamma"),
+        (7, None),
+        (8, "delta gamma beta alpha"),
     ]
-    docs = make(rows)
-    keyed = docs.select(dc.row_key("doc_id", "text").alias("key"), "doc_id")
-    got = dc.proximity_matches(docs, [(0, b"alpha beta gamma delta")], slop=2).join(keyed, "key").collect()
-    assert {r.doc_id for r in got} == {1, 2, 4}
-    assert {(r.first, r.last) for r in got if r.doc_id == 2} == {(1, 4), (5, 8)}
-    items = spark.createDataFrame([("a", "alpha beta gamma delta"), ("b", "beta gamma"), (None, "x")], "item_id string, text string")
-    got = dc.benchmark_proximity(docs, items, slop=2, block_bytes=12).join(keyed, "key").collect()
-    assert {r.doc_id for r in got if r.item_id == "a"} == {1, 2, 4}
-    assert {r.doc_id for r in got if r.item_id == "b"} == {1, 2, 3, 4}
+    items = [(1, "alpha beta gamma delta"), (2, "beta gamma"), (3, "none of these"), (4, None), (None, "x"), (1, "x x"), (5, " - ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for slop, few, block in ((0, 4, 1 << 20), (1, 4, 12), (2, 4, 1 << 20), (2, 3, 12), (3, 2, 30)):
+        got = {r.doc_id: r.n_near for r in dc.decontaminate(make(rows), bench, slop=slop, near_terms=few, block_bytes=block).collect()}
+        assert got == brute_near(rows, items, slop, few), (slop, few)
+    places = dc.benchmark_proximity(make(rows), bench, slop=0).where("item_id = 1 and doc_id = 2").collect()
+    assert {(r.first, r.last) for r in places} == {(1, 4), (5, 8)}
+
+
+def test_blocks_read_documents_no_oftener(spark, make, monkeypatch):
+    reads = []
+    for name in ("term_frequencies", "build_index"):
+        real = getattr(dc, name)
+        monkeypatch.setattr(dc, name, lambda *a, real=real, name=name: reads.append(name) or real(*a))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    dc.decontaminate(make([(1, "a b")]), items, block_bytes=40).count()
+    assert reads == ["term_frequencies", "build_index"]
 
 
 def brute_base(text):
