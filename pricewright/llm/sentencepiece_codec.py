@@ -272,7 +272,7 @@ def decode(encoded: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path, threads), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def _report(path: str, threads: int):
+def _report(path: str, threads: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
@@ -284,6 +284,7 @@ def _report(path: str, threads: int):
                 ids = codec.encode(texts)
                 back = codec.decode(ids)
                 judged = judge.encode(texts, num_threads=threads)
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity", *["ids"] * with_ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -292,23 +293,24 @@ def _report(path: str, threads: int):
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
                         pa.array([a == b for a, b in zip(back, texts)]),
                         pa.array([a == b for a, b in zip(ids, judged)]),
+                        *[pa.array(ids, pa.list_(pa.int32()))] * with_ids,
                     ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"],
+                    names=names,
                 )
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, threads: int = THREADS, with_ids: bool = False) -> DataFrame:
     """One row per document: what encoding and decoding gives, each verified.
 
     doc_id, n_tokens, ids_sha256 (of little-endian int32 ids), decoded_sha256,
-    round_trip (the decoded text is the text) and parity (the ids are those of
-    the sentencepiece library). Null texts count as empty; repeated rows give a
+    round_trip (the decoded text is the text), parity (the ids are those of
+    the sentencepiece library) and, ``with_ids``, the ids. Null texts count as empty; repeated rows give a
     row each; null doc_ids and other columns don't matter.
     """
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
-    return docs.select("doc_id", "text").mapInArrow(_report(path, threads), schema)
+    return docs.select("doc_id", "text").mapInArrow(_report(path, threads, with_ids), schema + ", ids array<int>" * with_ids)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

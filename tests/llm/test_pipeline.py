@@ -25,7 +25,8 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     want = {i for i, _ in rows if i not in bad}
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in got} == want and len(got) == len(want)
-    assert all(r.parity and r.round_trip for r in got)
+    assert all(r.parity and r.round_trip and len(r.ids) == r.n_tokens for r in got)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
 def test_stages_keep_the_columns(spark, make, edge_rows, sf_dir):
