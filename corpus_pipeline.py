@@ -29,7 +29,8 @@ def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     """``docs`` less the rows with a dropped doc_id.
 
     The ids are written first, so the planner knows their size: a small set is
-    broadcast, a large one joined by shuffle. Rows without a doc_id stay.
+    broadcast, a large one joined by shuffle. Rows without a doc_id stay; rows
+    that share one are decided alike, and go when one of them goes.
     """
     return docs.join(materialize(dropped.select("doc_id").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
 
@@ -59,7 +60,7 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     import public_tokenizers
 
     _spare_memory(spark)
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [
@@ -75,9 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{number}")
+    """The last stage's rows: doc_id, token ids and how they were verified. The session's batch size is restored."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        docs = load(spark, sf_dir, "documents")
+        for number, (_, stage) in enumerate(STAGES):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{number}")
+    finally:
+        spark.conf.set(size, before)
     return docs
