@@ -1,9 +1,9 @@
 """All registered queries of the price engine and their SQL oracles."""
 
-from pricewright.operators import activity, history, matching, offers, search
+from pricewright.operators import activity, history, identity, matching, offers, search
 from pricewright.plans import compare, matching_deep
 from pricewright.streaming import jobs
 
-MODULES = [offers, history, activity, search, matching, compare, matching_deep, jobs]
+MODULES = [offers, history, activity, search, matching, identity, compare, matching_deep, jobs]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in MODULES for name, text in module.ORACLES.items()}
