@@ -46,8 +46,8 @@ ANCHOR = 5
 NO_ID = -(2**63)
 #: Bytes of text whose documents a task settles among themselves.
 PART_BYTES = 12 << 20
-#: Bytes of text in a bucket of the keyed table, and how many buckets there are at least and at most.
-BUCKET_BYTES, FEWEST, MOST = 16 << 20, 16, 50_000
+#: Bytes of text in a bucket of the keyed table, and how many buckets there are at most.
+BUCKET_BYTES, MOST = 16 << 20, 50_000
 
 SEEDS = "grp long, key long, doc_id long, pos int, also array<int>, more binary"
 WINDOWS = "grp long, grp2 int, key long, doc_id long, pos int, also array<int>, more binary"
@@ -206,10 +206,14 @@ def _context(window: int, anchor: int):
     return run
 
 
-def in_buckets(df: DataFrame, key: str, n: int) -> DataFrame:
-    """``df`` written to the shared folder in ``n`` buckets of ``key``, so that joins on it don't move it again."""
+def in_buckets(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``keys``, so that joins on all of them don't move it again.
+
+    There are ``n`` buckets, or one for each shuffle partition if that is more: Spark would rather shuffle than use fewer.
+    """
     spark, name = df.sparkSession, f"keyed_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{scratch_root(spark)}/{name}").format("parquet").saveAsTable(name)
+    n = min(MOST, max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{scratch_root(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -240,7 +244,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     ranked = docs.select(row_key("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     whole = materialize(ranked.mapInArrow(_whole(window), "key long, doc_id long, n_bytes long, whole binary"), "wholes")
     n_rows, n_bytes = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    keyed = in_buckets(ranked, "key", min(MOST, max(FEWEST, math.ceil(n_bytes / BUCKET_BYTES))))
+    keyed = in_buckets(ranked, ["key", "doc_id"], math.ceil(n_bytes / BUCKET_BYTES))
     first = whole.where(F.col("whole").isNotNull() & (F.col("doc_id") != NO_ID)).groupBy("whole").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = left_join_by_size(whole.drop("n_bytes"), materialize(first, "first"), "whole", "n", n_rows)  # null digests match nothing
     copies = materialize(copies.where("doc_id > first_id").select("key", "doc_id").distinct(), "copies")
