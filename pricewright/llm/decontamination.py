@@ -53,31 +53,27 @@ def bitmap(terms: set[bytes]) -> np.ndarray:
     return bits
 
 
-class _Told:
-    """Which words of a task are terms, each word asked of the bitmap once."""
+def _told(bits: np.ndarray, seen: set[bytes]) -> frozenset[bytes]:
+    """The words that a bitmap has."""
+    each = list(seen)
+    places = np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each)) & np.uint64(BITS - 1)
+    return frozenset(each[i] for i in np.flatnonzero(bits[places]))
 
-    def __init__(self, packed: bytes):
-        self.bits, self.known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool), {}
 
-    def __call__(self, word: bytes) -> bool:
-        told = self.known.get(word)
-        if told is None:
-            if len(self.known) > 1 << 16:
-                self.known.clear()
-            told = self.known[word] = bool(self.bits[bucket(word)])
-        return told
+def _bits(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
 
 def _tally(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = _Told(packed)
+        bits = _bits(packed)
         for batch in batches:
             seen: Counter = Counter()
             for part in chunks(batch):
                 every: Counter = Counter()
                 for text in raw(part):
                     every.update(words(text, ALNUM))
-                seen.update({w: n for w, n in every.items() if told(w)})
+                seen.update({w: every[w] for w in _told(bits, every.keys())})
             yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=pa.schema([("term", pa.binary()), ("n", pa.int64())]))
 
     return run
@@ -91,13 +87,14 @@ def term_frequencies(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
 def _post(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = _Told(packed)
+        bits = _bits(packed)
         for batch in batches:
             for part in chunks(batch):
                 terms, owner, positions = [], [], []
-                for row, text in enumerate(raw(part)):
-                    own = list(words(text, ALNUM))
-                    lists: dict[bytes, list[int]] = {w: [] for w in set(own) if told(w)}
+                texts = [list(words(text, ALNUM)) for text in raw(part)]
+                asked = _told(bits, set().union(*texts))
+                for row, own in enumerate(texts):
+                    lists: dict[bytes, list[int]] = {w: [] for w in asked.intersection(own)}
                     if lists:
                         for at, w in enumerate(own):
                             if w in lists:
