@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import ALNUM, chunks, gram_hashes, load, mix, raw, values, word_hashes
+from pricewright.llm.common import ALNUM, chunks, gram_hashes, left_join_by_size, load, mix, raw, word_hashes
 from pricewright.operators.graph import components
 from pricewright.session import materialize
 
@@ -281,20 +281,21 @@ def _partners(least: float, best: bool):
     return run
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): nodes of documents, and verified links (u, v, similarity) between nodes.
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, members): documents of different words, verified links (u, v, similarity) between them, and all documents.
 
-    members: doc_id, whole (a digest of the words; null without words), node
-    (the smallest doc_id with these words).
+    nodes: whole (a digest of the words), node (the smallest doc_id with these
+    words) and n_whole (how many have them); members: doc_id and whole (null
+    without words).
     """
     idf = idf_table(docs)
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     signed = materialize(texts.mapInArrow(_sign(idf, bands, rows), SIGNATURES), "signatures")
-    some = signed.where("whole is not null")
-    first = some.groupBy("whole").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(
-        some.join(first, "whole").where("doc_id = node").select("node", "signature", "bands").dropDuplicates(["node", "signature"]), "nodes"
+    # equal words have equal samples, so any row's stand for the node
+    first = signed.where("whole is not null").groupBy("whole").agg(
+        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_whole"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s")
     )
+    nodes = materialize(first.select("whole", "node", "n_whole", "s.*"), "nodes")
     star = _star(nodes.select("node", F.explode("bands").alias("bucket")))
     least = threshold - 4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     compared = materialize(_agreement(star, nodes).where(F.col("agree") >= least).select("u", "v").distinct(), "likely")
@@ -306,8 +307,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
         pairs = materialize(pairs.join(compared, ["u", "v"], "left_anti"), "partners")
         links = links.unionByName(materialize(_verified(pairs, texts, idf, threshold), "links"))
         compared = compared.unionByName(pairs)
-    members = signed.join(first, "whole", "left").select("doc_id", "whole", "node")
-    return members, links
+    return nodes.select("whole", "node", "n_whole"), links, signed.select("doc_id", "whole")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -319,13 +319,12 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     too) are each a class. Rows with a null doc_id are left out; rows that
     share a doc_id are in one class when their words are equal or linked.
     """
-    members, links = near_links(docs, threshold)
-    labels = components(links)
-    named = members.join(labels, "node", "left").select(
-        "doc_id", F.coalesce("component", "node", "doc_id").alias("class_id")
-    )
-    sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    nodes, links, members = near_links(docs, threshold)
+    classes = nodes.join(components(links), "node", "left").select("whole", "n_whole", F.coalesce("component", "node").alias("of"))
+    named = left_join_by_size(members, materialize(classes, "node-classes"), "whole", "n_whole", members.count())
+    named = materialize(named.select("doc_id", F.coalesce("of", "doc_id").alias("class_id")), "classes")
+    sizes = materialize(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class-sizes")
+    return left_join_by_size(named, sizes, "class_id", "class_size", named.count()).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
