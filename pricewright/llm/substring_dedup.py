@@ -260,20 +260,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     by = Window.partitionBy("grp", "grp2")
     least = F.min(F.struct(F.col("doc_id").alias("e_doc"), F.col("key").alias("e_key"), F.col("pos").alias("e_pos"))).over(by)
     covered = near.mapInArrow(_context(window, anchor), WINDOWS).withColumn("least", least)
-    covered = covered.where("more is not null or least.e_doc < doc_id").select("key", "doc_id", "pos", "also", "more", "least.*")
-    covered = materialize(covered, "covered")
+    covered = covered.where("more is not null or least.e_doc < doc_id").withColumn("least", F.when(F.col("more").isNull(), F.col("least")))
+    # what a task has settled has no place (null) and no partner; it goes through the same aggregation
     places = F.explode(F.concat(F.array("pos"), F.coalesce("also", F.array().cast("array<int>"))))
-    placed = covered.where("more is null").select("key", "doc_id", "e_doc", "e_key", "e_pos", places.alias("at"))
+    placed = covered.select("key", "doc_id", "least.*", "more", places.alias("at"))
     reach = placed.groupBy("key", "doc_id", "e_doc", "e_key", (F.col("at") - F.col("e_pos")).alias("diagonal"))
-    reach = reach.agg(F.min("at").alias("lo"), (F.max("at") + window).alias("hi"))
-    alignments = materialize(reach.withColumn("e_lo", F.col("lo") - F.col("diagonal")).withColumn("e_hi", F.col("hi") - F.col("diagonal")), "alignments")
+    reach = reach.agg(F.min("at").alias("lo"), (F.max("at") + window).alias("hi"), F.collect_list("more").alias("more"))
+    reach = materialize(reach.withColumn("e_lo", F.col("lo") - F.col("diagonal")).withColumn("e_hi", F.col("hi") - F.col("diagonal")), "alignments")
+    alignments = reach.where("e_key is not null").drop("more", "diagonal")
     asked = alignments.select("e_key", "e_doc", "e_lo", "e_hi").distinct().groupBy(F.col("e_key").alias("key"), F.col("e_doc").alias("doc_id"))
     asked = asked.agg(F.collect_list(F.struct(F.col("e_lo").alias("lo"), F.col("e_hi").alias("hi"))).alias("asked"))
     cut = keyed.join(asked, ["key", "doc_id"]).select("key", "doc_id", "text", "asked")
     cut = materialize(cut.mapInArrow(_cut, "e_key long, e_doc long, e_lo int, e_hi int, passage binary"), "passages")
     carried = alignments.join(cut, ["e_key", "e_doc", "e_lo", "e_hi"]).groupBy("key", "doc_id").agg(F.collect_list(F.struct("lo", "passage")).alias("passages"))
     none = F.array().cast("array<binary>"), F.array().cast("array<struct<lo:int,passage:binary>>")
-    settled = covered.where("more is not null").groupBy("key", "doc_id").agg(F.collect_list("more").alias("more"))
+    settled = reach.where("e_key is null")
     every = [
         settled.select("key", "doc_id", "more", none[1].alias("passages"), F.lit(False).alias("all_of_it")),
         carried.select("key", "doc_id", none[0].alias("more"), "passages", F.lit(False).alias("all_of_it")),
