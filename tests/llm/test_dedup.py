@@ -188,3 +188,21 @@ def test_near_compares_all_pairs_of_crowded_buckets(make, monkeypatch):
     assert len(links) >= 30
     labels = {r.node: r.component for r in components(nd.near_links(docs, bands=1, rows=2)[1]).collect()}
     assert [(u, v) for u, v in links if labels.get(u, u) != labels.get(v, v)] == []
+
+
+def test_near_recall_by_link(spark):
+    """Of all pairs of sf0.01 at 0.8 or more, found without sampling, at least nine in ten are in one class."""
+    from pricewright.llm.common import load
+
+    docs = load(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text")
+    idf = nd.idf_table(docs)
+    weights = {r.doc_id: nd.weighted_shingles((r.text or "").encode(), idf) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, (shingles, _) in weights.items():
+        for h in shingles.tolist():
+            holders[h].append(i)
+    pairs = {(a, b) for own in holders.values() for a in own for b in own if a < b}
+    total = {i: float(w.sum()) for i, (_, w) in weights.items()}
+    near = [(a, b) for a, b in pairs if min(total[a], total[b]) >= 0.8 * max(total[a], total[b]) and nd.weighted_jaccard(weights[a], weights[b]) >= 0.8]
+    label = {r.doc_id: r.class_id for r in nd.near_dedup(docs).collect()}
+    assert len(near) > 50 and sum(label[a] == label[b] for a, b in near) >= 0.9 * len(near)
