@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewright.session import stored
+
 AS_OF = "2001-11-05 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 
@@ -83,7 +85,11 @@ class Catalog:
 
     @cached_property
     def offers(self) -> DataFrame:
-        """Latest price point by product and store; one partial aggregation, no sort."""
+        """The stored table of offers: the latest price point by product and store."""
+        return stored(self.spark, f"{self.sf_dir}/offers", self.latest_points)
+
+    def latest_points(self) -> DataFrame:
+        """One partial aggregation, no sort."""
         rest = ["offer_id", "cents", "currency", "ngn", "discount", "recorded_at", "in_stock"]
         newest = F.max_by(F.struct(*rest), F.struct("recorded_at", "order_no", "line_no")).alias("o")
         return self.points.groupBy("product_id", "store_id").agg(newest).select("product_id", "store_id", "o.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Characters that titles must not carry (controls, zero width, direction marks, replacement).
 HIDDEN = r"[\x{0000}-\x{001F}\x{007F}-\x{009F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}\x{FFFD}]"
-#: Where specifications begin in a title; the chip ends before.
+# Where specifications begin in a title; the chip ends before.
 SPECS = r"(?i)\s+(android mobile|smart ?phone|smart mobile|cellphone|with \d|wireless (earbuds|headphones)|noise cancelling|dual sim|unlocked|box deal|rom|ram|\d+ ?gb|\d+\.\d+ ?(inch|\")|\(|\|).*$"
 # How product lines are written.
 LINES = [("airpods", "AirPods"), ("macbook", "MacBook"), ("iphone", "iPhone"), ("ipad", "iPad"), ("imac", "iMac"), ("oled", "OLED"), ("qled", "QLED"), ("tv", "TV"), ("usb", "USB"), ("led", "LED")]

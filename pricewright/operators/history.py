@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.catalog import AS_OF, Catalog, as_of, days_before, sql
+from pricewright.session import refresh
 
 
 def price_timeseries(points: DataFrame, at: str = AS_OF, days_back: int = 90, carry: int = 21) -> DataFrame:
@@ -106,7 +107,9 @@ def q_purge_corrupt_history(spark, sf_dir):
 
 
 def q_retention_prune(spark, sf_dir):
-    return Catalog(spark, sf_dir).points.where(F.col("recorded_at") > days_before(90)).groupBy("store_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    """What the stored history holds by store after rows of more than 90 days are deleted."""
+    kept = refresh(f"{sf_dir}/history", Catalog(spark, sf_dir).points.where(F.col("recorded_at") > days_before(90)))
+    return kept.groupBy("store_id").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
 def q_coverage_bands(spark, sf_dir):

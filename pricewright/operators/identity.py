@@ -10,7 +10,7 @@ from pricewright.functions import display as D
 from pricewright.functions import identity as I
 from pricewright.functions import money as M
 from pricewright.functions import text as T
-from pricewright.operators.offers import BEST_OFFERS, DEALS, best_offers, deals
+from pricewright.operators.offers import BEST_OFFERS, DEALS, deals
 from pricewright.session import materialize
 
 #: Products as marketplaces spell them, in the SQL that both engines read.
@@ -58,13 +58,16 @@ def featured(c: Catalog) -> DataFrame:
         F.when(F.col("size") % 5 == 0, F.lpad(F.col("size").cast("string"), 13, "0")).alias("gtin"),
         I.product_type(norm).alias("type"), I.audience(listing).alias("audience"), _joined(T.variant_tokens(listing)).alias("variants"),
         _joined(I.size_tokens(listing)).alias("sizes"), I.fashion_size(listing).alias("fashion"), I.panel(norm).alias("panel"),
-        I.single_code(norm).alias("code"),
+        I.single_code(norm).alias("code"), I.family(norm).alias("family"), _joined(T.required_numbers(norm)).alias("numbers"),
+        T.model_tokens(norm).alias("models"), I.words(norm).alias("words"),
     )
 
 
 #: Price ratios between which two listings of a type may be one product, and of any other type.
 BANDS = {"phone": (0.4, 2.5), "case": (0.5, 2.0)}
 BAND = (0.33, 3.0)
+#: Share of the words of the shorter title that the other has to have.
+OVERLAP = 0.5
 
 
 def same_product_links(c: Catalog) -> DataFrame:
@@ -72,8 +75,9 @@ def same_product_links(c: Catalog) -> DataFrame:
 
     Candidates share an identifier, or a brand and title, so a block is no
     larger than the listings of one title; of its pairs only accepted ones
-    leave the join. An equal identifier accepts; then type, audience, variants,
-    sizes, panel, code and price must not differ.
+    leave the join. An equal identifier accepts; then type, audience, words,
+    family, variants, numbers, model words, sizes, panel, code and price must
+    not differ.
     """
     rows = materialize(featured(c), "features")
     fields = [f for f in rows.columns if f not in ("title", "norm", "signature")]
@@ -83,9 +87,13 @@ def same_product_links(c: Catalog) -> DataFrame:
         low, high = F.when(F.col("a_type") == kind, least).otherwise(low), F.when(F.col("a_type") == kind, most).otherwise(high)
     agree = lambda f: F.coalesce(F.col(f"a_{f}") == F.col(f"b_{f}"), F.lit(True))
     price = F.coalesce((F.col("a_ngn") / F.col("b_ngn")).between(low, high), F.lit(True))
-    alike = agree("type") & agree("audience") & agree("panel") & agree("code") & (F.col("a_variants") == F.col("b_variants")) & (F.col("a_sizes") == F.col("b_sizes"))
+    alike = agree("type") & agree("audience") & agree("panel") & agree("code") & agree("family")
+    for same in ("variants", "sizes", "numbers"):
+        alike = alike & (F.col(f"a_{same}") == F.col(f"b_{same}"))
+    apart = I.sets_conflict(F.col("a_fashion"), F.col("b_fashion")) | I.sets_conflict(F.col("a_models"), F.col("b_models"))
+    alike = alike & ~apart & (I.overlap(F.col("a_words"), F.col("b_words")) >= OVERLAP)
     named = a.join(b.withColumnRenamed("title", "b_title"), (F.col("title") == F.col("b_title")) & (F.col("a_found") == F.col("b_found")) & (F.col("a_id") < F.col("b_id")))
-    gated = named.where(~F.coalesce(F.col("a_gtin") == F.col("b_gtin"), F.lit(False)) & alike & ~I.sets_conflict(F.col("a_fashion"), F.col("b_fashion")) & price)
+    gated = named.where(~F.coalesce(F.col("a_gtin") == F.col("b_gtin"), F.lit(False)) & alike & price)
     equal = a.where("title is not null").join(b.withColumnRenamed("title", "b_title"), (F.col("a_gtin") == F.col("b_gtin")) & (F.col("title") == F.col("b_title")) & (F.col("a_id") < F.col("b_id")))
     return equal.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.lit("identifier").alias("gate")).unionByName(
         gated.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.lit("gates").alias("gate"))
@@ -116,11 +124,6 @@ def own_rows(df: DataFrame, owner: str, caller: int) -> DataFrame:
     return df.where(F.col(owner) == caller)
 
 
-def refreshed_offers(c: Catalog) -> DataFrame:
-    """The best offers as a stored view: written once, read by whatever browses after."""
-    return materialize(best_offers(c), "best-offers")
-
-
 def q_find_brand(spark, sf_dir):
     return identified(Catalog(spark, sf_dir)).select("product_id", F.col("found").alias("brand"))
 
@@ -263,10 +266,9 @@ def q_fx_offers(spark, sf_dir):
 
 
 def q_matview_browse(spark, sf_dir):
-    """Real deals read from the stored view, with the product's title."""
-    c = Catalog(spark, sf_dir)
-    view = refreshed_offers(c).where(F.col("is_real_deal") & ((F.col("discount") >= 3) | F.col("cross_store_cheapest")))
-    return view.join(c.products.select("product_id", "title"), "product_id").orderBy(F.desc("discount"), "offer_id").limit(300).select("offer_id", "title", "discount", "ngn")
+    """Real deals of the stored view by one predicate or another."""
+    view = deals(Catalog(spark, sf_dir)).where(F.col("is_real_deal") & ((F.col("discount") >= 3) | F.col("cross_store_cheapest")))
+    return view.orderBy(F.desc("discount"), "offer_id").limit(300).select("offer_id", "title", "discount", "ngn")
 
 
 def q_brand_hub(spark, sf_dir):
@@ -285,7 +287,7 @@ def q_store_hub(spark, sf_dir):
 
 def q_fts_gate(spark, sf_dir):
     """For listings of odd number the listing of even number with most words in common, if of the same brand and near enough."""
-    words = F.array_distinct(F.filter(F.split("norm", " "), lambda w: F.length(w) > 2))
+    words = I.words(F.col("norm"))
     rows = stored_identity(Catalog(spark, sf_dir)).where("found is not null").select("product_id", "title", F.col("found").alias("brand"), words.alias("words"))
     fresh = rows.where("cast(product_id as int) % 2 = 1").select(F.col("product_id").alias("fresh"), F.col("title").alias("t"), F.col("brand").alias("b"), F.col("words").alias("w"))
     stock = rows.where("cast(product_id as int) % 2 = 0")
@@ -347,9 +349,13 @@ FASHION = r"""list_sort(list_distinct(list_concat(list_transform(regexp_extract_
   list_transform(regexp_extract_all(lower(listing), '\b(?:size|sz)\s*[:.]?\s*([sml])\b', 1), lambda s: 'a' || s), list_transform(regexp_extract_all(lower(listing), '\b(xxs|xs|xl|xxl|xxxl|[234]xl)\b', 1), lambda s: 'a' || s),
   list_transform(regexp_extract_all(lower(listing), '\b((?:uk|eu|us)\s?\d{1,2}(?:\.5)?)\b', 1), lambda s: regexp_replace(s, '\s', '')))))"""
 PANELS = "list_filter([" + ", ".join(f"'{p}'" for p in I.PANELS) + r"], lambda p: regexp_matches(norm, '\b' || p || '\b'))"
+FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(norm, '{p}') THEN '{n}'" for n, p in I.FAMILIES) + " END"
+NUMBERS = r"""array_to_string(list_sort(list_distinct(list_filter(string_split_regex(norm, '[^a-z0-9]+'), lambda x: regexp_matches(x, '^\d{1,4}$') AND NOT coalesce(try_cast(x AS INT) BETWEEN 2015 AND 2030, false)))), ',')"""
+MODELS = "list_sort(list_distinct(list_filter(string_split_regex(norm, '[^a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 8 AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]'))))"
 FEATURES = IDENT + f""",
 feats AS (SELECT product_id::BIGINT AS id, title, norm, found, signature, ngn, CASE WHEN size % 5 = 0 THEN lpad(size::VARCHAR, 13, '0') END AS gtin, {TYPE} AS type, {AUDIENCE} AS audience, {VARIANTS} AS variants,
-  {SIZES} AS sizes, {FASHION} AS fashion, CASE WHEN len({PANELS}) = 1 THEN {PANELS}[1] END AS panel, CASE WHEN len(list_distinct({CODES})) = 1 THEN {CODES}[1] END AS code
+  {SIZES} AS sizes, {FASHION} AS fashion, CASE WHEN len({PANELS}) = 1 THEN {PANELS}[1] END AS panel, CASE WHEN len(list_distinct({CODES})) = 1 THEN {CODES}[1] END AS code,
+  {FAMILY} AS family, {NUMBERS} AS numbers, {MODELS} AS models, list_distinct(list_filter(string_split(norm, ' '), lambda x: length(x) > 2)) AS words
   FROM ident LEFT JOIN (SELECT product_id, min(ngn) AS ngn FROM live GROUP BY 1) USING (product_id))"""
 _HIDDEN = D.HIDDEN
 _LABEL = rf"trim(regexp_replace(regexp_replace(regexp_replace(listing, '<[^>]*>', ' ', 'g'), '{_HIDDEN}', '', 'g'), '\s+', ' ', 'g'))"
@@ -393,7 +399,7 @@ def _link() -> str:
 
 
 SUPPLIER = "lower(regexp_replace(store_name, '#0*', ' ', 'g'))"
-_pair = " AND ".join(f"coalesce(a.{f} = b.{f}, true)" for f in ("type", "audience", "panel", "code"))
+_pair = " AND ".join(f"coalesce(a.{f} = b.{f}, true)" for f in ("type", "audience", "panel", "code", "family"))
 _low = "CASE a.type " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in BANDS.items()) + f" ELSE {BAND[0]} END"
 _high = "CASE a.type " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in BANDS.items()) + f" ELSE {BAND[1]} END"
 _tech_body, _tech_cte = _tech()
@@ -413,7 +419,9 @@ ORACLES = {
     "title_gates": sql("SELECT id, type, audience, sizes, array_to_string(fashion, ',') AS fashion, panel, code FROM feats", FEATURES),
     "same_product_links": sql(
         f"""SELECT a.id AS a, b.id AS b, CASE WHEN coalesce(a.gtin = b.gtin, false) THEN 'identifier' ELSE 'gates' END AS gate FROM feats a JOIN feats b ON a.title = b.title AND a.id < b.id
-        WHERE coalesce(a.gtin = b.gtin, false) OR (a.found = b.found AND {_pair} AND a.variants = b.variants AND a.sizes = b.sizes
+        WHERE coalesce(a.gtin = b.gtin, false) OR (a.found = b.found AND {_pair} AND a.variants = b.variants AND a.sizes = b.sizes AND a.numbers = b.numbers
+          AND NOT (len(a.models) > 0 AND len(b.models) > 0 AND NOT list_has_any(a.models, b.models))
+          AND len(list_intersect(a.words, b.words)) >= {OVERLAP} * least(len(a.words), len(b.words)) AND least(len(a.words), len(b.words)) > 0
           AND NOT (len(a.fashion) > 0 AND len(b.fashion) > 0 AND NOT list_has_any(a.fashion, b.fashion)) AND coalesce(a.ngn / b.ngn BETWEEN {_low} AND {_high}, true))""",
         FEATURES,
     ),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pricewright.catalog import AS_OF, Catalog, days_before, sql
 from pricewright.functions import text as T
 from pricewright.operators.graph import components
+from pricewright.session import materialize, refresh
 
 # Price ratios between which two listings may be one product.
 PRICE_BAND = (0.33, 3.0)
@@ -45,7 +46,7 @@ def same_product(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 def judged_pairs(c: Catalog) -> DataFrame:
     """(a, b, decision) of all pairs of a block, a < b."""
-    rows = listings(c)
+    rows = materialize(listings(c), "listings")  # both sides read it
     fields = ["id", "listing", "brand", "gtin", "ngn"]
     left = rows.select("block", *(F.col(f).alias(f"a_{f}") for f in fields))
     right = rows.select("block", *(F.col(f).alias(f"b_{f}") for f in fields))
@@ -108,6 +109,12 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], order: list[st
     return current.join(last, keys, "left_anti").unionByName(last)
 
 
+def add_counters(current: DataFrame, batch: DataFrame, keys: list[str], counter: str) -> DataFrame:
+    """``current`` with the counters of ``batch`` added to those of equal keys; new keys are put in."""
+    both = current.select(*keys, counter).unionByName(batch.select(*keys, counter))
+    return both.groupBy(*keys).agg(F.sum(counter).alias(counter))
+
+
 def insert_if_absent(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """``current`` and those rows of ``batch`` whose key it lacks."""
     return current.unionByName(batch.dropDuplicates(keys).join(current, keys, "left_anti"))
@@ -173,10 +180,10 @@ def q_sink_insert_if_absent(spark, sf_dir):
 
 
 def q_sink_counter_upsert(spark, sf_dir):
-    """Daily counts of two kinds of events, added up."""
+    """Stored counts of one kind of events, after those of another are added."""
     c = Catalog(spark, sf_dir)
     parts = [c.events(kind).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")) for kind in ("click", "view")]
-    return parts[0].unionByName(parts[1]).groupBy("user_id").agg(F.sum("n").alias("n"))
+    return refresh(f"{sf_dir}/counters", add_counters(refresh(f"{sf_dir}/counters", parts[0]), parts[1], ["user_id"], "n"))
 
 
 def q_ingest_dedup(spark, sf_dir):
@@ -191,8 +198,10 @@ def q_ingest_dedup(spark, sf_dir):
 
 
 def q_orphan_reconcile(spark, sf_dir):
+    """Products without a live offer that was seen of late."""
     c = Catalog(spark, sf_dir)
-    return c.products.join(c.live, "product_id", "left_anti").select("product_id", "created_at")
+    fresh = c.live.where(F.col("recorded_at") > days_before(1200))
+    return c.products.join(fresh, "product_id", "left_anti").select("product_id", "created_at")
 
 
 def q_orphan_age_report(spark, sf_dir):
@@ -224,8 +233,10 @@ def q_country_backfill(spark, sf_dir):
 
 
 def q_canonical_store_map(spark, sf_dir):
-    name = F.lower(F.regexp_replace("store_name", "#0*", " "))
-    return Catalog(spark, sf_dir).stores.groupBy(F.substring(name, 1, 10).alias("canonical")).agg(F.array_join(F.array_sort(F.collect_list("store_id")), ",").alias("ids"))
+    """Each store under the first of the stores whose whole name, less what is no word or number, is the same."""
+    stores = Catalog(spark, sf_dir).stores.select("store_id", F.trim(F.regexp_replace(F.lower("store_name"), "[^a-z0-9]+", " ")).alias("name"))
+    first = stores.groupBy("name").agg(F.min("store_id").alias("canonical_id"))
+    return stores.join(first, "name").select("store_id", "canonical_id", "name")
 
 
 def q_health_checks(spark, sf_dir):
@@ -301,7 +312,7 @@ ORACLES = {
         LISTINGS,
         "keyed AS (SELECT *, regexp_replace(lower(listing), '[^a-z0-9]+', '', 'g') AS key FROM listings), stock AS (SELECT * FROM keyed WHERE ngn IS NOT NULL AND ngn % 2 = 0)",
     ),
-    "orphan_reconcile": sql("SELECT product_id, created_at FROM products WHERE product_id NOT IN (SELECT product_id FROM live)"),
+    "orphan_reconcile": sql("SELECT product_id, created_at FROM products WHERE product_id NOT IN (SELECT product_id FROM live WHERE recorded_at > TIMESTAMP '2001-11-05' - INTERVAL 1200 DAY)"),
     "orphan_age_report": sql(
         """SELECT CASE WHEN age < 1000 THEN 'new' WHEN age < 2000 THEN 'older' ELSE 'oldest' END AS bucket, count(*) AS n FROM (SELECT DATE '2001-11-05' - created_at::DATE AS age FROM products
         WHERE product_id IN (SELECT product_id FROM live GROUP BY 1 HAVING count(*) < 10)) GROUP BY 1"""
@@ -311,7 +322,9 @@ ORACLES = {
     "country_backfill": sql(
         "SELECT product_id, count(*) AS n, CASE WHEN count(DISTINCT country) = 1 THEN min(country) END AS country, count(DISTINCT country)::INT AS n_countries FROM live JOIN stores USING (store_id) GROUP BY 1 HAVING count(DISTINCT country) <= 3"
     ),
-    "canonical_store_map": sql("SELECT substr(lower(regexp_replace(store_name, '#0*', ' ', 'g')), 1, 10) AS canonical, array_to_string(list_sort(list(store_id)), ',') AS ids FROM stores GROUP BY 1"),
+    "canonical_store_map": sql(
+        "SELECT store_id, min(store_id) OVER (PARTITION BY name) AS canonical_id, name FROM (SELECT store_id, trim(regexp_replace(lower(store_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM stores)"
+    ),
     "health_checks": sql(
         'SELECT "check", value, threshold, value > threshold AS failed FROM ('
         + " UNION ALL ".join(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.catalog import AS_OF, Catalog, days_before, sql
+from pricewright.session import refresh, stored
 
 
 def best_offers(c: Catalog, at: str = AS_OF) -> DataFrame:
@@ -47,7 +48,11 @@ flags AS (
 
 
 def deals(c: Catalog) -> DataFrame:
-    """Best offers with product and store, the relation that browsing reads."""
+    """Best offers with product and store, the stored view that browsing reads."""
+    return stored(c.spark, f"{c.sf_dir}/deals", lambda: compute_deals(c))
+
+
+def compute_deals(c: Catalog) -> DataFrame:
     return best_offers(c).join(c.products, "product_id").join(c.stores, "store_id")
 
 
@@ -113,6 +118,20 @@ def q_best_offers(spark, sf_dir):
     return best_offers(Catalog(spark, sf_dir)).drop("recorded_at", "in_stock")
 
 
+def refresh_views(c: Catalog) -> None:
+    """Recompute the stored offers, then the deals that are made of them."""
+    refresh(f"{c.sf_dir}/offers", c.latest_points())
+    fresh = Catalog(c.spark, c.sf_dir)
+    refresh(f"{c.sf_dir}/deals", compute_deals(fresh))
+
+
+def q_matview_refresh(spark, sf_dir):
+    """The stored deals after a refresh."""
+    c = Catalog(spark, sf_dir)
+    refresh_views(c)
+    return deals(c).select(*SHOWN)
+
+
 def q_browse_deals(spark, sf_dir):
     return browse(Catalog(spark, sf_dir), min_discount=3, country="NATION_6", sort="discount").select(*SHOWN)
 
@@ -339,6 +358,7 @@ LOCAL = "coalesce(country = 'NATION_6', false)"
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
+    "matview_refresh": sql(f"SELECT {', '.join(SHOWN)} FROM deals", DEALS),
     "best_offers": sql("SELECT * EXCLUDE (recorded_at, in_stock) FROM best_offers", BEST_OFFERS),
     "browse_deals": sql(f"SELECT {S} FROM deals WHERE coalesce(discount, 0) >= 3 AND {REACH} ORDER BY {LOCAL} DESC, discount DESC NULLS LAST, offer_id LIMIT 500", DEALS),
     "browse_local_newest": sql(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from pricewright.operators.offers import DEALS, deals
 # Weights and admission limits of the two searches.
 PHRASE, ALL_WORDS, COMPOUND, SIMILAR = 2.0, 0.8, 1.5, 0.5
 ADMIT_PRODUCTS, ADMIT_DEALS = 0.18, 0.35
+SIMILAR_LEAST = 0.1
 
 
 def scored(df: DataFrame, query: str, title: str = "title") -> DataFrame:
@@ -67,22 +72,45 @@ def q_search_deals_fts(spark, sf_dir):
     return df.orderBy(F.desc(local), F.desc("score"), F.desc("discount"), F.desc("recorded_at"), "offer_id").limit(50).select("offer_id", "title", "score", "discount")
 
 
-def q_suggest_titles(spark, sf_dir):
-    """One title each, best similarity; substring hits only if there is nothing similar."""
-    titles = Catalog(spark, sf_dir).products.select("title", T.trigrams(F.col("title")).alias("t"), T.trigrams(T.squash(F.col("title"))).alias("s"))
-    q = "blu bolt"
-    score = F.greatest(T.similarity(F.col("t"), T.trigrams(F.lit(q))), T.similarity(F.col("s"), T.trigrams(F.lit(q.replace(" ", "")))))
+def suggest(c: Catalog, query: str, limit: int = 8) -> DataFrame:
+    """One title each, best similarity; titles that hold the query only if none is similar, scored below all that are."""
+    titles = c.products.select("title", T.trigrams(F.col("title")).alias("t"), T.trigrams(T.squash(F.col("title"))).alias("s"))
+    score = F.greatest(T.similarity(F.col("t"), T.trigrams(F.lit(query))), T.similarity(F.col("s"), T.trigrams(F.lit(query.replace(" ", "")))))
     one = titles.groupBy(F.lower("title").alias("title")).agg(F.round(F.max(score), 6).alias("score"))
-    return one.where("score > 0.1").orderBy(F.desc("score"), "title").limit(8)
+    best = F.broadcast(one.agg((F.coalesce(F.max("score"), F.lit(0.0)) > SIMILAR_LEAST).alias("similar")))  # one row
+    held = T.squash(F.col("title")).contains(query.replace(" ", ""))
+    part = F.round(F.lit(float(len(query))) / F.length("title") * SIMILAR_LEAST * 0.99, 6)
+    found = one.join(best).where(F.when(F.col("similar"), F.col("score") > SIMILAR_LEAST).otherwise(held))
+    return found.select("title", F.when(F.col("similar"), F.col("score")).otherwise(part).alias("score")).orderBy(F.desc("score"), "title").limit(limit)
+
+
+def q_suggest_titles(spark, sf_dir):
+    return suggest(Catalog(spark, sf_dir), "blu bolt")
+
+
+def q_suggest_substring(spark, sf_dir):
+    return suggest(Catalog(spark, sf_dir), "i")
+
+
+def similar_pairs(titles: DataFrame, least: float) -> DataFrame:
+    """(a, b, similar) of distinct titles at least ``least`` alike.
+
+    Two such titles share one of the rarest trigrams of each: a title of n
+    trigrams is looked up by its n - ceil(least * n) + 1 rarest ones only, so
+    frequent trigrams pair few titles and no pair is lost.
+    """
+    one = titles.select("title").distinct().select("title", T.trigrams(F.col("title")).alias("grams")).where(F.size("grams") > 0)
+    placed = one.select("title", F.explode("grams").alias("g"))
+    ranked = placed.join(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("ranked"))
+    few = (F.size("ranked") - F.ceil(F.size("ranked") * least - 1e-9) + 1).cast("int")
+    rare = ranked.select("title", F.col("ranked.g").alias("grams"), F.explode(F.slice("ranked.g", F.lit(1), few)).alias("g"))
+    pairs = rare.select(F.col("title").alias("a"), F.col("grams").alias("ga"), "g").join(rare.select(F.col("title").alias("b"), F.col("grams").alias("gb"), "g"), "g")
+    similar = F.round(T.similarity(F.col("ga"), F.col("gb")), 6)
+    return pairs.where("a < b").withColumn("similar", similar).where(F.col("similar") >= least).select("a", "b", "similar").distinct()
 
 
 def q_trigram_pairs(spark, sf_dir):
-    """Distinct titles at least half alike, through shared trigrams."""
-    titles = Catalog(spark, sf_dir).products.select("title").distinct()
-    grams = titles.select("title", F.explode(T.trigrams(F.col("title"))).alias("g"), F.size(T.trigrams(F.col("title"))).alias("n"))
-    a, b = grams.select(F.col("title").alias("a"), "g", F.col("n").alias("na")), grams.select(F.col("title").alias("b"), "g", F.col("n").alias("nb"))
-    pairs = a.join(b, "g").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.withColumn("similar", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)).where("similar >= 0.5").select("a", "b", "similar")
+    return similar_pairs(Catalog(spark, sf_dir).products, 0.5)
 
 
 def q_query_score(spark, sf_dir):
@@ -108,9 +136,10 @@ def q_url_hosts(spark, sf_dir):
 
 
 def q_title_key_documents(spark, sf_dir):
-    """Documents with the same key, the first named."""
-    docs = Catalog(spark, sf_dir).table("documents").withColumn("key", T.title_key(F.col("text")))
-    return docs.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first_id", "n", F.length("key").alias("n_key"))
+    """Documents whose whole texts have the same letters and digits, the first named."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "")
+    docs = Catalog(spark, sf_dir).table("documents").select("doc_id", F.sha2(letters, 256).alias("key"), F.length(letters).alias("n_key"))
+    return docs.groupBy("key", "n_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first_id", "n", "n_key")
 
 
 def q_content_hash(spark, sf_dir):
@@ -127,22 +156,86 @@ def q_category_infer(spark, sf_dir):
     return Catalog(spark, sf_dir).products.groupBy("category", T.first_rule(F.col("title"), rules, "other").alias("inferred")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Query vectors that a pass over all rows answers.
+QUERY_BLOCK = 4096
+
+
+def _best_of_batch(ids: np.ndarray, queries: np.ndarray, score: Callable, k: int):
+    """For each query the ``k`` best rows of each batch, by score and then vec_id, itself left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("vec_id").to_numpy()
+            scores = score(np.array(batch.column("embedding").to_pylist(), np.float64), queries)
+            scores[own[:, None] == ids[None]] = -np.inf
+            order = np.argsort(own, kind="stable")
+            best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
+            value = np.take_along_axis(scores, best, 0)
+            some = np.isfinite(value)
+            columns = np.broadcast_to(ids, best.shape)[some], own[best][some], value[some]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest(rows: DataFrame, queries: DataFrame, score: Callable, k: int) -> DataFrame:
+    """(q_id, vec_id, score): the ``k`` best rows for each query.
+
+    Queries are taken in blocks of ``QUERY_BLOCK`` vectors against all rows; a
+    task keeps k rows by query and batch, and a top k over those follows. Rows
+    and queries without a vector are left out.
+    """
+    rows, queries = (df.where("vec_id is not null and embedding is not null").select("vec_id", "embedding") for df in (rows, queries))
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for block in range(n):
+        held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == block).orderBy("vec_id").collect()  # about QUERY_BLOCK vectors
+        ids, vectors = np.array([r.vec_id for r in held], np.int64), np.array([r.embedding for r in held], np.float64)
+        part = rows.mapInArrow(_best_of_batch(ids, vectors, score, k), "q_id long, vec_id long, score double") if held else None
+        found = part if found is None else found if part is None else found.unionByName(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "q_id long, vec_id long, score double")
+    by = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= k).drop("rn")
+
+
+def _cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((rows**2).sum(1))[:, None] * np.sqrt((queries**2).sum(1))[None]
+    return np.divide(rows @ queries.T, norms, out=np.full((len(rows), len(queries)), -np.inf), where=norms > 0)
+
+
+def _rounded(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    return np.round(_cosines(rows, queries), 4)
+
+
+def _hybrid(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    return np.round(0.6 * _cosines(rows[:, :32], queries[:, :32]) + 0.4 * _cosines(rows[:, 32:64], queries[:, 32:64]), 4)
+
+
+def _same_bits(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Less the Hamming distance of the signs."""
+    a, b = (np.packbits(x[:, :64] > 0, axis=1).view(np.uint64)[:, 0] for x in (rows, queries))
+    return -np.bitwise_count(a[:, None] ^ b[None]).astype(np.float64)
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 50."""
+    return rows.where("vec_id % 50 = 0")
+
+
 def q_vec_topk(spark, sf_dir):
-    """Ten nearest by cosine to vector 0, itself left out."""
+    """Ten nearest by cosine."""
     rows = Catalog(spark, sf_dir).table("embeddings")
-    anchor = F.broadcast(rows.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
-    score = F.round(V.cosine(F.col("embedding"), F.col("q")), 4)
-    near = rows.where("vec_id <> 0").join(anchor).select("vec_id", "label", score.alias("similarity"))
-    return near.orderBy(F.desc("similarity"), "vec_id").limit(10)
+    found = nearest(rows, asked(rows), _rounded, 10)
+    return found.join(rows.select("vec_id", "label"), "vec_id").select("q_id", "vec_id", "label", F.col("score").alias("similarity"))
 
 
 def q_vec_hybrid(spark, sf_dir):
-    """0.6 of one half's cosine and 0.4 of the other's."""
+    """Ten best by 0.6 of one half's cosine and 0.4 of the other's."""
     rows = Catalog(spark, sf_dir).table("embeddings")
-    anchor = F.broadcast(rows.where("vec_id = 1").select(F.col("embedding").alias("q")))
-    parts = [V.cosine(F.slice("embedding", at, 32), F.slice("q", at, 32)) for at in (1, 33)]
-    near = rows.where("vec_id <> 1").join(anchor).select("vec_id", F.round(0.6 * parts[0] + 0.4 * parts[1], 4).alias("score"))
-    return near.orderBy(F.desc("score"), "vec_id").limit(10)
+    return nearest(rows, asked(rows), _hybrid, 10)
 
 
 def q_vec_get(spark, sf_dir):
@@ -150,13 +243,15 @@ def q_vec_get(spark, sf_dir):
     return rows.where(F.col("vec_id").isin(3, 7, 11)).select("vec_id", F.size("embedding").alias("n"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm2"))
 
 
+# Bits within which two hashes are one product, or alike enough for an upload.
+SAME_BITS, NEAR_BITS = 6, 10
+
+
 def q_phash_nearest(spark, sf_dir):
-    """The stored hash nearest to each of three query hashes, if within 24 bits."""
-    rows = Catalog(spark, sf_dir).table("embeddings").select("vec_id", V.sign_hash(F.col("embedding")).alias("h"))
-    asked = F.broadcast(rows.where("vec_id < 3").select(F.col("vec_id").alias("q_id"), F.col("h").alias("q")))  # three rows
-    pairs = rows.join(asked, F.col("vec_id") != F.col("q_id")).withColumn("distance", V.hamming64(F.col("h"), F.col("q")))
-    best = pairs.groupBy("q_id").agg(F.min(F.struct("distance", "vec_id")).alias("b")).select("q_id", "b.distance", "b.vec_id")
-    return best.where("distance <= 24")
+    """The stored hash nearest to each query's, its distance, and what that means."""
+    rows = Catalog(spark, sf_dir).table("embeddings")
+    best = nearest(rows, asked(rows), _same_bits, 1).select("q_id", (-F.col("score")).cast("int").alias("distance"), "vec_id")
+    return best.withColumn("match", F.when(F.col("distance") <= SAME_BITS, "same").when(F.col("distance") <= NEAR_BITS, "near").otherwise("none"))
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -194,6 +289,11 @@ def _cos(a: str, b: str) -> str:
     return f"({DOT.format(a=a, b=b)} / (sqrt({DOT.format(a=a, b=a)}) * sqrt({DOT.format(a=b, b=b)})))"
 
 
+def _nearest_sql(name: str, score: str, extra: str = "") -> str:
+    return f"""SELECT q_id, vec_id, {extra}{name} FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY {name} DESC, vec_id) AS rn FROM (
+        SELECT b.vec_id AS q_id, a.vec_id, a.label, {score} AS {name} FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rn <= 10"""
+
+
 ORACLES = {
     "search_products_fts": _products("red widget"),
     "search_products_compound": _products("redwidget"),
@@ -205,6 +305,7 @@ ORACLES = {
         f"""SELECT title, score FROM (SELECT lower(title) AS title, round(max(greatest({_sim(_tri('title'), _tri("'blu bolt'"))}, {_sim(_tri("replace(title, ' ', '')"), _tri("'blubolt'"))})), 6) AS score FROM products GROUP BY 1)
         WHERE score > 0.1 ORDER BY score DESC, title LIMIT 8"""
     ),
+    "suggest_substring": sql("SELECT title, round(1.0 / length(title) * 0.1 * 0.99, 6)::DOUBLE AS score FROM (SELECT DISTINCT lower(title) AS title FROM products) WHERE contains(replace(title, ' ', ''), 'i') ORDER BY score DESC, title LIMIT 8"),
     "trigram_pairs": sql(f"SELECT a.title AS a, b.title AS b, round({_sim('a.t', 'b.t')}, 6) AS similar FROM t a JOIN t b ON a.title < b.title WHERE round({_sim('a.t', 'b.t')}, 6) >= 0.5", f"t AS (SELECT title, {_tri('title')} AS t FROM (SELECT DISTINCT title FROM products))"),
     "query_score": sql(
         "SELECT product_id, score FROM (SELECT product_id, contains(x, 'brand')::INT + 3 * contains(x, '17')::INT + contains(x, 'red')::INT + 3 * contains(x, '4')::INT AS score FROM (SELECT product_id, lower(brand || ' ' || title) AS x FROM products)) WHERE score > 1"
@@ -215,14 +316,17 @@ ORACLES = {
     "html_title_meta": """SELECT page_id, replace(replace(replace(replace(replace(replace(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title,
         len(regexp_extract_all(html, '<a href='))::INT AS n_links FROM pages""",
     "url_hosts": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, count(*) AS n, count(*) FILTER (WHERE regexp_matches(url, '[?&](utm_|ref=)')) AS n_tracked FROM pages GROUP BY 1",
-    "title_key_documents": "SELECT min(doc_id) AS first_id, count(*) AS n, length(k)::INT AS n_key FROM (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 120) AS k FROM documents) GROUP BY k HAVING count(*) > 1",
+    "title_key_documents": "SELECT min(doc_id) AS first_id, count(*) AS n, length(k)::INT AS n_key FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS k FROM documents) GROUP BY k HAVING count(*) > 1",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "category_infer": sql(
         r"""SELECT category, CASE WHEN regexp_matches(title, '(?i)\b(ring|plate)\b') THEN 'jewellery' WHEN regexp_matches(title, '(?i)\b(bolt|rod|gear|anvil)\b') THEN 'hardware' WHEN regexp_matches(title, '(?i)gizmo|widget') THEN 'gadgets' ELSE 'other' END AS inferred, count(*) AS n FROM products GROUP BY 1, 2"""
     ),
-    "vec_topk": f"SELECT vec_id, label, round({_cos('embedding', 'q')}, 4) AS similarity FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 10",
-    "vec_hybrid": f"SELECT vec_id, round(0.6 * {_cos('embedding[1:32]', 'q[1:32]')} + 0.4 * {_cos('embedding[33:64]', 'q[33:64]')}, 4) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 1) WHERE vec_id <> 1 ORDER BY score DESC, vec_id LIMIT 10",
+    "vec_topk": _nearest_sql("similarity", f"round({_cos('a.embedding', 'b.embedding')}, 4)", "label, "),
+    "vec_hybrid": _nearest_sql("score", f"round(0.6 * {_cos('a.embedding[1:32]', 'b.embedding[1:32]')} + 0.4 * {_cos('a.embedding[33:64]', 'b.embedding[33:64]')}, 4)"),
     "vec_get": f"SELECT vec_id, len(embedding)::INT AS n, round({DOT.format(a='embedding', b='embedding')}, 4) AS norm2 FROM embeddings WHERE vec_id IN (3, 7, 11)",
-    "phash_nearest": """SELECT q_id, distance, vec_id FROM (SELECT a.vec_id AS q_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS distance, b.vec_id,
-        row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 3) WHERE rn = 1 AND distance <= 24""",
+    "phash_nearest": """SELECT q_id, distance, vec_id, CASE WHEN distance <= 6 THEN 'same' WHEN distance <= 10 THEN 'near' ELSE 'none' END AS match FROM (
+        SELECT a.vec_id AS q_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS distance, b.vec_id,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rn = 1""",
+    "required_numbers": r"""SELECT doc_id, numbers FROM (SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'),
+        lambda x: regexp_matches(x, '^\d{1,4}$') AND NOT coalesce(try_cast(x AS INT) BETWEEN 2015 AND 2030, false)))), ',') AS numbers FROM documents) WHERE numbers <> ''""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Where the stored relations of an application lie now: (application, name) to (schema, path).
+_stored: dict[tuple[str, str], tuple] = {}
+
+
+def refresh(name: str, df: DataFrame) -> DataFrame:
+    """Recompute a stored relation.
+
+    It is written beside the one in use and put in its place when complete, so
+    readers see the old rows or the new ones, and those that have begun keep theirs.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name.rsplit('/', 1)[-1]}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored[spark.sparkContext.applicationId, name] = df.schema, path
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored relation ``name``, built by its first reader."""
+    held = _stored.get((spark.sparkContext.applicationId, name))
+    if held is None:
+        return refresh(name, build())
+    schema, path = held
+    return spark.read.schema(schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pricewright.catalog import Catalog
+from pricewright.catalog import Catalog, sql
 from pricewright.session import scratch_root
 
 CHANGE = "product_id string, store_id string, seq long, cents long, currency string"
@@ -65,7 +65,8 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", delay: str = "1 d
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files at ``path``, with the schema they have now."""
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")
+    # a pattern that only this path fits: a stream reads no single file
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path[:-1]}[{path[-1]}]")
     # event time has to be an instant
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
@@ -119,5 +120,10 @@ def q_stream_price_changes(spark, sf_dir):
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
     "stream_window_counts": "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
+    "stream_price_changes": sql(
+        """SELECT product_id, store_id, seq, cents, currency FROM (SELECT *, lag(cents) OVER w AS c, lag(currency) OVER w AS k FROM (
+        SELECT *, datediff('day', DATE '1970-01-01', recorded_at::DATE)::BIGINT * 10000000000 + order_no * 100 + line_no AS seq FROM points) WINDOW w AS (PARTITION BY product_id, store_id ORDER BY seq))
+        WHERE c IS NULL OR c <> cents OR k <> currency"""
+    ),
     "stream_drop_repeats": "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS rn FROM events) WHERE rn = 1",
 }

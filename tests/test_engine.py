@@ -32,8 +32,7 @@ def plain(value):
     return f"{float(value):.5g}" if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
 
-@pytest.mark.parametrize("name", ["best_offers", "browse_deals", "three_pass_pool", "price_timeseries", "pending_alerts", "cdc_price", "search_products_fts", "same_product", "cluster_merge", "ingest_dedup"])
-def test_query_matches_oracle(spark, sf_dir, name):
+def agrees(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
@@ -42,6 +41,94 @@ def test_query_matches_oracle(spark, sf_dir, name):
     want = con.execute(f"SELECT {', '.join(names)} FROM ({registry.ORACLES[name]})").fetchall()
     rows = [tuple(plain(v) for v in r) for r in got.select(*names).collect()]
     assert sorted(rows, key=repr) == sorted((tuple(plain(v) for v in r) for r in want), key=repr)
+    return len(rows)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_matches_oracle(spark, sf_dir, name):
+    agrees(spark, sf_dir, name)
+
+
+LARGER = ["browse_deals", "three_pass_pool", "price_timeseries", "orphan_reconcile", "fixed_window_limit", "vec_topk", "trigram_pairs", "same_product_links", "resignature", "fts_gate", "stream_price_changes"]
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_matches_oracle_on_more_rows(spark, name):
+    assert agrees(spark, "/root/testdata/sf0.01", name) > 0
+
+
+def test_fixed_windows_are_a_fold(spark):
+    """A hot user, ties, nulls and windows across batches."""
+    from random import Random
+
+    draw = Random(3)
+    rows = [(i, 1 if i % 3 else draw.randrange(9), D.fromtimestamp(1_700_000_000 + draw.randrange(90_000))) for i in range(3000)]
+    rows += [(9000, None, D(2024, 1, 1)), (9001, 1, None), (9002, 77, D(2024, 1, 1)), (9003, 77, D(2024, 1, 1))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    got = {(r.user_id, r.event_id): r.window_no for r in activity.fixed_windows(events, 3600).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for user in {u for _, u, t in rows if u is not None}:
+        start, no = None, 0
+        for t, i in sorted((t, i) for i, u, t in rows if u == user and t is not None):
+            if start is None or (t - start).total_seconds() >= 3600:
+                start, no = t, no + 1
+            want[user, i] = no
+    assert got == want
+    assert activity.fixed_windows(events.limit(0), 3600).count() == 0
+
+
+def test_stored_relation_is_read_until_refreshed(spark):
+    from pricewright.session import refresh, stored
+
+    one, two = spark.range(3), spark.range(5)
+    held = stored(spark, "test/view", lambda: one)
+    assert stored(spark, "test/view", lambda: two).count() == 3
+    assert refresh("test/view", two).count() == 5 == stored(spark, "test/view", lambda: one).count()
+    assert held.count() == 3  # a reader that has begun keeps its rows
+
+
+def test_nearest_takes_queries_in_blocks(spark, monkeypatch):
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(4)]) for i in range(60)] + [(60, None), (None, [1.0] * 4), (61, [0.0] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = search.nearest(table, table.where("vec_id % 10 = 0"), search._rounded, 3).collect()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    assert sorted(search.nearest(table, table.where("vec_id % 10 = 0"), search._rounded, 3).collect()) == sorted(whole)
+    assert len(whole) == 18 and all(r.q_id != r.vec_id for r in whole)
+    assert search.nearest(table, table.limit(0), search._rounded, 3).count() == 0
+
+
+def test_identity_of_titles(spark):
+    from pricewright.functions import identity as I
+
+    def found(title):
+        return one(spark, I.find_brand(T.strip_punct(F.col("t"))), t=title)
+
+    assert [found(t) for t in ("Case for Samsung Galaxy S21", "Spigen, fits Apple iPhone", "Apple pie", "Apple iPhone 15", "Google Nest by Sony", "Google Pixel 8", "Fashion Nova HP dress", None)] == [
+        None, None, None, "apple", "sony", "google", "fashionnova", None,
+    ]
+    signed = lambda t: one(spark, I.signature(*(lambda n: (I.find_brand(n), I.find_model(I.find_brand(n), n), I.inches(n)))(T.strip_punct(F.col("t")))), t=t)
+    assert [signed(t) for t in ("Apple iPhone 15 Pro Max 256GB", "LG 55 inch OLED55C3 tv", "LG i7 16gb", "Samsung washing machine", "Nokia AB1200 6.1 inch")] == [
+        "apple|iphone 15 pro max", "lg|oled55c3|55in", None, None, "nokia|ab1200",
+    ]
+    clash = lambda a, b: one(spark, I.tech_conflict(T.strip_punct(F.col("a")), T.strip_punct(F.col("b"))), a=a, b=b)
+    assert clash("LG oled tv", "LG qled tv") and clash("x 64gb", "x 128gb") and not clash("LG oled tv", "LG tv") and clash("series 6", "series 7")
+    assert one(spark, F.array_join(I.size_tokens(F.col("t")), ","), t='Cup 40 oz, 2.0l 12" 5in') == "12inch,2l,40oz,5inch"
+    assert one(spark, F.array_join(I.fashion_size(F.col("t")), ","), t="UK 8 size M XXL sz 9.5") == "am,axxl,n9.5,uk8"
+    assert [one(spark, I.audience(F.col("t")), t=t) for t in ("OMEN laptop", "womens men", "unisex kids", "boys tee")] == [None, "women", None, "kids"]
+
+
+def test_shown_titles_and_links(spark):
+    from pricewright.functions import display as D_
+
+    shown = lambda f, t: one(spark, f(F.col("t")), t=t)
+    assert shown(D_.clean_title_display, "<b>S0es</b>\u200b - -- new") == "S0es - new" and shown(D_.clean_title_display, "Sh0es") == "Shoes"
+    assert shown(D_.friendly_chip, "samsung Galaxy A06-A065F") == "Samsung Galaxy A06" and shown(D_.friendly_chip, "apple IPHONE 15 128GB blue") == "Apple iPhone 15"
+    assert shown(D_.display_store_name, None) == "" and shown(D_.display_store_name, "Shop - the best") == "Shop" and len(shown(D_.display_store_name, "x" * 50)) == 32
+    assert shown(D_.slug_title, "https://a.b/p/red-big-shoe/bc189cd2-fca4-4021-aaaa-0123456789ab") == "Red Big Shoe"
+    assert shown(D_.slug_title, "https://a.b/p/ABC12345") is None and shown(D_.slug_title, None) is None
+    assert [shown(D_.is_relay, u) for u in ("https://www.google.co.uk/x", "https://notgoogle.com", "x", None)] == [True, False, False, False]
 
 
 def test_entry_has_rows(spark):
