@@ -11,10 +11,11 @@
 3. Documents with the same words are one node. In a bucket every node is
    paired with the smallest one. Pairs whose samples agree often enough are
    verified by weighted Jaccard similarity over whole texts.
-4. A bucket whose nodes the verified links don't join stays open: first the
-   best partners of its nodes outside their components are verified, then all
-   pairs of nodes that are still in different components. No pair that shares a
-   band is left out, unless links already join it or its samples rule it out.
+4. A bucket whose nodes the verified links don't join stays open: its texts meet
+   in tiles, where pairs of different components are verified and united at
+   once. A tile returns fewer links than it has nodes, however alike they are. No
+   pair that shares a band is left out, unless links already join it or its
+   samples rule it out.
 5. Components of the verified links are classes.
 """
 
@@ -42,12 +43,13 @@ POOL = 1 << 14
 #: Share of a weight that doesn't depend on document frequency.
 FLOOR = 0.5
 SEED = 20_240_601
-#: Nodes of a bucket in one group; a tile pairs two groups, so a task holds a part of a large bucket.
+#: Nodes of a bucket in one group, and bytes of their texts; a tile pairs two groups, so a task holds a part of a large bucket.
 GROUP = 4096
-#: Pairs of signatures that a task compares at a time.
-AT_ONCE = 1 << 18
+GROUP_BYTES = 8 << 20
+#: Candidates of a node in a tile from which their overlaps are counted by postings.
+CROWD = 16
 
-SIGNATURES = "doc_id long, whole binary, signature binary, bands array<long>"
+SIGNATURES = "doc_id long, n_bytes long, whole binary, signature binary, bands array<long>"
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,18 +76,19 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     return (FLOOR + (1 - FLOOR) * np.log(total / np.minimum(count, total)) / np.log(total)).astype(np.float32)
 
 
-def weighted_shingles(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingle hashes and their TF-IDF weights; a text of fewer words is one shingle."""
+def weighted_shingles(text: bytes, idf: np.ndarray, counted: bool = False) -> tuple[np.ndarray, ...]:
+    """Sorted shingle hashes and their TF-IDF weights (``counted``: and their counts); a text of fewer words is one shingle."""
     hashes = word_hashes(text, ALNUM)
     if not len(hashes):
-        return np.empty(0, np.uint64), np.empty(0, np.float32)
+        return (np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.int64))[: 2 + counted]
     wide = min(SHINGLE, len(hashes))
     grams = gram_hashes(hashes, wide, wide)
     by_word = idf[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
     running = np.append(0, np.cumsum(by_word, dtype=np.float64))
     mean = (running[wide:] - running[:-wide]) / wide
     shingles, first, times = np.unique(grams, return_index=True, return_counts=True)
-    return shingles, (times * mean[first]).astype(np.float32)
+    weights = (times * mean[first]).astype(np.float32)
+    return (shingles, weights, times)[: 2 + counted]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -137,8 +140,9 @@ def _sign(idf: np.ndarray, bands: int, rows: int):
         power = mix(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             for part in chunks(batch):
-                whole, signature, keys = [], [], []
+                whole, signature, keys, sizes = [], [], [], []
                 for text in raw(part):
+                    sizes.append(len(text))
                     shingles, weights = weighted_shingles(text, idf)
                     if not len(shingles):
                         whole.append(None), signature.append(None), keys.append(None)
@@ -150,11 +154,12 @@ def _sign(idf: np.ndarray, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        pa.array(sizes, pa.int64()),
                         pa.array(whole, pa.binary()),
                         pa.array(signature, pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "whole", "signature", "bands"],
+                    names=["doc_id", "n_bytes", "whole", "signature", "bands"],
                 )
 
     return run
@@ -207,68 +212,108 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, component, n): the buckets that hold more than one component, with their number of nodes."""
-    known = rows.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-    sizes = materialize(sizes.where("least < most").select("bucket", "n"), "open-sizes")
-    return materialize(known.join(sizes, "bucket"), "open")
+    """(bucket, node, component, n, n_bytes): the buckets that hold more than one component, with their number of nodes and bytes."""
+    known = rows.join(labels, "node", "left").select("bucket", "node", "n_bytes", F.coalesce("component", "node").alias("component"))
+    sizes = known.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"), F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    sizes = materialize(sizes.where("least < most").select("bucket", "n", F.col("bytes").alias("n_bytes")), "open-sizes")
+    return materialize(known.drop("n_bytes").join(sizes, "bucket"), "open")
 
 
-def _tiles(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(bucket, tile, side, node, component, signature), sorted by tile: any two nodes of a bucket meet in a tile."""
-    groups = F.ceil(F.col("n") / GROUP).cast("int")
+def _tiles(held: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, tile, side, node, component, signature, text), sorted by tile: any two nodes of a bucket meet in a tile."""
+    groups = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("n_bytes") / GROUP_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node"), groups).cast("int")
     meet = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
-    dealt = held.withColumn("groups", groups).withColumn("side", own).withColumn("other", meet)
+    signed = held.join(nodes.select("node", "signature"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    dealt = signed.withColumn("groups", groups).withColumn("side", own).withColumn("other", meet)
     dealt = dealt.withColumn("tile", F.least("side", "other") * F.col("groups") + F.greatest("side", "other"))
-    signed = dealt.join(nodes.select("node", "signature"), "node").select("bucket", "tile", "side", "node", "component", "signature")
-    return signed.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "component", "node")
+    rows = dealt.select("bucket", "tile", "side", "node", "component", "signature", "text")
+    return rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "component", "node")
+
+
+class _Overlaps:
+    """Weights that texts share, by postings of their shingles; a shingle that comes several times is as many features."""
+
+    def __init__(self, texts: list[bytes], idf: np.ndarray):
+        found = [self._features(t, idf) for t in texts]
+        self.total = np.array([float(w.sum()) for _, w in found])
+        node = np.repeat(np.arange(len(texts)), [len(f) for f, _ in found])
+        _, feature = np.unique(np.concatenate([f for f, _ in found]), return_inverse=True)
+        weight = np.concatenate([w for _, w in found])
+        order = np.argsort(feature, kind="stable")
+        self.node, self.weight = node[order], weight[order]
+        self.starts = np.append(0, np.cumsum(np.bincount(feature)))
+        self.own = np.split(feature, np.cumsum([len(f) for f, _ in found])[:-1])
 
+    @staticmethod
+    def _features(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shingles, weights, times = weighted_shingles(text, idf, counted=True)
+        copy = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        return mix(np.repeat(shingles, times) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(weights / times, times)
 
-def _partners(least: float, best: bool):
-    """Pairs in each tile that aren't in one component and whose samples agree at ``least`` so often; of ``best`` only one for each node."""
+    def similarity(self, i: int) -> np.ndarray:
+        """Weighted Jaccard similarity of text ``i`` with every text."""
+        at = [slice(self.starts[f], self.starts[f + 1]) for f in self.own[i]]
+        shared = np.bincount(np.concatenate([self.node[x] for x in at]), np.concatenate([self.weight[x] for x in at]), len(self.total))
+        return shared / np.maximum(self.total + self.total[i] - shared, 1e-9)
 
-    def pairs(side: np.ndarray, node: np.ndarray, component: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _links(idf: np.ndarray, least: float, threshold: float):
+    """Verified links of each tile, as few as join what it can join: texts are compared and united here, and no other pair leaves the task."""
+
+    def links(side: np.ndarray, node: np.ndarray, component: np.ndarray, sig: np.ndarray, texts: list[bytes]) -> list[tuple[int, int, float]]:
         across = side.min() < side.max()  # a tile of two groups: pairs within one have their own tile
-        step, at = max(1, AT_ONCE // len(node)), 0
-        while at < len(node):
-            to = min(at + step, len(node))
-            after = int(np.searchsorted(component, component[at], "right"))
-            if after == len(node):
-                return
-            agree = (sig[at:to, None] == sig[None, after:]).mean(2, dtype=np.float32)
-            agree[component[at:to, None] >= component[None, after:]] = -1
+        _, of = np.unique(component, return_inverse=True)
+        parent = list(range(int(of.max()) + 1))
+        held: dict[int, tuple] = {}
+        overlaps, out = None, []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def shingles(i: int) -> tuple:
+            if i not in held:
+                held[i] = weighted_shingles(texts[i], idf)
+            return held[i]
+
+        for i in range(len(node)):
+            agree = (sig[i] == sig[i + 1 :]).mean(1, dtype=np.float32)
+            agree[of[i + 1 :] == of[i]] = -1
             if across:
-                agree[side[at:to, None] == side[None, after:]] = -1
-            if best:
-                i, j = np.arange(to - at), agree.argmax(1)
-                some = agree[i, j] >= least
-                i, j = i[some], j[some]
-            else:
-                i, j = np.nonzero(agree >= least)
-            a, b = node[at:to][i], node[after:][j]
-            yield np.maximum(a, b), np.minimum(a, b)
-            at = to
+                agree[side[i + 1 :] == side[i]] = -1
+            near = np.flatnonzero(agree >= least)
+            near = near[np.argsort(-agree[near], kind="stable")] + i + 1
+            near = np.array([j for j in near.tolist() if root(int(of[j])) != root(int(of[i]))], np.int64)
+            if len(near) > CROWD:
+                overlaps = overlaps or _Overlaps(texts, idf)
+                same = overlaps.similarity(i)[near]
+                near = near[same >= threshold - 1e-3]
+            for j in near.tolist():
+                a, b = root(int(of[i])), root(int(of[j]))
+                if a != b and (same := weighted_jaccard(shingles(i), shingles(j))) >= threshold:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j])), same))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
         def found(last: bool) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(rest).combine_chunks()
+            table = pa.Table.from_batches(rest)
             column = {name: table.column(name).to_numpy() for name in ("bucket", "tile", "side", "node", "component")}
             new = (np.diff(column["bucket"]) != 0) | (np.diff(column["tile"]) != 0)
             ends = [0, *(np.flatnonzero(new) + 1).tolist(), *([table.num_rows] if last else [])]
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(table.num_rows, -1)
-            u, v, n = [], [], 0
             for a, b in zip(ends, ends[1:]):
-                for x, y in pairs(*(column[name][a:b] for name in ("side", "node", "component")), sig[a:b]):
-                    u.append(x), v.append(y)
-                    n += len(x)
-                    if n >= AT_ONCE:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-                        u, v, n = [], [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                part = table.slice(a, b - a)
+                sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u2").reshape(b - a, -1)
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+                if made := links(*(column[name][a:b] for name in ("side", "node", "component")), sig, texts):
+                    u, v, same = zip(*made)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(same, pa.float64())], names=["u", "v", "similarity"])
             rest[:] = table.slice(ends[-1]).to_batches()
 
         for batch in batches:
@@ -293,20 +338,19 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     signed = materialize(texts.mapInArrow(_sign(idf, bands, rows), SIGNATURES), "signatures")
     # equal words have equal samples, so any row's stand for the node
     first = signed.where("whole is not null").groupBy("whole").agg(
-        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_whole"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s")
-    )
-    nodes = materialize(first.select("whole", "node", "n_whole", "s.*"), "nodes")
+        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_whole"), F.max("n_bytes").alias("n_bytes"),
+        F.min_by(F.struct("signature", "bands"), "doc_id").alias("s"),
+    )
+    nodes = materialize(first.select("whole", "node", "n_whole", "n_bytes", "s.*"), "nodes")
     star = _star(nodes.select("node", F.explode("bands").alias("bucket")))
     least = threshold - 4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     compared = materialize(_agreement(star, nodes).where(F.col("agree") >= least).select("u", "v").distinct(), "likely")
     links = materialize(_verified(compared, texts, idf, threshold), "links")
-    held = nodes.select("node", F.explode("bands").alias("bucket"))
-    for best in (True, False):
-        held = _open(held, components(links))
-        pairs = _tiles(held, nodes).mapInArrow(_partners(least, best), "u long, v long").distinct()
-        pairs = materialize(pairs.join(compared, ["u", "v"], "left_anti"), "partners")
-        links = links.unionByName(materialize(_verified(pairs, texts, idf, threshold), "links"))
-        compared = compared.unionByName(pairs)
+    held = _open(nodes.select("node", "n_bytes", F.explode("bands").alias("bucket")), components(links))
+    asked = materialize(held.select(F.col("node").alias("doc_id")).distinct(), "asked")
+    tiles = _tiles(held, nodes, texts.join(asked, "doc_id", "left_semi"))
+    more = tiles.mapInArrow(_links(idf, least, threshold), "u long, v long, similarity double").distinct()
+    links = links.unionByName(materialize(more, "links"))
     return nodes.select("whole", "node", "n_whole"), links, signed.select("doc_id", "whole")
 
 
@@ -316,8 +360,9 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A class is a component of documents linked by equal words or a weighted
     Jaccard similarity of at least ``threshold``; class_id is its smallest
     doc_id, whose row is kept. Documents without words (null or empty texts
-    too) are each a class. Rows with a null doc_id are left out; rows that
-    share a doc_id are in one class when their words are equal or linked.
+    too) are each a class. Rows with a null doc_id are left out. Rows that share
+    a doc_id have the class of their words; if those come under no smaller id,
+    that is the id itself, and all of them are kept.
     """
     nodes, links, members = near_links(docs, threshold)
     classes = nodes.join(components(links), "node", "left").select("whole", "n_whole", F.coalesce("component", "node").alias("of"))

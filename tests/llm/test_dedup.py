@@ -190,6 +190,48 @@ def test_near_compares_all_pairs_of_crowded_buckets(make, monkeypatch):
     assert [(u, v) for u, v in links if labels.get(u, u) != labels.get(v, v)] == []
 
 
+def test_near_tiles_return_fewer_links_than_nodes(make, monkeypatch):
+    """A family whose members are all near the threshold: rows out of the tiles don't grow with its pairs."""
+    monkeypatch.setattr(nd, "CROWD", 4)
+    draw = np.random.default_rng(5)
+    base, texts = words(150, 77), {}
+    for i in range(60):
+        own = list(base)
+        for at in draw.choice(150, int(draw.integers(1, 3)), replace=False):
+            own[at] = f"own{i}x{at}"
+        texts[i] = " ".join(own)
+    docs = make(list(texts.items()))
+    idf = nd.idf_table(docs)
+    weights = {i: nd.weighted_shingles(t.encode(), idf) for i, t in texts.items()}
+    near = {(b, a) for a in texts for b in texts if a < b and nd.weighted_jaccard(weights[a], weights[b]) >= 0.8}
+    assert len(near) > 100 and len(near) < 1500
+    _, links, _ = nd.near_links(docs)
+    made = {(r.u, r.v) for r in links.collect()}
+    assert made <= near and len(made) < 14 * len(texts)
+    label = {i: i for i in texts}
+    for _ in texts:
+        for u, v in near:
+            label[u] = label[v] = min(label[u], label[v])
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(docs).collect()}
+    assert sum(got[i] == label[i] for i in texts) >= 0.9 * len(texts)
+
+
+def test_near_overlaps_equal_weighted_jaccard():
+    texts = [" ".join(words(n, 3)).encode() for n in (80, 60, 2)] + [b"same " * 50, b"same " * 30, b""]
+    idf = np.linspace(0.5, 1, nd.BUCKETS).astype(np.float32)
+    found = nd._Overlaps(texts, idf)
+    each = [nd.weighted_shingles(t, idf) for t in texts]
+    for i in range(5):
+        assert np.allclose(found.similarity(i), [nd.weighted_jaccard(each[i], other) for other in each], atol=1e-5)
+
+
+def test_near_one_id_with_two_texts(make):
+    a, b = words(60, 41), words(60, 42)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(b)), (9, " ".join(a[:59] + ["end"]))]
+    got = order(tuple(r) for r in nd.near_dedup(make(rows)).collect())
+    assert got == order([(5, 5, 4, True), (5, 5, 4, True), (7, 5, 4, False), (9, 5, 4, False)])
+
+
 def test_near_recall_by_link(spark):
     """Of all pairs of sf0.01 at 0.8 or more, found without sampling, at least nine in ten are in one class."""
     from pricewright.llm.common import load
