@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from pricewright.catalog import Catalog, sql
 from pricewright.functions import text as T
 from pricewright.functions import vectors as V
-from pricewright.operators.offers import DEALS, deals
 
-# Weights and admission limits of the two searches.
+# Weights of the parts of a score, and the least similarity of a suggestion.
 PHRASE, ALL_WORDS, COMPOUND, SIMILAR = 2.0, 0.8, 1.5, 0.5
-ADMIT_PRODUCTS, ADMIT_DEALS = 0.18, 0.35
 SIMILAR_LEAST = 0.1
 
 
@@ -24,8 +22,7 @@ def scored(df: DataFrame, query: str, title: str = "title") -> DataFrame:
     """Search score of each title: term rank, trigram similarity, phrase, whole words, compound.
 
     ``%`` and ``_`` in the query are wildcards of the phrase. The term rank is
-    the share of query words that the title has, a plain stand-in for a
-    stemming full-text rank.
+    the share of query words that the title has; ``fulltext`` ranks by stems.
     """
     q = query.lower().strip()
     words = [w for w in q.split(" ") if len(w) >= 2]
@@ -43,14 +40,6 @@ def scored(df: DataFrame, query: str, title: str = "title") -> DataFrame:
     return df.withColumns({"matched": hits > 0, "similar": similar, "phrase": phrase, "compound": compound, "score": F.round(score, 6)})
 
 
-def search_products(c: Catalog, query: str, limit: int) -> DataFrame:
-    """Top products by score, cut before they meet their best offers, so fewer may return."""
-    found = scored(c.products, query).where(F.col("matched") | (F.col("similar") > ADMIT_PRODUCTS) | F.col("phrase") | F.col("compound"))
-    top = found.orderBy(F.desc("score"), "product_id").limit(limit).select("product_id", "title", "score")
-    best = c.live.groupBy("product_id").agg(F.min(F.struct("ngn", "offer_id")).alias("b"))
-    return top.join(best, "product_id").select("product_id", "title", "score", "b.ngn", "b.offer_id")
-
-
 def postings_candidates(titles: DataFrame, queries: DataFrame, least_shared: int = 2) -> DataFrame:
     """(query_id, product_id) that share trigrams, by an equi-join of postings; the scale path of fuzzy search."""
     left = titles.select("product_id", F.explode(T.trigrams(F.col("title"))).alias("g"))
@@ -58,20 +47,6 @@ def postings_candidates(titles: DataFrame, queries: DataFrame, least_shared: int
     return left.join(right, "g").groupBy("query_id", "product_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
 
 
-def q_search_products_fts(spark, sf_dir):
-    return search_products(Catalog(spark, sf_dir), "red widget", 40)
-
-
-def q_search_products_compound(spark, sf_dir):
-    return search_products(Catalog(spark, sf_dir), "redwidget", 40)
-
-
-def q_search_deals_fts(spark, sf_dir):
-    df = scored(deals(Catalog(spark, sf_dir)), "blue gizmo").where(F.col("matched") | (F.col("similar") > ADMIT_DEALS) | F.col("compound"))
-    local = F.coalesce(F.col("country") == "NATION_6", F.lit(False))
-    return df.orderBy(F.desc(local), F.desc("score"), F.desc("discount"), F.desc("recorded_at"), "offer_id").limit(50).select("offer_id", "title", "score", "discount")
-
-
 def suggest(c: Catalog, query: str, limit: int = 8) -> DataFrame:
     """One title each, best similarity; titles that hold the query only if none is similar, scored below all that are."""
     titles = c.products.select("title", T.trigrams(F.col("title")).alias("t"), T.trigrams(T.squash(F.col("title"))).alias("s"))
@@ -275,13 +250,6 @@ def _scored(source: str, query: str) -> str:
         SELECT *, {hits} AS hits, {_sim(_tri('title'), _tri(f"'{query}'"))} AS sim, title ILIKE '%{query}%' AS phrase, {compound} AS compound FROM {source})"""
 
 
-def _products(query: str) -> str:
-    return sql(
-        f"""SELECT product_id, title, score, ngn, offer_id FROM (SELECT product_id, title, score FROM ({_scored('products', query)}) WHERE hits > 0 OR sim > {ADMIT_PRODUCTS} OR phrase OR compound
-        ORDER BY score DESC, product_id LIMIT 40) JOIN (SELECT product_id, min(ngn) AS ngn, first(offer_id ORDER BY ngn, offer_id) AS offer_id FROM live GROUP BY 1) USING (product_id)"""
-    )
-
-
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 
@@ -295,12 +263,6 @@ def _nearest_sql(name: str, score: str, extra: str = "") -> str:
 
 
 ORACLES = {
-    "search_products_fts": _products("red widget"),
-    "search_products_compound": _products("redwidget"),
-    "search_deals_fts": sql(
-        f"SELECT offer_id, title, score, discount FROM ({_scored('deals', 'blue gizmo')}) WHERE hits > 0 OR sim > {ADMIT_DEALS} OR compound ORDER BY coalesce(country = 'NATION_6', false) DESC, score DESC, discount DESC, recorded_at DESC, offer_id LIMIT 50",
-        DEALS,
-    ),
     "suggest_titles": sql(
         f"""SELECT title, score FROM (SELECT lower(title) AS title, round(max(greatest({_sim(_tri('title'), _tri("'blu bolt'"))}, {_sim(_tri("replace(title, ' ', '')"), _tri("'blubolt'"))})), 6) AS score FROM products GROUP BY 1)
         WHERE score > 0.1 ORDER BY score DESC, title LIMIT 8"""
