@@ -55,15 +55,37 @@ def judged_pairs(c: Catalog) -> DataFrame:
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), same_product(*ends).alias("decision"))
 
 
+def merging_links(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``links`` (u, v) that may merge: both of ``rows`` (id, brand, stores) have the same brand and one has a store the other lacks.
+
+    Unknown brands don't merge: through them chains of unlike products would.
+    """
+    known = rows.where("brand is not null").select("id", F.lower("brand").alias("brand"), F.array_sort("stores").alias("stores"))
+    u, v = (known.select(F.col("id").alias(e), F.col("brand").alias(f"brand_{e}"), F.col("stores").alias(f"stores_{e}")) for e in "uv")
+    both = links.select("u", "v").join(u, "u").join(v, "v")
+    return both.where((F.col("brand_u") == F.col("brand_v")) & (F.col("stores_u") != F.col("stores_v"))).select("u", "v")
+
+
+def merge_groups(links: DataFrame, rows: DataFrame, most: int = MAX_CLUSTER, ratio: float = MAX_RATIO) -> DataFrame:
+    """(node, component, n, merged): components of ``merging_links``, merged if neither too large nor too far apart in price.
+
+    ``rows`` (id, brand, stores, low, high) also has the range of a product's
+    prices; null prices don't count.
+    """
+    labels = materialize(components(merging_links(links, rows)), "labels")
+    sizes = labels.join(rows.select(F.col("id").alias("node"), "low", "high"), "node").groupBy("component").agg(
+        F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    kept = (F.col("n") <= most) & F.coalesce(F.col("high") <= F.col("low") * ratio, F.lit(True))
+    return labels.join(sizes, "component").select("node", "component", "n", kept.alias("merged"))
+
+
 def cluster_merge(c: Catalog) -> DataFrame:
-    """Clusters of accepted pairs, kept if neither too large nor too far apart in price."""
+    """Clusters of accepted pairs that bring a new store."""
     links = judged_pairs(c).where(F.col("decision").startswith("accept")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(links)
-    sizes = labels.join(listings(c).select(F.col("id").alias("node"), "ngn"), "node").groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ngn").alias("low"), F.max("ngn").alias("high")
-    )
-    kept = (F.col("n") <= MAX_CLUSTER) & (F.col("high") <= F.col("low") * MAX_RATIO)
-    return labels.join(sizes, "component").select("node", "component", "n", F.coalesce(kept, F.lit(False)).alias("merged"))
+    offered = c.live.groupBy("product_id").agg(F.collect_set("store_id").alias("stores"), F.min("ngn").alias("low"), F.max("ngn").alias("high"))
+    rows = listings(c).drop("ngn").join(offered, "product_id", "left").withColumn("stores", F.coalesce("stores", F.array().cast("array<string>")))
+    return merge_groups(links, rows)
 
 
 def leaders(c: Catalog) -> DataFrame:
@@ -232,6 +254,63 @@ def q_country_backfill(spark, sf_dir):
     return seen.where(F.size("countries") <= 3).select("product_id", "n", F.when(F.size("countries") == 1, F.element_at("countries", 1)).alias("country"), F.size("countries").alias("n_countries"))
 
 
+# How identifiers, names and addresses of stores say their country, in the order they are tried.
+ID_COUNTRIES = [("uae", "AE"), ("za", "ZA"), ("ae", "AE"), ("uk", "UK"), ("gb", "UK"), ("us", "US"), ("usa", "US"), ("de", "DE"), ("in", "IN"), ("ng", "NG")]
+ID_PREFIXES = [("uk", "UK"), ("us", "US"), ("de", "DE"), ("ng", "NG"), ("za", "ZA"), ("ae", "AE"), ("in", "IN")]
+NAME_COUNTRIES = [
+    (r"\b(UAE|U[.]A[.]E[.]?)\s*$", "AE"), (r"\b(UK|U[.]K[.]?|United Kingdom)\s*$", "UK"), (r"\b(USA|U[.]S[.]A[.]?|United States)\s*$", "US"), (r"\bGermany\s*$", "DE"),
+    (r"\bIndia\s*$", "IN"), (r"\bSouth Africa\s*$", "ZA"), (r"\bNigeria\s*$", "NG"),
+]
+DOMAIN_COUNTRIES = [
+    ("co.uk", "UK"), ("co.za", "ZA"), ("com.ng", "NG"), ("co.ng", "NG"), ("com.au", "AU"), ("com.tr", "TR"), ("co.in", "IN"), ("com.de", "DE"), ("uk", "UK"), ("de", "DE"), ("ng", "NG"),
+    ("za", "ZA"), ("in", "IN"), ("ae", "AE"), ("fr", "FR"), ("es", "ES"), ("it", "IT"), ("nl", "NL"),
+]
+HOME_CURRENCY, HOME_COUNTRY = "NGN", "NG"
+
+
+def country_rules() -> list[tuple[str, str, list[tuple[str, str]]]]:
+    """(rule, column, [(pattern, country)]) in order."""
+    ids = [(f"[-_]{code}$", country) for code, country in ID_COUNTRIES] + [(f"^{code}[-_]", country) for code, country in ID_PREFIXES]
+    domains = [(f"[.]{name.replace('.', '[.]')}(:|/|$)", country) for name, country in DOMAIN_COUNTRIES]
+    return [("id-pattern", "store_key", ids), ("name-pattern", "name", NAME_COUNTRIES), ("url-tld", "url", domains)]
+
+
+def country_votes(stores: DataFrame, offers: DataFrame, roster: DataFrame) -> DataFrame:
+    """``stores`` (store_id, store_key, name, url) with country, via and n_offers: the first rule that tells a country.
+
+    First the ``roster`` (store_key, country), then patterns of key, name and
+    address, then the currencies of a store's ``offers`` (store_id, currency):
+    all in the home currency, or they don't tell. Stores that none tells are
+    orphans without any offer, else unresolved. Offers are counted per store
+    before they meet it.
+    """
+    votes = offers.groupBy("store_id").agg(F.count(F.lit(1)).alias("n_offers"), F.count_if(F.col("currency").eqNullSafe(F.lit(HOME_CURRENCY))).alias("n_home"))
+    listed = roster.select("store_key", F.col("country").alias("listed")).dropDuplicates(["store_key"])
+    rows = stores.join(listed, "store_key", "left").join(votes, "store_id", "left").withColumn("n_offers", F.coalesce("n_offers", F.lit(0)))
+    told = [F.struct(F.col("listed").alias("country"), F.lit("roster").alias("via"))]
+    told += [F.struct(T.first_rule(F.col(column), [("(?i)" + p, country) for p, country in rules]).alias("country"), F.lit(rule).alias("via")) for rule, column, rules in country_rules()]
+    home = (F.col("n_offers") > 0) & (F.col("n_home") == F.col("n_offers"))
+    told.append(F.struct(F.when(home, HOME_COUNTRY).alias("country"), F.lit("offer-currency").alias("via")))
+    best = F.get(F.filter(F.array(*told), lambda x: x["country"].isNotNull()), F.lit(0))
+    none = F.when(F.col("n_offers") == 0, "orphan-no-offers").otherwise("unresolved")
+    return rows.select("store_id", best["country"].alias("country"), F.coalesce(best["via"], none).alias("via"), "n_offers")
+
+
+#: Keys, names and addresses of stores as marketplaces give them, in the SQL that both engines read.
+STORE_KEY = "CASE store_id % 7 WHEN 0 THEN 'shop' || store_id || '-uk' WHEN 1 THEN 'za_shop' || store_id ELSE 'shop' || store_id END"
+STORE_NAME = "CASE store_id % 5 WHEN 0 THEN 'Store ' || store_id || ' Germany ' WHEN 1 THEN 'U.A.E. Store ' || store_id WHEN 2 THEN 'Store of united states' ELSE 'Store ' || store_id END"
+STORE_URL = "CASE store_id % 4 WHEN 0 THEN 'https://s' || store_id || '.co.in/x' WHEN 1 THEN 'http://de.s' || store_id || '.com' WHEN 2 THEN 'https://s.fr:8080' END"
+
+
+def q_country_votes(spark, sf_dir):
+    """The country of every store and the rule that told it; the first stores are on a roster."""
+    c = Catalog(spark, sf_dir)
+    rows = c.stores.select(F.col("store_id").cast("long").alias("store_id"))
+    rows = rows.select(F.col("store_id").cast("string").alias("store_id"), F.expr(STORE_KEY).alias("store_key"), F.expr(STORE_NAME).alias("name"), F.expr(STORE_URL).alias("url"))
+    roster = rows.where("cast(store_id as int) < 3").select("store_key", F.lit("NG").alias("country"))
+    return country_votes(rows, c.live.select("store_id", "currency"), roster)
+
+
 def q_canonical_store_map(spark, sf_dir):
     """Each store under the first of the stores whose whole name, less what is no word or number, is the same."""
     stores = Catalog(spark, sf_dir).stores.select("store_id", F.trim(F.regexp_replace(F.lower("store_name"), "[^a-z0-9]+", " ")).alias("name"))
@@ -284,12 +363,27 @@ PAIRS = LISTINGS + """, pairs AS (
 )"""
 LEADERS = """counted AS (SELECT p.*, coalesce(n, 0) AS n_offers FROM products p LEFT JOIN (SELECT product_id, count(*) AS n FROM offers GROUP BY 1) USING (product_id)),
 leaders AS (SELECT product_id, first_value(product_id) OVER (PARTITION BY regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), brand ORDER BY n_offers DESC, created_at, product_id) AS leader_id FROM counted)"""
+_rules = ", ".join(
+    f"{{'c': CASE {' '.join(f'WHEN regexp_matches({column}, ' + chr(39) + '(?i)' + p + chr(39) + f') THEN {chr(39)}{country}{chr(39)}' for p, country in rules)} END, 'via': '{rule}'}}" for rule, column, rules in country_rules()
+)
 ORACLES = {
+    "country_votes": sql(
+        f"""SELECT store_id, told.c AS country, coalesce(told.via, CASE WHEN n_offers = 0 THEN 'orphan-no-offers' ELSE 'unresolved' END) AS via, n_offers FROM (
+        SELECT *, list_filter([{{'c': CASE WHEN store_id::INT < 3 THEN 'NG' END, 'via': 'roster'}}, {_rules}, {{'c': CASE WHEN n_offers > 0 AND n_home = n_offers THEN 'NG' END, 'via': 'offer-currency'}}], lambda x: x.c IS NOT NULL)[1] AS told
+        FROM (SELECT s.store_id::VARCHAR AS store_id, {STORE_KEY.replace('store_id', 's.store_id')} AS store_key, {STORE_NAME.replace('store_id', 's.store_id')} AS name, {STORE_URL.replace('store_id', 's.store_id')} AS url,
+          coalesce(n_offers, 0) AS n_offers, n_home FROM (SELECT store_id::BIGINT AS store_id FROM stores) s
+          LEFT JOIN (SELECT store_id::BIGINT AS store_id, count(*) AS n_offers, count(*) FILTER (WHERE currency = 'NGN') AS n_home FROM live GROUP BY 1) o ON o.store_id = s.store_id))"""
+    ),
     "same_product": sql("SELECT a, b, decision FROM pairs", PAIRS),
     "cluster_merge": sql(
-        """SELECT node, component, n, coalesce(n <= 5 AND high <= low * 4, false) AS merged FROM labels JOIN (SELECT component, count(*) AS n, min(ngn) AS low, max(ngn) AS high FROM labels JOIN listings ON id = node GROUP BY 1) USING (component)""",
+        """SELECT node, component, n, n <= 5 AND coalesce(high <= low * 4, true) AS merged FROM labels
+        JOIN (SELECT component, count(*) AS n, min(low) AS low, max(high) AS high FROM labels LEFT JOIN held ON held.id = node GROUP BY 1) USING (component)""",
         PAIRS,
-        """links AS (SELECT a AS u, b AS v FROM pairs WHERE decision LIKE 'accept%' UNION SELECT b, a FROM pairs WHERE decision LIKE 'accept%'),
+        """held AS (SELECT product_id::BIGINT AS id, list_sort(list(DISTINCT store_id)) AS stores, min(ngn) AS low, max(ngn) AS high FROM live GROUP BY 1),
+        fit AS (
+          SELECT p.a, p.b FROM pairs p JOIN listings x ON x.id = p.a JOIN listings y ON y.id = p.b LEFT JOIN held hx ON hx.id = p.a LEFT JOIN held hy ON hy.id = p.b
+          WHERE decision LIKE 'accept%' AND lower(x.brand) = lower(y.brand) AND coalesce(hx.stores, []) <> coalesce(hy.stores, [])
+        ), links AS (SELECT a AS u, b AS v FROM fit UNION SELECT b, a FROM fit),
         reach(node, seen) AS (SELECT DISTINCT u, u FROM links UNION SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.seen),
         labels AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)""",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
