@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.catalog import Catalog, sql
 from pricewright.functions import text as T
 from pricewright.functions import vectors as V
+from pricewright.session import materialize
 
 # Weights of the parts of a score, and the least similarity of a suggestion.
 PHRASE, ALL_WORDS, COMPOUND, SIMILAR = 2.0, 0.8, 1.5, 0.5
@@ -143,7 +145,8 @@ def _best_of_batch(ids: np.ndarray, queries: np.ndarray, score: Callable, k: int
             if not batch.num_rows:
                 continue
             own = batch.column("vec_id").to_numpy()
-            scores = score(np.array(batch.column("embedding").to_pylist(), np.float64), queries)
+            vectors = batch.column("embedding")
+            scores = score(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1), queries)
             scores[own[:, None] == ids[None]] = -np.inf
             order = np.argsort(own, kind="stable")
             best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
@@ -222,11 +225,72 @@ def q_vec_get(spark, sf_dir):
 SAME_BITS, NEAR_BITS = 6, 10
 
 
+#: A hash of 64 bits is cut into so many parts of so many bits.
+PARTS, PART_BITS = 4, 16
+#: Flipped bits of a part that are looked up, stage by stage.
+FLIPS = 3
+
+
+def sign_hash(vector: Column) -> Column:
+    """The signs of the first 64 elements as the bits of a long; more than 0 is a set bit."""
+    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.call_function("shiftleft", (x > 0).cast("long"), i))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda h, b: h.bitwiseOR(b))
+
+
+def _parts(hash_: Column, flips: int) -> Column:
+    """(part, value) of the parts of a hash, with exactly ``flips`` bits of each flipped in every way."""
+    masks = F.array(*(F.lit(sum(1 << i for i in at)).cast("long") for at in combinations(range(PART_BITS), flips)))
+    value = lambda k: F.shiftrightunsigned(hash_, k * PART_BITS).bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    return F.flatten(F.array(*(F.transform(masks, _flipped(k, value(k))) for k in range(PARTS))))
+
+
+def _flipped(part: int, value: Column) -> Callable[[Column], Column]:
+    return lambda mask: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(mask).alias("value"))
+
+
+def nearest_hashes(rows: DataFrame, queries: DataFrame, flips: int = FLIPS) -> tuple[DataFrame, DataFrame]:
+    """((q_id, vec_id, distance), the queries left): the nearest of ``rows`` (vec_id, hash) to ``queries`` by bits, itself left out.
+
+    Hashes are indexed by their parts. Two that differ in fewer than
+    ``PARTS * (s + 1)`` bits have a part in which at most ``s`` bits differ, so
+    looking parts up with up to s bits flipped finds all of them: a nearest one
+    within that distance is the nearest there is, and its query is done. Others
+    go on to the next s. Queries with none within ``PARTS * flips - 1`` bits are
+    left. Equal hashes are one entry with its two smallest ids, so large groups
+    of copies cost no more than one row. Ties go to the smallest id; nulls are
+    left out.
+    """
+    rows = rows.where("vec_id is not null and hash is not null")
+    least = rows.groupBy("hash").agg(F.min("vec_id").alias("one"))
+    second = rows.join(least, "hash").where("vec_id > one").groupBy("hash").agg(F.min("vec_id").alias("two"))
+    entries = materialize(least.join(second, "hash", "left"), "hash-entries")
+    index = materialize(entries.select("hash", "one", "two", F.explode(_parts(F.col("hash"), 0)).alias("p")).select("p.*", F.col("hash").alias("near"), "one", "two"), "hash-parts")
+    left = materialize(queries.where("vec_id is not null and hash is not null").select(F.col("vec_id").alias("q_id"), "hash"), "hash-queries")
+    best, found = None, []
+    for s in range(flips):
+        asked = left.select("q_id", "hash", F.explode(_parts(F.col("hash"), s)).alias("p")).select("q_id", "hash", "p.*")
+        other = F.when(F.col("one") == F.col("q_id"), F.col("two")).otherwise(F.col("one"))
+        hits = asked.join(index, ["part", "value"]).select("q_id", F.bit_count(F.col("hash").bitwiseXOR(F.col("near"))).alias("distance"), other.alias("vec_id")).where("vec_id is not null")
+        hits = hits if best is None else hits.unionByName(best.join(left, "q_id", "left_semi"))
+        best = materialize(hits.groupBy("q_id").agg(F.min(F.struct("distance", "vec_id")).alias("b")).select("q_id", "b.*"), "hash-best")
+        done = best.where(F.col("distance") < PARTS * (s + 1))
+        found.append(done.select("q_id", "vec_id", "distance"))
+        left = materialize(left.join(done, "q_id", "left_anti"), "hash-queries")
+    near = found[0]
+    for more in found[1:]:
+        near = near.unionByName(more)
+    return near, left
+
+
 def q_phash_nearest(spark, sf_dir):
-    """The stored hash nearest to each query's, its distance, and what that means."""
+    """The stored hash nearest to each query's, its distance, and what that means: by parts, and for queries without a near one by a scan."""
     rows = Catalog(spark, sf_dir).table("embeddings")
-    best = nearest(rows, asked(rows), _same_bits, 1).select("q_id", (-F.col("score")).cast("int").alias("distance"), "vec_id")
-    return best.withColumn("match", F.when(F.col("distance") <= SAME_BITS, "same").when(F.col("distance") <= NEAR_BITS, "near").otherwise("none"))
+    hashed = materialize(rows.select("vec_id", sign_hash(F.col("embedding")).alias("hash")), "hashes")
+    near, left = nearest_hashes(hashed, asked(hashed))
+    rest = nearest(rows, rows.join(left.select(F.col("q_id").alias("vec_id")), "vec_id", "left_semi"), _same_bits, 1)
+    best = near.unionByName(rest.select("q_id", "vec_id", (-F.col("score")).cast("int").alias("distance")))
+    match = F.when(F.col("distance") <= SAME_BITS, "same").when(F.col("distance") <= NEAR_BITS, "near").otherwise("none")
+    return best.select("q_id", "distance", "vec_id", match.alias("match"))
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
