@@ -6,43 +6,103 @@ Each job reads files as they arrive and can be run to the end of what is there
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from pricewright.catalog import Catalog, sql
-from pricewright.session import scratch_root
+from pricewright.functions import text as T
+from pricewright.session import materialize, scratch_root
 
-CHANGE = "product_id string, store_id string, seq long, cents long, currency string"
-#: The last price of each store of a product.
-STATE = "stores array<string>, seqs array<long>, cents array<long>, currencies array<string>"
+# executors need no copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+CHANGE = "product_id string, store_id string, seq long, cents long, currency string, sign int"
+#: Points of an offer that are still within the horizon, in order, and the last one before it.
+STATE = "seqs array<long>, times array<long>, cents array<long>, currencies array<string>"
+#: How long after a later one a point may come and still be put in its place.
+HORIZON = "3000 days"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a store whose price or currency isn't that of the row before, across batches."""
-    rows = pd.concat(list(batches)).sort_values(["store_id", "seq"])
-    held = pd.DataFrame(dict(zip(("store_id", "seq", "cents", "currency"), state.get))) if state.exists else rows.iloc[:0]
-    known = dict(zip(held.store_id, zip(held.seq, held.cents, held.currency)))
-    keep = []
-    for store, seq, cents, currency in zip(rows.store_id, rows.seq, rows.cents, rows.currency):
-        last = known.get(store)
-        late = last is not None and seq <= last[0]  # a later price is already on record
-        keep.append(not late and (last is None or (cents, currency) != last[1:]))
-        if not late:
-            known[store] = (seq, cents, currency)
-    stores = sorted(known)
-    columns = list(zip(*(known[s] for s in stores)))
-    state.update((stores, [int(x) for x in columns[0]], [int(x) for x in columns[1]], list(columns[2])))
-    yield rows[keep].assign(product_id=key[0])[["product_id", "store_id", "seq", "cents", "currency"]]
 
+class PriceChanges(StatefulProcessor):
+    """Changes of one offer's price, corrected when points come late.
+
+    A point is a change if price or currency isn't that of the point before it.
+    One that comes late is put in its place: it may be a change itself, and
+    the one behind it may become one (sign 1) or cease to be one (sign -1). So
+    what the signs add up to doesn't depend on how points are split into
+    batches. When the watermark passes a point, a timer drops all before it, so
+    the state of an offer is its points within the horizon and one more.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("points", STATE)
+
+    def _held(self) -> list[tuple]:
+        return list(zip(*self.state.get())) if self.state.exists() else []
+
+    def _keep(self, points: list[tuple]) -> None:
+        self.state.update(tuple([type(points[0][k])(p[k]) for p in points] for k in range(4)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        held = [(int(s), int(t), int(c), str(k)) for s, t, c, k in self._held()]
+        before = {p[0]: changed for p, changed in self._changes(held)}
+        points = {p[0]: p for p in held}
+        for batch in rows:
+            for seq, at, cents, currency in zip(batch.seq, batch["at"], batch.cents, batch.currency):
+                points.setdefault(int(seq), (int(seq), int(pd.Timestamp(at).timestamp() * 1000), int(cents), str(currency)))
+        ordered = [points[s] for s in sorted(points)]
+        out = []
+        for point, changed in self._changes(ordered):
+            sign = int(changed) - int(before.get(point[0], False))
+            if sign:
+                out.append((*key, point[0], point[2], point[3], sign))
+        self._keep(ordered)
+        self.handle.registerTimer(ordered[0][1] + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["product_id", "store_id", "seq", "cents", "currency", "sign"])
+
+    @staticmethod
+    def _changes(points: list[tuple]) -> Iterator[tuple[tuple, bool]]:
+        last = None
+        for point in points:
+            yield point, last is None or last[2:] != point[2:]
+            last = point
+
+    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, points = timers.getCurrentWatermarkInMs(), self._held()
+        if points:
+            done = max((i for i, p in enumerate(points) if p[1] < passed), default=0)
+            self._keep(points[done:])
+            if done + 1 < len(points):
+                self.handle.registerTimer(int(points[done + 1][1]) + 1)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def price_changes(points: DataFrame, horizon: str = HORIZON) -> DataFrame:
+    """Change capture on a stream of product_id, store_id, seq, at, cents and currency: changes with a sign, see ``PriceChanges``.
+
+    Points later than ``horizon`` are left out.
+    """
+    keyed = points.withWatermark("at", horizon).groupBy("product_id", "store_id")
+    return keyed.transformWithStateInPandas(PriceChanges(), CHANGE, "Append", "EventTime")
 
-def price_changes(points: DataFrame) -> DataFrame:
-    """Change capture on a stream of product_id, store_id, seq, cents and currency; state by product."""
-    return points.groupBy("product_id").applyInPandasWithState(_changes, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def standing(changes: DataFrame) -> DataFrame:
+    """The changes that stand after all corrections."""
+    by = [c for c in changes.columns if c != "sign"]
+    return changes.groupBy(*by).agg(F.sum("sign").alias("sign")).where("sign > 0").select(*by)
 
 
 def drop_repeats(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -94,9 +154,69 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out-{last[-1]}")
 
 
-def ingest_batches(batches: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
-    """Hand each micro-batch to ``merge``; exactly once if it is keyed by the batch number."""
-    return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class state_store:
+    """Within it the session's streams keep state in ``provider``; the setting before is restored."""
+
+    NAME = "spark.sql.streaming.stateStore.providerClass"
+
+    def __init__(self, spark: SparkSession, provider: str):
+        self.conf, self.provider = spark.conf, provider
+
+    def __enter__(self) -> None:
+        self.before = self.conf.get(self.NAME)
+        self.conf.set(self.NAME, self.provider)
+
+    def __exit__(self, *_: object) -> None:
+        self.conf.set(self.NAME, self.before)
+
+
+#: Folders of a stored table; a batch rewrites those it has rows for.
+BUCKETS = 16
+
+
+class IngestTable:
+    """A stored table of listings, merged from batches: one row for each key and store.
+
+    Rows have product_key, store_id, product_id (of the first listing of the
+    key, in any store), cents and seq (of the last), first_seq, and batch. The
+    table is dealt into folders by a hash of product_key, so a merge reads and
+    rewrites only folders that the batch has rows for. A folder that has seen a
+    batch's number is left alone, so a repeated batch changes nothing, also if
+    it was cut off half way.
+    """
+
+    ROWS = "product_key string, store_id string, product_id string, cents long, seq long, first_seq long, batch long, bucket int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], self.ROWS).write.mode("append").partitionBy("bucket").parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.ROWS).parquet(self.path)
+
+    def merge(self, listings: DataFrame, number: int) -> None:
+        """Merge ``listings`` (product_key, store_id, product_id, seq, cents). Rows without a key or store are left out."""
+        spark = listings.sparkSession
+        rows = listings.where("product_key is not null and store_id is not null").withColumn("bucket", F.pmod(F.xxhash64("product_key"), F.lit(BUCKETS)).cast("int"))
+        own = rows.groupBy("bucket", "product_key", "store_id").agg(
+            F.min_by("product_id", "seq").alias("product_id"), F.max_by("cents", "seq").alias("cents"), F.max("seq").alias("seq"), F.min("seq").alias("first_seq")
+        )
+        fresh = materialize(own.withColumn("batch", F.lit(number).cast("long")), "ingest-batch")
+        held = spark.read.schema(self.ROWS).parquet(self.path).join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi")
+        seen = F.broadcast(held.groupBy("bucket").agg(F.max("batch").alias("last")).where(F.col("last") >= number).select("bucket"))  # a row for each folder at most
+        both = held.unionByName(fresh).join(seen, "bucket", "left_anti")
+        merged = both.groupBy("bucket", "product_key", "store_id").agg(
+            F.min_by("product_id", "first_seq").alias("product_id"), F.max_by("cents", "seq").alias("cents"), F.max("seq").alias("seq"), F.min("first_seq").alias("first_seq")
+        )
+        first = merged.groupBy("product_key").agg(F.min_by("product_id", "first_seq").alias("product_id"))
+        named = merged.drop("product_id").join(first, "product_key").withColumn("batch", F.lit(number).cast("long"))
+        ready = materialize(named.select("product_key", "store_id", "product_id", "cents", "seq", "first_seq", "batch", "bucket"), "ingest-merged")
+        ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+
+def ingest(listings: DataFrame, table: IngestTable, checkpoint: str) -> None:
+    """Merge a stream of listings to its end."""
+    listings.writeStream.foreachBatch(table.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def q_stream_window_counts(spark, sf_dir):
@@ -107,18 +227,42 @@ def q_stream_drop_repeats(spark, sf_dir):
     return drain(drop_repeats(read_stream(spark, f"{sf_dir}/events.parquet"), "40 days")).select("event_id", "user_id")
 
 
-def q_stream_price_changes(spark, sf_dir):
-    """Price changes by offer, with order dates folded into one sequence number."""
+def _seq() -> Column:
+    """Order dates folded into one sequence number."""
+    return F.unix_date(F.to_date("recorded_at")).cast("long") * 10**10 + F.col("order_no") * 100 + F.col("line_no")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price points as a stream, with their sequence numbers."""
     points = read_stream(spark, f"{sf_dir}/lineitem.parquet")
     c = Catalog(spark, sf_dir)
     c.table = lambda name: points  # the same binding, over the stream
-    seq = F.unix_date(F.to_date("recorded_at")).cast("long") * 10**10 + F.col("order_no") * 100 + F.col("line_no")
-    keyed = c.points.select("product_id", "store_id", seq.alias("seq"), "cents", "currency")
-    return drain(price_changes(keyed))
+    return c.points.select("product_id", "store_id", _seq().alias("seq"), F.col("recorded_at").cast("timestamp").alias("at"), "cents", "currency")
+
+
+def q_stream_price_changes(spark, sf_dir):
+    """Price changes by offer that stand when all points are in."""
+    with state_store(spark, ROCKS):
+        return standing(drain(price_changes(_points(spark, sf_dir))))
+
+
+def q_stream_ingest(spark, sf_dir):
+    """Listings merged batch by batch into a stored table: equal titles of a brand are one product, that of the first listing."""
+    keys = Catalog(spark, sf_dir).products.select("product_id", F.concat_ws("/", T.title_key(F.col("title")), "brand").alias("product_key"))
+    root = f"{scratch_root(spark)}/ingest-{uuid.uuid4().hex}"
+    table = IngestTable(spark, f"{root}/table")
+    ingest(_points(spark, sf_dir).join(keys, "product_id"), table, f"{root}/state")
+    return table.read().select("product_key", "store_id", "product_id", "cents")
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
+    "stream_ingest": sql(
+        """SELECT product_key, store_id, first(first_id ORDER BY seq) AS product_id, last(cents ORDER BY seq) AS cents FROM (
+        SELECT product_key, store_id, cents, seq, first_value(product_id) OVER (PARTITION BY product_key ORDER BY seq) AS first_id FROM (
+          SELECT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') || '/' || brand AS product_key, store_id, product_id, cents, datediff('day', DATE '1970-01-01', recorded_at::DATE)::BIGINT * 10000000000 + order_no * 100 + line_no AS seq
+          FROM points JOIN products USING (product_id))) GROUP BY 1, 2"""
+    ),
     "stream_window_counts": "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
     "stream_price_changes": sql(
         """SELECT product_id, store_id, seq, cents, currency FROM (SELECT *, lag(cents) OVER w AS c, lag(currency) OVER w AS k FROM (
