@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that titles must not carry (controls, zero width, direction marks, replacement).
-HIDDEN = r"[\x{0000}-\x{001F}\x{007F}-\x{009F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}\x{FFFD}]"
+# Characters that mean broken text, those that stand for a space, and invisible ones that reorder or hide what is shown. The joiners U+200C and U+200D stay: Indic and Arabic text and emoji need them.
+BROKEN = r"\x{FFFD}"
+CONTROLS = r"[\x{0000}-\x{001F}\x{007F}]"
+HIDDEN = r"[\x{200B}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
+# What separates the parts of a title.
+DASHES = "[-–—|]"
+# A word in which one or two zeros stand for an o: letters only, small ones on both sides.
+ZEROS = "^[A-Za-z]*[a-z]0{1,2}[a-z][A-Za-z]*$"
 # Where specifications begin in a title; the chip ends before.
 SPECS = r"(?i)\s+(android mobile|smart ?phone|smart mobile|cellphone|with \d|wireless (earbuds|headphones)|noise cancelling|dual sim|unlocked|box deal|rom|ram|\d+ ?gb|\d+\.\d+ ?(inch|\")|\(|\|).*$"
 # How product lines are written.
@@ -17,15 +23,23 @@ RELAYS = r"(^|\.)google\.com$|^(www\.)?google\.[a-z.]{2,8}$|(^|\.)(googleadservi
 
 
 def sanitize_label(text: Column) -> Column:
-    """Markup and hidden characters out, spaces collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), HIDDEN, "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Markup, broken and hidden characters out, controls as spaces, spaces collapsed. Joiners stay."""
+    bare = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), BROKEN, "")
+    bare = F.regexp_replace(F.regexp_replace(bare, CONTROLS, " "), HIDDEN, "")
+    return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
+
+
+def _zeros_read(text: Column) -> Column:
+    """Zeros as o in the words of letters that have them. Words and what stands between them alternate."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(ZEROS), F.replace(w, F.lit("0"), F.lit("o"))).otherwise(w)), "")
 
 
 def clean_title_display(title: Column) -> Column:
-    """``sanitize_label``, runs of dashes as one, and a zero between letters read as an o."""
-    tidy = F.regexp_replace(sanitize_label(title), r"(\s*[-–—]){2,}\s*", " - ")
-    return F.trim(F.regexp_replace(tidy, r"\b([A-Za-z]+)0([a-z]{2,})", "$1o$2"))
+    """``sanitize_label`` with zeros in words read as o, runs of separators as one dash, and none at the ends."""
+    tidy = F.regexp_replace(_zeros_read(sanitize_label(title)), rf"{DASHES}+(\s*{DASHES}+)+", " - ")
+    tidy = F.regexp_replace(F.regexp_replace(tidy, rf"^\s*{DASHES}+\s*", ""), rf"\s*{DASHES}+\s*$", "")
+    return F.trim(F.regexp_replace(tidy, r"\s{2,}", " "))
 
 
 def truncated(text: Column, longest: int = LONGEST) -> Column:

@@ -343,22 +343,23 @@ VARIANTS = """array_to_string(list_sort(list_concat(list_filter(['air','lite','m
   CASE WHEN contains(' ' || norm || ' ', ' pro max ') THEN ['pro max'] ELSE list_filter(['max','pro'], lambda w: contains(' ' || norm || ' ', ' ' || w || ' ')) END)), ',')"""
 AUDIENCE = r"""CASE WHEN regexp_matches(lower(listing), '\bunisex\b') THEN NULL WHEN regexp_matches(lower(listing), '\b(women|woman|womens|ladies|female)\b') THEN 'women'
   WHEN regexp_matches(lower(listing), '\b(kids?|child|children|boys?|girls?|toddler|infant|junior|youth)\b') THEN 'kids' WHEN regexp_matches(lower(listing), '\b(men|man|mens|male|gents?)\b') THEN 'men' END"""
-SIZES = r"""array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(listing), '(\d+(?:\.\d+)?\s*-?(?:oz|ml|gb|tb|mm|cm|inch|in|l|"))(?:[^a-z]|$)', 1),
+# the SQL engine's patterns can't look ahead, so sizes are first set apart
+SIZES = rf"""array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(lower(listing), '(\d(?:{'|'.join(I.UNITS)}))([^a-z])', '\1 \2', 'g'), '(\d+(?:\.\d+)?\s*-?(?:{'|'.join(I.UNITS)}))(?:[^a-z]|$)', 1),
   lambda s: regexp_replace(regexp_replace(regexp_replace(s, '[\s-]', '', 'g'), '("|in)$', 'inch'), '\.0+([a-z])', '\1')))), ',')"""
-FASHION = r"""list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(lower(listing), '\b(?:size|sz)\s*[:.]?\s*(\d{1,2}(?:\.5)?)\b', 1), lambda s: 'n' || s),
-  list_transform(regexp_extract_all(lower(listing), '\b(?:size|sz)\s*[:.]?\s*([sml])\b', 1), lambda s: 'a' || s), list_transform(regexp_extract_all(lower(listing), '\b(xxs|xs|xl|xxl|xxxl|[234]xl)\b', 1), lambda s: 'a' || s),
-  list_transform(regexp_extract_all(lower(listing), '\b((?:uk|eu|us)\s?\d{1,2}(?:\.5)?)\b', 1), lambda s: regexp_replace(s, '\s', '')))))"""
+FASHION = "list_sort(list_distinct(list_concat(" + ", ".join(f"list_transform(regexp_extract_all(lower(listing), '{p}', 1), lambda s: '{sign}' || regexp_replace(s, '\\s', ''))" for sign, p in I.WORN) + ")))"
 PANELS = "list_filter([" + ", ".join(f"'{p}'" for p in I.PANELS) + r"], lambda p: regexp_matches(norm, '\b' || p || '\b'))"
 FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(norm, '{p}') THEN '{n}'" for n, p in I.FAMILIES) + " END"
 NUMBERS = r"""array_to_string(list_sort(list_distinct(list_filter(string_split_regex(norm, '[^a-z0-9]+'), lambda x: regexp_matches(x, '^\d{1,4}$') AND NOT coalesce(try_cast(x AS INT) BETWEEN 2015 AND 2030, false)))), ',')"""
 MODELS = "list_sort(list_distinct(list_filter(string_split_regex(norm, '[^a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 8 AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]'))))"
+TECH_CODES = rf"list_distinct(list_filter(string_split_regex(norm, '[^a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 7 AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '{I.NO_CODE}')))"
 FEATURES = IDENT + f""",
 feats AS (SELECT product_id::BIGINT AS id, title, norm, found, signature, ngn, CASE WHEN size % 5 = 0 THEN lpad(size::VARCHAR, 13, '0') END AS gtin, {TYPE} AS type, {AUDIENCE} AS audience, {VARIANTS} AS variants,
-  {SIZES} AS sizes, {FASHION} AS fashion, CASE WHEN len({PANELS}) = 1 THEN {PANELS}[1] END AS panel, CASE WHEN len(list_distinct({CODES})) = 1 THEN {CODES}[1] END AS code,
+  {SIZES} AS sizes, {FASHION} AS fashion, CASE WHEN len({PANELS}) = 1 THEN {PANELS}[1] END AS panel, CASE WHEN len({TECH_CODES}) = 1 THEN {TECH_CODES}[1] END AS code,
   {FAMILY} AS family, {NUMBERS} AS numbers, {MODELS} AS models, list_distinct(list_filter(string_split(norm, ' '), lambda x: length(x) > 2)) AS words
   FROM ident LEFT JOIN (SELECT product_id, min(ngn) AS ngn FROM live GROUP BY 1) USING (product_id))"""
-_HIDDEN = D.HIDDEN
-_LABEL = rf"trim(regexp_replace(regexp_replace(regexp_replace(listing, '<[^>]*>', ' ', 'g'), '{_HIDDEN}', '', 'g'), '\s+', ' ', 'g'))"
+_LABEL = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(listing, '<[^>]*>', '', 'g'), '{D.BROKEN}', '', 'g'), '{D.CONTROLS}', ' ', 'g'), '{D.HIDDEN}', '', 'g'), '\s{{2,}}', ' ', 'g'))"
+_READ = f"array_to_string(list_transform(regexp_extract_all(label, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda w: CASE WHEN regexp_matches(w, '{D.ZEROS}') THEN replace(w, '0', 'o') ELSE w END), '')"
+_SHOWN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_READ}, '{D.DASHES}+(\s*{D.DASHES}+)+', ' - ', 'g'), '^\s*{D.DASHES}+\s*', ''), '\s*{D.DASHES}+\s*$', ''), '\s{{2,}}', ' ', 'g'))"
 _FIRST = r"regexp_extract(cut, '^\S+')"
 
 
@@ -378,10 +379,14 @@ def _capital(x: str) -> str:
     return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
 
 
-def _tech() -> str:
-    gb = r"list_max(list_filter(list_concat(list_transform(regexp_extract_all({0}, '\b(\d{{1,4}})\s?gb\b', 1), lambda n: n::INT), list_transform(regexp_extract_all({0}, '\b(\d{{1,2}})\s?tb\b', 1), lambda n: n::INT * 1024)), lambda n: n BETWEEN 8 AND 4096))"
-    return rf"""SELECT x.a, y.a AS b, coalesce(x.panel <> y.panel, false) OR coalesce(x.gb <> y.gb, false) OR coalesce(x.code <> y.code, false) OR coalesce(x.series <> y.series, false) AS conflict
-      FROM p x JOIN p y ON y.a = x.a + 8""", rf"""p AS (SELECT id AS a, panel, code, {gb.format('norm')} AS gb, nullif(regexp_extract(norm, '\bseries (\d{{1,2}})\b', 1), '') AS series FROM feats)"""
+def _tech() -> tuple[str, str]:
+    gb = r"list_distinct(list_transform(regexp_extract_all(norm, '\b(\d+\s?(?:gb|tb))\b', 1), lambda c: replace(c, ' ', '')))"
+    tv = "CASE WHEN panel IS NOT NULL THEN CASE " + " ".join(rf"WHEN regexp_matches(norm, '\b{b}\b') THEN '{b}'" for b in I.TV_BRANDS) + " END END"
+    differ = " OR ".join(f"coalesce(x.{f} <> y.{f}, false)" for f in ("panel", "tv", "gb", "code", "series"))
+    return (
+        f"SELECT x.a, y.a AS b, {differ} AS conflict FROM p x JOIN p y ON y.a = x.a + 8",
+        rf"""p AS (SELECT id AS a, panel, code, {tv} AS tv, CASE WHEN len({gb}) = 1 THEN {gb}[1] END AS gb, nullif(regexp_extract(norm, '\b(?:{'|'.join(I.LINE_WORDS)})\s*\.?\s*(\d{{1,3}})\b', 1), '') AS series FROM feats)""",
+    )
 
 
 def _link() -> str:
@@ -428,7 +433,7 @@ ORACLES = {
     "tech_conflict": sql(_tech_body, FEATURES, _tech_cte),
     "extra_variant_count": sql("SELECT product_id, len(list_filter(string_split(v, ','), lambda w: w <> '' AND w <> 'pro max'))::INT AS extra FROM (SELECT product_id, " + VARIANTS + " AS v FROM norms)", IDENT),
     "display_titles": sql(
-        rf"""SELECT product_id, label, trim(regexp_replace(regexp_replace(label, '(\s*[-–—]){{2,}}\s*', ' - ', 'g'), '\b([A-Za-z]+)0([a-z]{{2,}})', '\1o\2', 'g')) AS shown, chip,
+        rf"""SELECT product_id, label, {_SHOWN} AS shown, chip,
         CASE WHEN found IS NOT NULL AND model IS NOT NULL THEN {_capital('found')} || ' ' || {_capital('model')} ELSE {_cut('title')} END AS chip_label
         FROM (SELECT *, {_LABEL} AS label FROM ident) JOIN chips USING (product_id)""",
         IDENT,
