@@ -7,32 +7,52 @@ from pyspark.sql import functions as F
 
 from pricewright.catalog import Catalog, sql
 from pricewright.functions import vectors as V
-from pricewright.operators.matching import PAIRS, judged_pairs
+from pricewright.functions import vetoes
+from pricewright.operators.identity import BAND, FEATURES, featured, spelled
+from pricewright.operators.matching import PAIRS, judged_pairs, listings
+from pricewright.session import materialize
 
 # Cosine from which a pair is one product, and between which a judge decides.
 SURE, ASK = 0.85, 0.55
 
 
-def judge_deep(pairs: DataFrame, vectors: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pairs (a, b, decision) settled further: an accepted pair stays, a near one by cosine is
-    accepted or looked up among judged pairs, the rest is rejected.
+def judge_deep(pairs: DataFrame, vectors: DataFrame, decisions: DataFrame, titles: DataFrame) -> DataFrame:
+    """Pairs (a, b, decision) settled further, with the rule that vetoed them: an accepted pair stays;
+    a near one by cosine is vetoed by its titles, else accepted or looked up among judged pairs; the rest is rejected.
 
     ``vectors``: id, embedding. ``decisions``: anchor_id < candidate_id, decision.
-    Pairs without both vectors keep their decision.
+    ``titles``: id, title. Pairs without both vectors keep their decision.
     """
+    features = titles.select("id", vetoes.features(F.col("title")).alias("f"))
     for end in "ab":
         pairs = pairs.join(vectors.select(F.col("id").alias(end), F.col("embedding").alias(f"v{end}")), end, "left")
+        pairs = pairs.join(features.select(F.col("id").alias(end), F.col("f").alias(f"f{end}")), end, "left")
     judged = decisions.select(F.col("anchor_id").alias("lo"), F.col("candidate_id").alias("hi"), F.col("decision").alias("judged"))
     pairs = pairs.withColumns({"cos": V.cosine(F.col("va"), F.col("vb")), "lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+    rule = vetoes.veto(F.col("fa"), F.col("fb"))["rule"]
+    settled = F.col("decision").startswith("accept") | F.col("cos").isNull() | (F.col("cos") < ASK)
     deep = (
-        F.when(F.col("decision").startswith("accept") | F.col("cos").isNull(), F.col("decision"))
+        F.when(settled, F.col("decision"))
+        .when(rule.isNotNull(), F.concat(F.lit("veto "), rule))
         .when(F.col("cos") >= SURE, "accept near")
-        .when(F.col("cos") >= ASK, F.coalesce(F.concat(F.lit("judged "), F.col("judged")), F.lit("ask")))
-        .otherwise(F.col("decision"))
+        .otherwise(F.coalesce(F.concat(F.lit("judged "), F.col("judged")), F.lit("ask")))
     )
     return pairs.join(judged, ["lo", "hi"], "left").select("a", "b", deep.alias("decision"))
 
 
+def anchored(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, found, title, ngn) with the veto against the anchor of their brand, the first by id: rule, a_only, b_only.
+
+    Rows far off in price are left out. One row of each brand is its anchor, so
+    the anchors are joined as a table of brands, not of pairs.
+    """
+    own = rows.withColumn("f", vetoes.features(F.col("title")))
+    anchor = own.groupBy("found").agg(F.min_by(F.struct("id", "ngn", "f"), "id").alias("anchor"))
+    held = own.join(anchor, "found").where((F.col("ngn") / F.col("anchor.ngn")).between(*BAND))
+    told = vetoes.veto(F.col("anchor.f"), F.col("f"))
+    return held.select("found", "id", "ngn", told["rule"].alias("rule"), told["a_only"].alias("a_only"), told["b_only"].alias("b_only"))
+
+
 def upsert_decision(decisions: DataFrame, new: DataFrame) -> DataFrame:
     """Judged pairs with new ones put in, in pair order; the more confident of a pair stays."""
     ordered = new.select(F.least("anchor_id", "candidate_id").alias("anchor_id"), F.greatest("anchor_id", "candidate_id").alias("candidate_id"), "decision", "confidence")
@@ -83,7 +103,17 @@ def q_same_product_deep(spark, sf_dir):
     pairs = judged_pairs(c)
     decisions = pairs.where("(a + b) % 2 = 0").select(F.col("a").alias("anchor_id"), F.col("b").alias("candidate_id"), F.lit("same").alias("decision"))
     vectors = c.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return judge_deep(pairs, vectors, decisions).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    titles = listings(c).select("id", F.col("listing").alias("title"))
+    return judge_deep(pairs, vectors, decisions, titles).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_anchor_vetoes(spark, sf_dir):
+    """The spectrum around each brand's anchor: how many of its listings each rule keeps out, and what those that stay cost."""
+    c = Catalog(spark, sf_dir)
+    rows = featured(c).where("signature is not null and ngn is not null").select("id", "found", "ngn")
+    titles = spelled(c).select(F.col("product_id").cast("long").alias("id"), F.col("listing").alias("title"))
+    held = anchored(materialize(rows.join(titles, "id"), "anchored"))
+    return held.groupBy("found", F.coalesce("rule", F.lit("keep")).alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.min("ngn").alias("low"), F.max("ngn").alias("high"))
 
 
 def q_country_reach(spark, sf_dir):
@@ -103,9 +133,17 @@ ORACLES = {
         PAIRS,
     ),
     "same_product_deep": sql(
-        f"""SELECT CASE WHEN decision LIKE 'accept%' OR cos IS NULL THEN decision WHEN cos >= {SURE} THEN 'accept near' WHEN cos >= {ASK} THEN CASE WHEN (a + b) % 2 = 0 THEN 'judged same' ELSE 'ask' END ELSE decision END AS decision, count(*) AS n
-        FROM (SELECT a, b, decision, {COS} AS cos FROM pairs LEFT JOIN embeddings x ON x.vec_id = a LEFT JOIN embeddings y ON y.vec_id = b) GROUP BY 1""",
+        f"""SELECT CASE WHEN decision LIKE 'accept%' OR cos IS NULL OR cos < {ASK} THEN decision WHEN rule IS NOT NULL THEN 'veto ' || rule WHEN cos >= {SURE} THEN 'accept near' WHEN (a + b) % 2 = 0 THEN 'judged same' ELSE 'ask' END AS decision, count(*) AS n
+        FROM (SELECT a, b, decision, {COS} AS cos, {vetoes.rule_sql('t', 'u')} AS rule FROM pairs JOIN told t ON t.id = a JOIN told u ON u.id = b LEFT JOIN embeddings x ON x.vec_id = a LEFT JOIN embeddings y ON y.vec_id = b) GROUP BY 1""",
         PAIRS,
+        f"told AS (SELECT id, {vetoes.features_sql('listing')} FROM listings)",
+    ),
+    "anchor_vetoes": sql(
+        f"""SELECT found, coalesce(rule, 'keep') AS rule, count(*) AS n, min(ngn) AS low, max(ngn) AS high FROM (SELECT x.found, x.ngn, {vetoes.rule_sql('t', 'u')} AS rule FROM f x
+        JOIN (SELECT found, id, ngn FROM (SELECT *, row_number() OVER (PARTITION BY found ORDER BY id) AS rn FROM f) WHERE rn = 1) y USING (found) JOIN told t ON t.id = y.id JOIN told u ON u.id = x.id
+        WHERE x.ngn / y.ngn BETWEEN {BAND[0]} AND {BAND[1]}) GROUP BY ALL""",
+        FEATURES,
+        f"f AS (SELECT * FROM feats WHERE signature IS NOT NULL AND ngn IS NOT NULL), told AS (SELECT product_id::BIGINT AS id, {vetoes.features_sql('listing')} FROM spelled)",
     ),
     "country_reach": sql(
         """SELECT store_id, CASE WHEN lower(store_name) = 'supplier#000000002' THEN true WHEN lower(store_name) = 'supplier#000000003' THEN false ELSE coalesce(country, roster) IS NULL OR coalesce(country, roster) = 'NATION_6' END AS reaches, roster
