@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import ALNUM, chunks, gram_hashes, left_join_by_size, load, mix, raw, word_hashes
+from pricewright.llm.common import ALNUM, chunks, gram_hashes, left_join_by_size, load, mix, raw, release, word_hashes
 from pricewright.operators.graph import components
 from pricewright.session import materialize
 
@@ -45,7 +45,7 @@ FLOOR = 0.5
 SEED = 20_240_601
 #: Nodes of a bucket in one group, and bytes of their texts; a tile pairs two groups, so a task holds a part of a large bucket.
 GROUP = 4096
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 #: Candidates of a node in a tile from which their overlaps are counted by postings.
 CROWD = 16
 
@@ -314,6 +314,7 @@ def _links(idf: np.ndarray, least: float, threshold: float):
                 if made := links(*(column[name][a:b] for name in ("side", "node", "component")), sig, texts):
                     u, v, same = zip(*made)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(same, pa.float64())], names=["u", "v", "similarity"])
+                    release()
             rest[:] = table.slice(ends[-1]).to_batches()
 
         for batch in batches:
