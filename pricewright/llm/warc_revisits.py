@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 from pricewright.llm.common import load
 
-# Query parameters that only track visits, and headers that describe the stored payload.
+# Query parameters that only track visits, headers that describe the stored payload, and those that
+# are of one connection or proxy only and aren't stored.
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
 FULL = 200
-PAYLOAD_HEADERS = ["content-encoding", "content-length", "content-range", "content-type", "transfer-encoding"]
+PAYLOAD_HEADERS = ["content-encoding", "content-length", "content-range", "content-type"]
+HOP_HEADERS = [
+    "connection", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade",
+]
 
 
 def canonical_url(url: Column) -> Column:
@@ -55,7 +59,7 @@ def one_record(records: DataFrame) -> DataFrame:
 
 
 def latest_response(records: DataFrame) -> DataFrame:
-    """(record_id, ref_id, n) of each revisit: the latest full response of its URL that is earlier.
+    """(record_id, ref_id) of each revisit: the latest full response of its URL that is earlier.
 
     Earlier is by (warc_date, record_id), so of records with one date the
     smaller id comes first. Records without URL or date refer to nothing.
@@ -90,10 +94,15 @@ def _validator(headers: str, name: str) -> Column:
 
 
 def merge_headers(stored: str, fresh: str) -> Column:
-    """Stored headers updated by those of the 304 answer, except what describes the payload."""
+    """Stored headers updated by those that a 304 answer may change.
+
+    Left out are what describes the payload, what is of one connection or proxy
+    only, the fields that the answer's Connection header names, and null values.
+    """
     old = F.coalesce(stored, F.create_map().cast("map<string,string>"))
     new = F.coalesce(fresh, F.create_map().cast("map<string,string>"))
-    new = F.map_filter(new, lambda k, v: ~k.isin(PAYLOAD_HEADERS) & v.isNotNull())
+    named = F.transform(F.split(F.lower(F.coalesce(new["connection"], F.lit(""))), ","), lambda name: F.trim(name))
+    new = F.map_filter(new, lambda k, v: ~k.isin(PAYLOAD_HEADERS + HOP_HEADERS) & ~F.array_contains(named, k) & v.isNotNull())
     kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
     return F.map_concat(kept, new)
 
@@ -135,6 +144,7 @@ def capture_log(pages: DataFrame) -> DataFrame:
     not-found answer, half an hour after the capture.
     """
     start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60)
+    # the first revisit also has fields of its connection, which no merge may keep
     tag, changed = F.md5("html"), (F.col("page_id") % 7 == 0)
     modified = F.concat(F.lit("day "), (F.col("page_id") % 1000).cast("string"))
     answer = F.create_map(
@@ -142,8 +152,9 @@ def capture_log(pages: DataFrame) -> DataFrame:
         F.lit("date"), F.lit("0"), F.lit("etag"), tag, F.lit("last-modified"), modified, F.lit("server"), F.lit("origin"),
     )
     first = F.create_map(
-        F.lit("content-length"), F.lit("0"), F.lit("date"), F.lit("1"), F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("cache-control"), F.lit("max-age=60")
-    )
+        F.lit("content-length"), F.lit("0"), F.lit("date"), F.lit("1"), F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("cache-control"), F.lit("max-age=60"),
+        F.lit("connection"), F.lit("Keep-Alive, X-Trace"), F.lit("keep-alive"), F.lit("timeout=5"), F.lit("x-trace"), F.lit("7"), F.lit("proxy-authenticate"), F.lit("Basic"), F.lit("x-cache"), F.lit("hit"),
+    )
     second = F.map_concat(
         F.create_map(F.lit("date"), F.lit("2"), F.lit("last-modified"), modified),
         F.when(changed, F.create_map(F.lit("etag"), F.lit("other"))).otherwise(F.create_map().cast("map<string,string>")),
@@ -205,7 +216,7 @@ WITH c AS (
 )
 SELECT record_id, page_id, ref_id, status,
        CASE WHEN status = 'resolved' THEN CASE WHEN n = 1
-         THEN 'cache-control=max-age=60' || chr(10) || 'content-length=' || octet_length(encode(html)) || chr(10) || 'content-type=text/html' || chr(10) || 'date=1' || chr(10) || 'etag=W/' || tag || chr(10) || 'last-modified=' || fmodified || chr(10) || 'server=origin'
+         THEN 'cache-control=max-age=60' || chr(10) || 'content-length=' || octet_length(encode(html)) || chr(10) || 'content-type=text/html' || chr(10) || 'date=1' || chr(10) || 'etag=W/' || tag || chr(10) || 'last-modified=' || fmodified || chr(10) || 'server=origin' || chr(10) || 'x-cache=hit'
          ELSE 'content-length=' || octet_length(encode(html)) || chr(10) || 'content-type=text/html' || chr(10) || 'date=2' || chr(10) || 'etag=' || ftag || chr(10) || 'last-modified=' || modified || chr(10) || 'server=origin'
        END END AS headers,
        CASE WHEN status = 'resolved' THEN sha256(html) END AS payload_sha256

@@ -235,6 +235,22 @@ def test_revisits(spark):
     assert wr.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_permitted_headers(spark):
+    """What a 304 answer may not change: the payload's description, fields of the connection and those that Connection names, null values."""
+    from datetime import datetime as D
+
+    stored = {"etag": '"a"', "content-type": "t", "x-a": "1", "x-b": "1", "x-null": "old", "keep-alive": "kept as recorded"}
+    fresh = {
+        "etag": '"a"', "content-type": "no", "content-length": "0", "connection": "close , X-A", "x-a": "2", "x-b": "2", "keep-alive": "9", "te": "x", "trailer": "x", "upgrade": "h2c",
+        "proxy-authenticate": "x", "proxy-connection": "x", "transfer-encoding": "chunked", "x-null": None, "vary": "accept",
+    }
+    at = D(2024, 1, 1, 1)  # two full responses at one instant: the larger id is the later one
+    rows = [(1, "u.v/", at, "response", None, 200, "x", "y"), (2, "u.v/", at, "response", stored, 200, "x", "y"), (3, "u.v/", at, "revisit", fresh, 304, "x", "y")]
+    (got,) = wr.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()
+    assert (got.ref_id, got.status) == (2, "resolved")
+    assert got.headers == {"etag": '"a"', "content-type": "t", "x-a": "1", "x-b": "2", "x-null": "old", "keep-alive": "kept as recorded", "vary": "accept"}
+
+
 def test_capture_log_of_odd_pages(spark):
     """Null and repeated ids and urls, a very long page, other columns."""
     pages = [(1, "http://a.b/", "x"), (1, "http://a.b/", "x"), (None, "http://a.b/", "x"), (5, None, None), (7, "not an address", "long " * 200_000)]
