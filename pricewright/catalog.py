@@ -40,8 +40,11 @@ class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.parquet(self.path(name))
 
     @cached_property
     def stores(self) -> DataFrame:
@@ -86,7 +89,7 @@ class Catalog:
     @cached_property
     def offers(self) -> DataFrame:
         """The stored table of offers: the latest price point by product and store."""
-        return stored(self.spark, f"{self.sf_dir}/offers", self.latest_points)
+        return stored(self.spark, f"{self.sf_dir}/offers", self.latest_points, [self.path("lineitem")])
 
     def latest_points(self) -> DataFrame:
         """One partial aggregation, no sort."""

@@ -49,7 +49,11 @@ flags AS (
 
 def deals(c: Catalog) -> DataFrame:
     """Best offers with product and store, the stored view that browsing reads."""
-    return stored(c.spark, f"{c.sf_dir}/deals", lambda: compute_deals(c))
+    return stored(c.spark, f"{c.sf_dir}/deals", lambda: compute_deals(c), deal_inputs(c))
+
+
+def deal_inputs(c: Catalog) -> list[str]:
+    return [c.path(name) for name in ("lineitem", "part", "supplier", "nation")]
 
 
 def compute_deals(c: Catalog) -> DataFrame:
@@ -120,9 +124,9 @@ def q_best_offers(spark, sf_dir):
 
 def refresh_views(c: Catalog) -> None:
     """Recompute the stored offers, then the deals that are made of them."""
-    refresh(f"{c.sf_dir}/offers", c.latest_points())
+    refresh(f"{c.sf_dir}/offers", c.latest_points(), [c.path("lineitem")])
     fresh = Catalog(c.spark, c.sf_dir)
-    refresh(f"{c.sf_dir}/deals", compute_deals(fresh))
+    refresh(f"{c.sf_dir}/deals", compute_deals(fresh), deal_inputs(c))
 
 
 def q_matview_refresh(spark, sf_dir):

@@ -52,7 +52,7 @@ class PriceChanges(StatefulProcessor):
     def _keep(self, points: list[tuple]) -> None:
         self.state.update(tuple([type(points[0][k])(p[k]) for p in points] for k in range(4)))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         held = [(int(s), int(t), int(c), str(k)) for s, t, c, k in self._held()]
         before = {p[0]: changed for p, changed in self._changes(held)}
         points = {p[0]: p for p in held}
@@ -77,8 +77,8 @@ class PriceChanges(StatefulProcessor):
             yield point, last is None or last[2:] != point[2:]
             last = point
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, points = timers.getCurrentWatermarkInMs(), self._held()
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, points = timerValues.getCurrentWatermarkInMs(), self._held()
         if points:
             done = max((i for i, p in enumerate(points) if p[1] < passed), default=0)
             self._keep(points[done:])

@@ -80,16 +80,6 @@ def test_fixed_windows_are_a_fold(spark):
     assert activity.fixed_windows(events.limit(0), 3600).count() == 0
 
 
-def test_stored_relation_is_read_until_refreshed(spark):
-    from pricewright.session import refresh, stored
-
-    one, two = spark.range(3), spark.range(5)
-    held = stored(spark, "test/view", lambda: one)
-    assert stored(spark, "test/view", lambda: two).count() == 3
-    assert refresh("test/view", two).count() == 5 == stored(spark, "test/view", lambda: one).count()
-    assert held.count() == 3  # a reader that has begun keeps its rows
-
-
 def test_nearest_takes_queries_in_blocks(spark, monkeypatch):
     rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(4)]) for i in range(60)] + [(60, None), (None, [1.0] * 4), (61, [0.0] * 4)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -114,6 +104,9 @@ def test_identity_of_titles(spark):
         "apple|iphone 15 pro max", "lg|oled55c3|55in", None, None, "nokia|ab1200",
     ]
     clash = lambda a, b: one(spark, I.tech_conflict(T.strip_punct(F.col("a")), T.strip_punct(F.col("b"))), a=a, b=b)
+    assert clash("phone S23", "phone S24") and not clash("S24 5G", "S23") and not clash("x 4gb 64gb", "x 8gb 128gb") and clash("LG oled tv", "Samsung oled tv") and not clash("sharp design", "sony design")
+    assert clash("watch gen 4", "watch generation 5") and not clash("film 4k", "film 8k")
+    assert one(spark, F.array_join(I.size_tokens(F.col("t")), ","), t="10ml20ml") == "10ml,20ml"
     assert clash("LG oled tv", "LG qled tv") and clash("x 64gb", "x 128gb") and not clash("LG oled tv", "LG tv") and clash("series 6", "series 7")
     assert one(spark, F.array_join(I.size_tokens(F.col("t")), ","), t='Cup 40 oz, 2.0l 12" 5in') == "12inch,2l,40oz,5inch"
     assert one(spark, F.array_join(I.fashion_size(F.col("t")), ","), t="UK 8 size M XXL sz 9.5") == "am,axxl,n9.5,uk8"
@@ -125,6 +118,10 @@ def test_shown_titles_and_links(spark):
 
     shown = lambda f, t: one(spark, f(F.col("t")), t=t)
     assert shown(D_.clean_title_display, "<b>S0es</b>\u200b - -- new") == "Soes - new" and shown(D_.clean_title_display, "Sh0es") == "Shoes"
+    assert shown(D_.clean_title_display, "Veat00l g00gle ZJM01 A0BK S0\u0001x") == "Veatool google ZJM01 A0BK S0 x"
+    assert shown(D_.clean_title_display, " | Red – | shoe\ufffd - ") == "Red - shoe" and shown(D_.sanitize_label, "a\u0001b - - c") == "a b - - c"
+    joined = "क्\u200dष \U0001f468\u200d\U0001f469 می\u200cخواهم"
+    assert shown(D_.clean_title_display, f"{joined}\u202e\u200b") == joined
     assert shown(D_.friendly_chip, "samsung Galaxy A06-A065F") == "Samsung Galaxy A06" and shown(D_.friendly_chip, "apple IPHONE 15 128GB blue") == "Apple iPhone 15"
     assert shown(D_.display_store_name, None) == "" and shown(D_.display_store_name, "Shop - the best") == "Shop" and len(shown(D_.display_store_name, "x" * 50)) == 32
     assert shown(D_.slug_title, "https://a.b/p/red-big-shoe/bc189cd2-fca4-4021-aaaa-0123456789ab") == "Red Big Shoe"
@@ -254,16 +251,6 @@ def test_spacing_keeps_stores_apart(spark):
     assert sorted(got) == list("aaabbc") and all(x != y for x, y in zip(got, got[1:]))
 
 
-def test_stream_changes_across_batches(spark, tmp_path):
-    schema = "product_id string, store_id string, seq long, cents long, currency string"
-    batches = [[("p", "1", 1, 10, "USD"), ("p", "1", 2, 10, "USD")], [("p", "1", 3, 11, "USD"), ("p", "2", 1, 11, "USD"), ("p", "1", 1, 99, "USD")]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/{i}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/*")
-    got = jobs.drain(jobs.price_changes(stream)).collect()
-    assert sorted((r.store_id, r.cents) for r in got if r.cents != 99) == [("1", 10), ("1", 11), ("2", 11)]
-
-
 def test_feeds(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"shopping_results": [{"title": "Red widget", "link": "http://a/1?utm_s=1", "source": "A", "extracted_price": 5, "extracted_old_price": 10}, {"title": null, "link": "x", "source": "A", "extracted_price": 5}, {"title": "Red gear", "link": "http://a/2", "source": "A", "extracted_price": 0.1}]}')
     (tmp_path / "p.json").write_text('{"vendor": "B", "products": [{"title": "Red widget", "handle": "rw", "variants": [{"sku": "1", "price": "7.00", "available": true}, {"sku": "2", "price": "bad", "available": true}, {"sku": "3", "price": "1", "available": false}]}]}')
