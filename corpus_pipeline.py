@@ -18,7 +18,7 @@ from pricewright.session import materialize
 
 
 #: Rows in one Arrow batch; whole texts pass through it, so fewer rows than Spark's default bound a task's memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def _spare_memory(spark: SparkSession) -> None:
