@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,22 @@ HIDDEN = r"[\x{200B}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
 DASHES = "[-–—|]"
 # A word in which one or two zeros stand for an o: letters only, small ones on both sides.
 ZEROS = "^[A-Za-z]*[a-z]0{1,2}[a-z][A-Za-z]*$"
-# Where specifications begin in a title; the chip ends before.
-SPECS = r"(?i)\s+(android mobile|smart ?phone|smart mobile|cellphone|with \d|wireless (earbuds|headphones)|noise cancelling|dual sim|unlocked|box deal|rom|ram|\d+ ?gb|\d+\.\d+ ?(inch|\")|\(|\|).*$"
-# How product lines are written.
-LINES = [("airpods", "AirPods"), ("macbook", "MacBook"), ("iphone", "iPhone"), ("ipad", "iPad"), ("imac", "iMac"), ("oled", "OLED"), ("qled", "QLED"), ("tv", "TV"), ("usb", "USB"), ("led", "LED")]
+# Words, and pairs of words, with which the specifications of a title begin.
+SPEC_WORDS = ["smartphone", "cellphone", "unlocked", "ram", "|"]
+SPEC_PAIRS = ["android mobile", "smart phone", "smart mobile", "wireless earbuds", "wireless headphones", "noise cancelling", "portable bluetooth", "active noise", "dual sim", "box deal"]
+#: Measures that do so too, tried on a word with the next one.
+SPEC_MEASURES = r'^(with \d|\d+gb rom|\d+ ?gb \+|rom \+|\d+\.\d+ ?inch|\d+\.\d+["”]|6\.\d|\(\d)'
+# Brands that are written with one capital, even where a title shouts them.
+SHOUTED = """apple samsung sony xiaomi huawei motorola nokia honor lenovo panasonic philips bosch infinix tecno redmi oppo vivo oneplus google microsoft asus acer razer
+nike adidas yeezy puma reebok fila logitech corsair dyson bose marshall kitchenaid kenwood ninja cuisinart""".split()
+# Product lines as they are written, words in capitals, and lines before which their maker is left out.
+LINES = {"airpods": "AirPods", "macbook": "MacBook", "iphone": "iPhone", "ipad": "iPad", "imac": "iMac"}
+CAPITALS = "fe se xl ue nfc tv hd uhd qled oled led lte mp gb tb ram rom cpu gpu usb hdmi".split()
+MAKER, OWN_LINES = "apple", ["iphone", "ipad", "macbook", "airpods", "watch", "vision"]
+#: What is no end of a short name.
+LOOSE_ENDS = " /|-,&+:."
+# Units in capitals behind a number.
+SLUG_UNITS = ["gb", "tb", "mb", "mp", "mah", "hz", "inch"]
 LONGEST = 32
 # Hosts that only pass a visit on.
 RELAYS = r"(^|\.)google\.com$|^(www\.)?google\.[a-z.]{2,8}$|(^|\.)(googleadservices\.com|googlesyndication\.com|doubleclick\.net)$"
@@ -56,17 +70,57 @@ def display_store_name(name: Column, rules: list[tuple[str, str]] = ()) -> Colum
     return chain.otherwise(cut)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _begins_specs(words: Column) -> Callable[[Column, Column], Column]:
+    """Whether a word other than the first begins the specifications."""
+
+    def test(word: Column, i: Column) -> Column:
+        pair = F.concat(word, F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit("")))
+        return (i > 0) & (word.isin(SPEC_WORDS) | F.trim(pair).isin(SPEC_PAIRS) | pair.rlike(SPEC_MEASURES))
+
+    return test
+
+
+def _written(word: Column, i: Column) -> Column:
+    low = F.lower(word)
+    table = F.create_map(*(F.lit(x) for pair in LINES.items() for x in pair))
+    shouted = (i == 0) & (word == F.upper(word)) & (F.length(word) > 1) & low.isin(SHOUTED)
+    upper = low.isin(CAPITALS) | low.rlike(r"^\d+g$")
+    return F.coalesce(F.try_element_at(table, low), F.when(upper, F.upper(word)).when(shouted, F.initcap(word)).otherwise(word))
+
+
+def _within(words: Column) -> Column:
+    """As many whole words as fit; a first word that doesn't is cut."""
+    grown = F.transform(words, lambda w, i: F.array_join(F.slice(words, F.lit(1), i + 1), " "))
+    fit = F.filter(grown, lambda t: F.length(t) <= LONGEST)
+    whole = F.array_join(words, " ")
+    return F.when(F.length(F.coalesce(F.get(fit, F.size(fit) - 1), F.lit(""))) * 2 < LONGEST, F.substring(whole, 1, LONGEST)).otherwise(F.get(fit, F.size(fit) - 1))
+
+
 def friendly_chip(title: Column) -> Column:
-    """A short name: up to the specifications, without a trailing model code or punctuation, lines as they are written."""
-    bare = F.trim(F.regexp_replace(title, "<[^>]*>", ""))
-    cut = F.trim(F.regexp_replace(bare, SPECS, ""))
-    cut = F.regexp_replace(cut, r"(?i)-\s*[A-Z][A-Z0-9]{3,}$", "")
-    cut = F.trim(F.regexp_replace(cut, r"[\s/|,&+:.-]+$", ""))
-    first = F.regexp_extract(cut, r"^\S+", 0)
-    cut = F.concat(F.when(first.rlike("^[A-Za-z]+$") & (F.length(first) > 3), F.initcap(first)).otherwise(first), F.substring(cut, F.length(first) + 1, F.length(cut)))
-    for word, written in LINES:
-        cut = F.regexp_replace(cut, rf"(?i)\b{word}\b", written)
-    return cut
+    """A short name of a title, word by word: up to the specifications, without a code behind a dash or loose ends, as brands and lines are written, cut to ``LONGEST``."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(title, "<[^>]*>", "")), r"\s+"), lambda w: w != "")
+
+    def upto(words: Column) -> Column:
+        test = _begins_specs(F.transform(words, lambda w: F.lower(w)))
+        at = F.transform(words, lambda w, i: F.when(test(F.lower(w), i), i))
+        first = F.array_min(F.filter(at, lambda i: i.isNotNull()))
+        return F.slice(words, F.lit(1), F.coalesce(first, F.size(words)))
+
+    def named(name: Column) -> Column:
+        # a last part of four signs or more is a code
+        code = F.regexp_extract(name, "(?i)-\\s*([A-Z][A-Z0-9]{3,})$", 0)
+        name = F.rtrim(F.substring(name, F.lit(1), F.length(name) - F.length(code)), F.lit(LOOSE_ENDS))
+        shown = F.transform(F.split(name, " "), _written)
+        own = (F.size(shown) > 1) & (F.lower(shown[0]) == MAKER) & F.lower(F.get(shown, F.lit(1))).isin(OWN_LINES)
+        return F.when(own, F.slice(shown, F.lit(2), F.size(shown))).otherwise(shown)
+
+    short = _let(_let(words, upto), lambda kept: F.array_join(kept, " "))
+    return F.rtrim(_let(_let(short, named), _within), F.lit(LOOSE_ENDS))
 
 
 def chip_label(brand: Column, model: Column, title: Column) -> Column:
@@ -92,18 +146,38 @@ def is_relay(url: Column) -> Column:
     return F.coalesce(host(url).rlike(RELAYS), F.lit(False))
 
 
+def _capital(word: Column) -> Column:
+    """A word of a slug as a title has it."""
+    unit = word.rlike(rf"(?i)^\d+({'|'.join(SLUG_UNITS)})$")
+    return F.when(unit, F.upper(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20)))
+
+
 def slug_title(url: Column) -> Column:
-    """A title from the path segment with the most words; null for opaque ids, short slugs and single words."""
+    """A title from an address: from the part of its path before "dp", else from that with the most words.
+
+    Ids at its end are left out. Null for parts that are ids, short ones and single words.
+    """
     path = F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    named = F.transform(segments, lambda s: F.regexp_replace(s, r"\.[a-z]{2,4}$", ""))
-    words = lambda s: F.when(s.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), -1).otherwise(F.size(F.filter(F.split(s, "-"), lambda w: w.rlike("[A-Za-z]"))))
-    ranked = F.transform(named, lambda s, i: F.struct(words(s).alias("n"), (-i).alias("at"), s.alias("slug")))
-    best = F.array_max(ranked)["slug"]
-    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(best, r"~[A-Za-z0-9]+$", ""), r"-\d{5,}$", ""), r"-[A-Za-z0-9]{15,}$", "")
-    spaced = F.trim(F.regexp_replace(tidy, "-", " "))
-    usable = (F.length(best) >= 8) & ~best.rlike("^[A-Z0-9]{6,}$") & spaced.contains(" ")
-    return F.when(usable, F.initcap(spaced))
+    parts = F.filter(F.split(path, "/"), lambda part: part != "")
+    bare = F.transform(parts, lambda part: F.regexp_replace(part, r"\.[a-z]{2,4}$", ""))
+
+    def rank(part: Column, i: Column) -> Column:
+        words = F.size(F.filter(F.split(part, "-"), lambda w: w.rlike("[A-Za-z]")))
+        opaque = part.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+        product = F.get(bare, i + 1) == "dp"
+        return F.struct(F.coalesce(product, F.lit(False)).alias("product"), F.when(opaque, -1).otherwise(words).alias("n"), (-i).alias("at"), part.alias("slug"))
+
+    slug = F.array_max(F.transform(bare, rank))["slug"]
+
+    def titled(slug: Column) -> Column:
+        words = F.filter(F.split(F.substring_index(slug, "~", 1), "-"), lambda w: w != "")
+        last = F.get(words, F.size(words) - 1)
+        ends = (F.size(words) > 1) & (last.rlike(r"^\d{5,}$") | last.rlike("^[A-Za-z0-9]{15,}$"))
+        kept = F.when(ends, F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+        usable = (F.length(slug) >= 8) & ~slug.rlike("^[A-Z0-9]{6,}$") & (F.size(kept) > 1)
+        return F.when(usable, F.array_join(F.transform(kept, _capital), " "))
+
+    return _let(slug, titled)
 
 
 def jsonld_identifiers(html: Column) -> Column:

@@ -26,20 +26,25 @@ def price_timeseries(points: DataFrame, at: str = AS_OF, days_back: int = 90, ca
 
 
 def pending_alerts(c: Catalog) -> DataFrame:
-    """Alerts of customers whose product is now on offer at or below their target, with that offer."""
+    """Alerts of customers whose product is now on offer at or below their target, with that offer.
+
+    Only the cheapest offer of a product by country of its store meets the
+    alerts: rows are alerts times countries, not times offers.
+    """
     alerts = c.table("customer").select(
         F.col("c_custkey").alias("alert_id"),
         F.col("c_custkey").cast("string").alias("product_id"),
         (F.floor(F.abs("c_acctbal")) * 165_000).alias("target_ngn"),
         F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))).alias("wanted"),
     )
-    offers = c.live.join(c.stores, "store_id")
-    reach = F.col("wanted").isNull() | F.coalesce(F.lower("country") == F.col("wanted"), F.col("is_international"))
+    named = F.struct("ngn", "offer_id", "store_name").alias("b")
+    offers = c.live.join(c.stores, "store_id").groupBy("product_id", F.lower("country").alias("country"), "is_international").agg(F.min(named).alias("b"))
+    reach = F.col("wanted").isNull() | F.coalesce(F.col("country") == F.col("wanted"), F.col("is_international"))
     best = (
         alerts.join(offers, "product_id")
         .where(reach)
         .groupBy("alert_id", "product_id", "target_ngn")
-        .agg(F.min(F.struct("ngn", "offer_id", "store_name")).alias("b"))
+        .agg(F.min("b").alias("b"))
     )
     return best.select("alert_id", "product_id", "target_ngn", "b.ngn", "b.offer_id", "b.store_name").where("ngn <= target_ngn")
 

@@ -188,8 +188,8 @@ def q_source_suffix(spark, sf_dir):
 ADDRESS = """CASE size % 5
   WHEN 0 THEN 'https://www.google.co.uk/search?q=' || product_id
   WHEN 1 THEN 'https://www.store1.example/shop/' || replace(title, ' ', '-') || '-12345' || product_id || '.html?x=1'
-  WHEN 2 THEN 'https://shop.example/p/' || replace(title, ' ', '-') || '~p12/0a1b2c3d-0000-1111-2222-0123456789ab'
-  WHEN 3 THEN 'https://ad.doubleclick.net/' || product_id END"""
+  WHEN 2 THEN 'https://shop.example/p/' || replace(title, ' ', '-') || '-64gb~p12/0a1b2c3d-0000-1111-2222-0123456789ab'
+  WHEN 3 THEN CASE WHEN right(product_id, 1) < '5' THEN 'https://ad.doubleclick.net/' || product_id ELSE 'https://b.example/Big-' || replace(title, ' ', '-') || '/dp/a-b-c-d-e-f' END END"""
 
 
 def q_link_out(spark, sf_dir):
@@ -360,15 +360,23 @@ feats AS (SELECT product_id::BIGINT AS id, title, norm, found, signature, ngn, C
 _LABEL = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(listing, '<[^>]*>', '', 'g'), '{D.BROKEN}', '', 'g'), '{D.CONTROLS}', ' ', 'g'), '{D.HIDDEN}', '', 'g'), '\s{{2,}}', ' ', 'g'))"
 _READ = f"array_to_string(list_transform(regexp_extract_all(label, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda w: CASE WHEN regexp_matches(w, '{D.ZEROS}') THEN replace(w, '0', 'o') ELSE w END), '')"
 _SHOWN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_READ}, '{D.DASHES}+(\s*{D.DASHES}+)+', ' - ', 'g'), '^\s*{D.DASHES}+\s*', ''), '\s*{D.DASHES}+\s*$', ''), '\s{{2,}}', ' ', 'g'))"
-_FIRST = r"regexp_extract(cut, '^\S+')"
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
 
 def _chip() -> str:
-    cut = rf"""trim(regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(listing, '<[^>]*>', '', 'g')), '{D.SPECS}', '')), '(?i)-\s*[A-Z][A-Z0-9]{{3,}}$', ''), '[\s/|,&+:.-]+$', ''))"""
-    shown = rf"(CASE WHEN regexp_matches({_FIRST}, '^[A-Za-z]+$') AND length({_FIRST}) > 3 THEN upper(substr({_FIRST}, 1, 1)) || lower(substr({_FIRST}, 2)) ELSE {_FIRST} END || substr(cut, length({_FIRST}) + 1))"
-    for word, written in D.LINES:
-        shown = rf"regexp_replace({shown}, '(?i)\b{word}\b', '{written}', 'g')"
-    return f"SELECT product_id, {shown} AS chip FROM (SELECT product_id, {cut} AS cut FROM spelled)"
+    low = "lower(w)"
+    pair = "(lower(w) || ' ' || coalesce(lower(ws[i + 1]), ''))"
+    begins = f"i > 1 AND ({low} IN ({_quoted(D.SPEC_WORDS)}) OR trim({pair}) IN ({_quoted(D.SPEC_PAIRS)}) OR regexp_matches({pair}, '{D.SPEC_MEASURES}'))"
+    lines = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in D.LINES.items())
+    written = rf"""CASE WHEN {low} IN ({_quoted(list(D.LINES))}) THEN CASE {low} {lines} END WHEN {low} IN ({_quoted(D.CAPITALS)}) OR regexp_matches({low}, '^\d+g$') THEN upper(w)
+      WHEN i = 1 AND w = upper(w) AND length(w) > 1 AND {low} IN ({_quoted(D.SHOUTED)}) THEN upper(w[1]) || lower(w[2:]) ELSE w END"""
+    return rf"""SELECT product_id, rtrim(CASE WHEN length(coalesce(fit, '')) * 2 < {D.LONGEST} THEN substr(array_to_string(shown, ' '), 1, {D.LONGEST}) ELSE fit END, '{D.LOOSE_ENDS}') AS chip FROM (
+      SELECT *, list_last(list_filter(list_transform(shown, lambda w, i: array_to_string(shown[1:i], ' ')), lambda t: length(t) <= {D.LONGEST})) AS fit FROM (
+      SELECT product_id, CASE WHEN len(shown) > 1 AND lower(shown[1]) = '{D.MAKER}' AND lower(shown[2]) IN ({_quoted(D.OWN_LINES)}) THEN shown[2:] ELSE shown END AS shown FROM (
+      SELECT product_id, list_transform(string_split(rtrim(regexp_replace(name, '(?i)-\s*([A-Z][A-Z0-9]{{3,}})$', ''), '{D.LOOSE_ENDS}'), ' '), lambda w, i: {written}) AS shown FROM (
+      SELECT product_id, array_to_string(ws[1:coalesce(list_min(list_filter(list_transform(ws, lambda w, i: CASE WHEN {begins} THEN i - 1 END), lambda i: i IS NOT NULL)), len(ws))], ' ') AS name FROM (
+      SELECT product_id, list_filter(string_split_regex(trim(regexp_replace(listing, '<[^>]*>', '', 'g')), '\s+'), lambda w: w <> '') AS ws FROM spelled)))))"""
 
 
 def _cut(x: str) -> str:
@@ -390,17 +398,20 @@ def _tech() -> tuple[str, str]:
 
 
 def _link() -> str:
-    slug = rf"""CASE WHEN length(best) >= 8 AND NOT regexp_matches(best, '^[A-Z0-9]{{6,}}$') AND contains(words, ' ') THEN {_capital('words')} END"""
-    tidy = r"trim(replace(regexp_replace(regexp_replace(regexp_replace(best, '~[A-Za-z0-9]+$', ''), '-\d{5,}$', ''), '-[A-Za-z0-9]{15,}$', ''), '-', ' '))"
-    best = r"""list_sort(list_transform(generate_series(1, len(segs)), lambda i: struct_pack(n := CASE WHEN regexp_matches(segs[i], '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$') THEN -1
+    units = "|".join(D.SLUG_UNITS)
+    kept = r"CASE WHEN len(ws) > 1 AND regexp_matches(list_last(ws), '^(\d{5,}|[A-Za-z0-9]{15,})$') THEN ws[1:len(ws) - 1] ELSE ws END"
+    slug = rf"""CASE WHEN length(best) >= 8 AND NOT regexp_matches(best, '^[A-Z0-9]{{6,}}$') AND len(kept) > 1
+      THEN array_to_string(list_transform(kept, lambda w: CASE WHEN regexp_matches(w, '(?i)^\d+({units})$') THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') END"""
+    tidy = "list_filter(string_split(string_split(best, '~')[1], '-'), lambda w: w <> '')"
+    best = r"""list_sort(list_transform(generate_series(1, len(segs)), lambda i: struct_pack(product := coalesce(segs[i + 1] = 'dp', false), n := CASE WHEN regexp_matches(segs[i], '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$') THEN -1
       ELSE len(list_filter(string_split(segs[i], '-'), lambda w: regexp_matches(w, '[A-Za-z]'))) END, at := -i, slug := segs[i])), 'DESC')[1].slug"""
     segs = r"list_transform(list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '\.[a-z]{2,4}$', ''))"
     search = "CASE store WHEN 'store1' THEN 'https://store1.example/s?k=' ELSE 'https://shop2.example/find/' END || replace(url_encode(title), '%20', '+')"
     tags = " ".join(rf"WHEN regexp_matches(host, '(^|\.){n.replace('.', '[.]')}$') THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || '{t}'" for n, t in TAGS.items())
     return rf"""SELECT product_id, relay, {slug} AS slug, CASE WHEN url IS NULL OR relay THEN {search} ELSE CASE {tags} ELSE url END END AS target FROM (
-      SELECT *, {tidy} AS words FROM (SELECT *, {best} AS best, coalesce(regexp_matches(host, '{D.RELAYS}'), false) AS relay FROM (
+      SELECT *, {kept} AS kept FROM (SELECT *, {tidy} AS ws FROM (SELECT *, {best} AS best, coalesce(regexp_matches(host, '{D.RELAYS}'), false) AS relay FROM (
         SELECT *, {segs} AS segs, lower(nullif(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1), '')) AS host, CASE WHEN size % 2 = 0 THEN 'store1' ELSE 'shop2' END AS store
-        FROM (SELECT *, {ADDRESS} AS url FROM products))))"""
+        FROM (SELECT *, {ADDRESS} AS url FROM products)))))"""
 
 
 SUPPLIER = "lower(regexp_replace(store_name, '#0*', ' ', 'g'))"

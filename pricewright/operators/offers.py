@@ -153,14 +153,11 @@ def q_browse_stores(spark, sf_dir):
 
 
 def q_store_facets(spark, sf_dir):
-    """One pass: a filtered count, stores without hits stay."""
+    """One pass: a filtered count, stores without hits stay. Offers are counted by store before they meet it."""
     c = Catalog(spark, sf_dir)
     hit = (F.col("discount") >= 5) & F.col("in_stock")
-    return (
-        c.offers.join(c.stores, "store_id")
-        .groupBy("store_id", "store_name")
-        .agg(F.count_if(hit).alias("n_deals"), F.count_if("in_stock").alias("n_live"), F.max("discount").alias("top_discount"))
-    )
+    counted = c.offers.groupBy("store_id").agg(F.count_if(hit).alias("n_deals"), F.count_if("in_stock").alias("n_live"), F.max("discount").alias("top_discount"))
+    return counted.join(c.stores.select("store_id", "store_name"), "store_id")
 
 
 def q_origin_counts(spark, sf_dir):
@@ -191,10 +188,10 @@ def q_rollup_category(spark, sf_dir):
 
 def q_rollup_store(spark, sf_dir):
     c = Catalog(spark, sf_dir)
-    rows = c.live.join(c.products.select("product_id", "category"), "product_id").join(c.stores, "store_id")
-    return rows.groupBy(F.coalesce("country", F.lit("global")).alias("country"), "category", F.lower("store_name").alias("store")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("discount") > 0).alias("n_deals")
-    )
+    rows = c.live.join(c.products.select("product_id", "category"), "product_id")
+    counted = rows.groupBy("store_id", "category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("discount") > 0).alias("n_deals"))
+    named = counted.join(c.stores, "store_id")
+    return named.groupBy(F.coalesce("country", F.lit("global")).alias("country"), "category", F.lower("store_name").alias("store")).agg(F.sum("n").alias("n"), F.sum("n_deals").alias("n_deals"))
 
 
 def q_brand_rollup(spark, sf_dir):

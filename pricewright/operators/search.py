@@ -77,13 +77,17 @@ def similar_pairs(titles: DataFrame, least: float) -> DataFrame:
     frequent trigrams pair few titles and no pair is lost.
     """
     one = titles.select("title").distinct().select("title", T.trigrams(F.col("title")).alias("grams")).where(F.size("grams") > 0)
-    placed = one.select("title", F.explode("grams").alias("g"))
-    ranked = placed.join(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("ranked"))
+    one = materialize(one.withColumn("id", F.monotonically_increasing_id()), "titles")  # pairs are of ids; titles come last
+    placed = one.select("id", F.explode("grams").alias("g"))
+    counted = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    ranked = placed.join(counted, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("ranked"))
     few = (F.size("ranked") - F.ceil(F.size("ranked") * least - 1e-9) + 1).cast("int")
-    rare = ranked.select("title", F.col("ranked.g").alias("grams"), F.explode(F.slice("ranked.g", F.lit(1), few)).alias("g"))
-    pairs = rare.select(F.col("title").alias("a"), F.col("grams").alias("ga"), "g").join(rare.select(F.col("title").alias("b"), F.col("grams").alias("gb"), "g"), "g")
-    similar = F.round(T.similarity(F.col("ga"), F.col("gb")), 6)
-    return pairs.where("a < b").withColumn("similar", similar).where(F.col("similar") >= least).select("a", "b", "similar").distinct()
+    rare = ranked.select("id", F.explode(F.slice("ranked.g", F.lit(1), few)).alias("g"))
+    pairs = rare.select(F.col("id").alias("x"), "g").join(rare.select(F.col("id").alias("y"), "g"), "g").where("x < y").select("x", "y").distinct()
+    x, y = (one.select(F.col("id").alias(e), F.col("title").alias(f"t{e}"), F.col("grams").alias(f"g{e}")) for e in "xy")
+    similar = F.round(T.similarity(F.col("gx"), F.col("gy")), 6)
+    found = pairs.join(x, "x").join(y, "y").withColumn("similar", similar).where(F.col("similar") >= least)
+    return found.select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b"), "similar")
 
 
 def q_trigram_pairs(spark, sf_dir):

@@ -104,7 +104,7 @@ def test_identity_of_titles(spark):
         "apple|iphone 15 pro max", "lg|oled55c3|55in", None, None, "nokia|ab1200",
     ]
     clash = lambda a, b: one(spark, I.tech_conflict(T.strip_punct(F.col("a")), T.strip_punct(F.col("b"))), a=a, b=b)
-    assert clash("phone S23", "phone S24") and not clash("S24 5G", "S23") and not clash("x 4gb 64gb", "x 8gb 128gb") and clash("LG oled tv", "Samsung oled tv") and not clash("sharp design", "sony design")
+    assert clash("phone S23", "phone S24") and clash("S24 5G", "S23") and not clash("S24 AB1", "S23") and not clash("x 4gb 64gb", "x 8gb 128gb") and clash("LG oled tv", "Samsung oled tv") and not clash("sharp design", "sony design")
     assert clash("watch gen 4", "watch generation 5") and not clash("film 4k", "film 8k")
     assert one(spark, F.array_join(I.size_tokens(F.col("t")), ","), t="10ml20ml") == "10ml,20ml"
     assert clash("LG oled tv", "LG qled tv") and clash("x 64gb", "x 128gb") and not clash("LG oled tv", "LG tv") and clash("series 6", "series 7")
@@ -117,12 +117,19 @@ def test_shown_titles_and_links(spark):
     from pricewright.functions import display as D_
 
     shown = lambda f, t: one(spark, f(F.col("t")), t=t)
-    assert shown(D_.clean_title_display, "<b>S0es</b>\u200b - -- new") == "Soes - new" and shown(D_.clean_title_display, "Sh0es") == "Shoes"
+    assert shown(D_.clean_title_display, "<b>S0es</b>\u200b - -- new") == "S0es - new" and shown(D_.clean_title_display, "Sh0es") == "Shoes"
     assert shown(D_.clean_title_display, "Veat00l g00gle ZJM01 A0BK S0\u0001x") == "Veatool google ZJM01 A0BK S0 x"
     assert shown(D_.clean_title_display, " | Red – | shoe\ufffd - ") == "Red - shoe" and shown(D_.sanitize_label, "a\u0001b - - c") == "a b - - c"
     joined = "क्\u200dष \U0001f468\u200d\U0001f469 می\u200cخواهم"
     assert shown(D_.clean_title_display, f"{joined}\u202e\u200b") == joined
-    assert shown(D_.friendly_chip, "samsung Galaxy A06-A065F") == "Samsung Galaxy A06" and shown(D_.friendly_chip, "apple IPHONE 15 128GB blue") == "Apple iPhone 15"
+    chips = {
+        "SAMSUNG Galaxy A06-A065F Android Mobile Smart Phone": "Samsung Galaxy A06", "Apple iPhone 17 Pro": "iPhone 17 Pro", "APPLE AIRPODS 4": "AirPods 4", "JBL Go 4 Portable Bluetooth Speaker": "JBL Go 4",
+        "Samsung Galaxy A26 5g - 6.7 inch": "Samsung Galaxy A26 5G", "Galaxy S25 Fe": "Galaxy S25 FE", "<b>Nike</b> shoe with 2 laces": "Nike shoe", "x" * 50: "x" * 32, "": "",
+        "Some very long name of a thing that goes on": "Some very long name of a thing",
+    }
+    assert {t: shown(D_.friendly_chip, t) for t in chips} == chips
+    assert shown(D_.slug_title, "https://a.b/samsung-galaxy-a06-128gb-blue-356834.html") == "Samsung Galaxy A06 128GB Blue"
+    assert shown(D_.slug_title, "https://a.b/Red-Shoe/dp/B07PXGQC1Q") == "Red Shoe" and shown(D_.slug_title, "https://a.b/dp/B07PXGQC1Q") is None
     assert shown(D_.display_store_name, None) == "" and shown(D_.display_store_name, "Shop - the best") == "Shop" and len(shown(D_.display_store_name, "x" * 50)) == 32
     assert shown(D_.slug_title, "https://a.b/p/red-big-shoe/bc189cd2-fca4-4021-aaaa-0123456789ab") == "Red Big Shoe"
     assert shown(D_.slug_title, "https://a.b/p/ABC12345") is None and shown(D_.slug_title, None) is None
