@@ -24,6 +24,29 @@ def test_gates(spark):
     assert value(spark, G.tight_signature(a, ["tv"]), "acme|x1") and not value(spark, G.tight_signature(a, ["tv"]), "acme|tv") and not value(spark, G.tight_signature(a, []), "acme")
 
 
+def test_listing_classifiers(spark):
+    a, b = F.col("a"), F.col("b")
+    accessory = {"Replacement Earpads for Bose": True, "Hülle case für Sony": True, "Battery for Astro A50": True, "Anker PowerCore Battery": False, "iPhone 15 with charging case": False, "Water bottle pouch": True, None: False}
+    assert {t: value(spark, G.is_accessory(a), t) for t in accessory} == accessory
+    noise = {"New battery For Apple macbook air": True, "Grip for AirPods Max": True, "iPhone 15 Pro Max Mainboard 256GB": True, "ASUS ROG Z790 Motherboard": False, "Motherboard for iPhone 15": True, "suitcase": False, None: False}
+    assert {t: value(spark, G.is_noise(a), t) for t in noise} == noise
+    assert value(spark, G.is_suspicious(a), "Apple MacBook Neo A18 Pro") and value(spark, G.is_suspicious(a), "iPhone 15 clone Android") and not value(spark, G.is_suspicious(a), "MacBook Pro M4")
+    assert value(spark, G.is_used(a, b), "Phone", "Back Market DE") and value(spark, G.is_used(a, b), "Open-box TV", None) and not value(spark, G.is_used(a, b), "unused Grade A++ fridge", "Shop")
+    assert value(spark, G.is_quality(a, b), "TV with 2 year warranty", "x") and not value(spark, G.is_quality(a, b), "Extended warranty", "x")
+
+
+def test_price_floors(spark):
+    from pricewright.operators import quality as Q
+
+    lines = spark.createDataFrame([("phone 15 pro", 0, 900), ("phone 15", 1, 600)], "name string, rank int, floor long")
+    kinds = spark.createDataFrame([("audio", 5)], "category string, floor long")
+    rows = [("The PHONE 15 Pro", "audio", 899.0), ("phone 15", None, 600.0), ("ear", "audio", 5.0), ("thing", "x", 999.0), (None, "audio", 4.0), ("ear", "audio", None)]
+    got = Q.plausible(spark.createDataFrame(rows, "title string, category string, price double"), lines, kinds)
+    assert sorted((r.title or "", r.price or 0, r.floor, r.plausible) for r in got.collect()) == sorted(
+        [("The PHONE 15 Pro", 899.0, 900, False), ("phone 15", 600.0, 600, True), ("ear", 5.0, 5, True), ("thing", 999.0, 1000, False), ("", 4.0, 5, False), ("ear", 0, 5, False)]
+    )
+
+
 def test_money(spark):
     rows = spark.createDataFrame([("NGN", 3300.0), ("GBP", 7.9), (None, 5.0), ("XXX", 2.0)], "currency string, price double")
     got = M.with_rate(rows, fx_rates(spark)).select(F.round(M.usd_price(F.col("price"), F.col("rate")), 6).alias("usd")).collect()
