@@ -261,14 +261,15 @@ def _decode(path: str, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _open(path, threads)
         for batch in batches:
-            texts = codec.decode([i or [] for i in batch.column("ids").to_pylist()])
+            known = range(len(codec.bytes))
+            texts = codec.decode([[x for x in i or [] if x in known] for i in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
-    """doc_id and text of rows with ids; null ids are an empty text."""
+    """doc_id and text of rows with ids; null ids are an empty text, and ids that the vocabulary lacks are left out."""
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path, threads), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 

@@ -34,8 +34,13 @@ def test_stages_keep_the_columns(spark, make, edge_rows, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    got = last(spark, docs, sf_dir)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity", "ids"]
+    rows = got.collect()
+    assert len(rows) == len(edge_rows) and all(r.parity for r in rows) and last(spark, docs.limit(0), sf_dir).count() == 0
 
 
 def test_one_query_for_each_operator():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)

@@ -103,3 +103,11 @@ def test_codec_is_the_pipeline():
     assert codec.encode(texts) == [e.ids for e in codec.whole.encode_batch(texts, add_special_tokens=False)]
     broken = [[3 + 0xC3, 3 + 0x28], [], [5]]
     assert codec.decode(broken) == codec.whole.decode_batch(broken, skip_special_tokens=False)
+
+
+def test_decode_leaves_out_unknown_ids(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    (row,) = sp.encode(spark.createDataFrame([(1, "two words")], "doc_id long, text string"), path).collect()
+    ids = [(1, [10**6, *row.ids, -1, None]), (2, None), (3, []), (4, [None])]
+    got = {r.doc_id: r.text for r in sp.decode(spark.createDataFrame(ids, "doc_id long, ids array<int>"), path).collect()}
+    assert got == {1: "two words", 2: "", 3: "", 4: ""}
