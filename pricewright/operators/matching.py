@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,12 +116,25 @@ def space_out(rows: DataFrame, gap: int, limit: int) -> DataFrame:
     """
 
     def place(top: pd.DataFrame) -> pd.DataFrame:
-        left, out = top.sort_values("pos").to_dict("records"), []
-        while left:
-            recent = {r["store_id"] for r in out[len(out) - gap :]} if gap else set()
-            i = next((i for i, r in enumerate(left) if r["store_id"] not in recent), 0)
-            out.append(left.pop(i))
-        return pd.DataFrame({"offer_id": [r["offer_id"] for r in out], "store_id": [r["store_id"] for r in out], "place": range(1, len(out) + 1)})
+        top = top.sort_values(["pos", "offer_id"])
+        offers, stores = top["offer_id"].tolist(), top["store_id"].tolist()
+        queues: dict[str, deque] = defaultdict(deque)
+        for i, store in enumerate(stores):
+            queues[store].append(i)
+        heads, out = [q.popleft() for q in queues.values()], []
+        heapify(heads)  # the first row left of each store
+        while heads:
+            recent = {stores[i] for i in out[len(out) - gap :]} if gap else set()
+            passed = []
+            while heads and stores[heads[0]] in recent:
+                passed.append(heappop(heads))
+            pick = heappop(heads) if heads else passed.pop(0)
+            out.append(pick)
+            if queues[stores[pick]]:
+                heappush(heads, queues[stores[pick]].popleft())
+            for i in passed:
+                heappush(heads, i)
+        return pd.DataFrame({"offer_id": [offers[i] for i in out], "store_id": [stores[i] for i in out], "place": range(1, len(out) + 1)})
 
     top = rows.orderBy("pos", "offer_id").limit(limit).select("offer_id", "store_id", "pos").withColumn("one", F.lit(1))
     return top.groupBy("one").applyInPandas(place, "offer_id string, store_id string, place int")
@@ -435,5 +451,14 @@ ORACLES = {
         )
         + ")"
     ),
+    "store_spacing": sql(
+        """SELECT o.offer_id AS offer_id, o.store_id AS store_id, place::INT AS place FROM (SELECT unnest(out) AS o, unnest(generate_series(1, len(out))) AS place FROM fold WHERE len(rest) = 0)""",
+        """top AS (SELECT list({'offer_id': offer_id, 'store_id': store_id} ORDER BY pos, offer_id) AS rest FROM (SELECT offer_id, store_id, -discount AS pos FROM live ORDER BY pos, offer_id LIMIT 200)),
+        fold(rest, out) AS (
+          SELECT rest, rest[1:0] FROM top
+          UNION ALL SELECT rest[1:i - 1] || rest[i + 1:], out || [rest[i]] FROM (
+            SELECT rest, out, greatest(coalesce(list_position(list_transform(rest, lambda x: NOT list_contains(list_transform(out[greatest(len(out) - 1, 1):], lambda y: y.store_id), x.store_id)), true), 1), 1) AS i FROM fold WHERE len(rest) > 0)
+        )""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "seeded_hash_order": sql("SELECT product_id, md5(product_id || '/42') AS rank FROM products ORDER BY rank LIMIT 100"),
 }
