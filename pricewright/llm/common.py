@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as word arrays at a time.
 CHUNK_BYTES = 2 << 20
+#: Rows in an Arrow batch of whole texts.
+BATCH_ROWS = 500
 #: Groups of more rows than this share of all are joined by broadcast.
 SHARE = 1000
 #: Bytes of one long text that are split into words at a time.
@@ -35,6 +38,18 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it Arrow batches of what is written have at most ``most`` rows, so a task's buffers hold few whole texts; the setting before is restored."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit hash of ``columns``, never null. It tells rows of one doc_id apart: join by doc_id (null-safe) and key."""
     return F.xxhash64(*columns)

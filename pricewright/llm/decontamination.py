@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import ALNUM, chunks, load, raw, row_key, runs, values, words
+from pricewright.llm.common import ALNUM, chunks, load, raw, row_key, runs, small_batches, values, words
 from pricewright.session import materialize
 
 WINDOW = 13
@@ -280,15 +280,16 @@ def decontaminate(
     occurs when one does. A null document has no words; repeated rows give a
     row each; null doc_ids are kept.
     """
-    plan = Plan(docs, benchmark, window, rarest, near_terms, block_bytes)
-    index = build_index(docs, plan.asked)
-    places = alignments(index, *plan.exact).groupBy("doc_id", "key", "item").agg(F.collect_list("diagonal").alias("diagonals"))
-    named = places.join(plan.items.select("item", "item_id", F.col("text").alias("item_text")), "item")
-    found = named.groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("found"))
-    near = proximity(index, *plan.near, slop).join(plan.items.select("item", "item_id"), "item")
-    counted = near.groupBy("doc_id", "key").agg(F.count_distinct("item_id").alias("n_near"))
-    each = materialize(found.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "of"), "aligned")
-    close = materialize(counted.withColumnRenamed("doc_id", "id2").withColumnRenamed("key", "of2"), "near")
+    with small_batches(docs.sparkSession):
+        plan = Plan(docs, benchmark, window, rarest, near_terms, block_bytes)
+        index = build_index(docs, plan.asked)
+        places = alignments(index, *plan.exact).groupBy("doc_id", "key", "item").agg(F.collect_list("diagonal").alias("diagonals"))
+        named = places.join(plan.items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+        found = named.groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("found"))
+        near = proximity(index, *plan.near, slop).join(plan.items.select("item", "item_id"), "item")
+        counted = near.groupBy("doc_id", "key").agg(F.count_distinct("item_id").alias("n_near"))
+        each = materialize(found.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "of"), "aligned")
+        close = materialize(counted.withColumnRenamed("doc_id", "id2").withColumnRenamed("key", "of2"), "near")
     keyed = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
     joined = keyed.join(each, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     joined = joined.join(close, (F.col("key") == F.col("of2")) & F.col("doc_id").eqNullSafe(F.col("id2")), "left")
