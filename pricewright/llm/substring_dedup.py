@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import chunks, gram_hashes, left_join_by_size, load, raw, row_key, runs, values, words
+from pricewright.llm.common import chunks, factors, gram_hashes, left_join_by_size, load, mix, raw, row_key, runs, values, words
 from pricewright.session import materialize, scratch_root
 
 WINDOW = 13
@@ -53,19 +53,20 @@ SEEDS = "grp long, key long, doc_id long, pos int, also array<int>, more binary"
 WINDOWS = "grp long, grp2 int, key long, doc_id long, pos int, also array<int>, more binary"
 
 
-def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """For each window of words, where its anchor starts."""
-    grams = gram_hashes(hashes, anchor, 1)
-    wide = window - anchor + 1
-    n = len(grams) - wide + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    best, at = grams[:n].copy(), np.zeros(n, np.int64)
+def anchors(grams: np.ndarray, wide: int) -> np.ndarray:
+    """For each run of ``wide`` grams, where its anchor is: the first of the least."""
+    n = max(0, len(grams) - wide + 1)
+    best, at = grams[:n].copy(), np.zeros(n, np.int16)
     for j in range(1, wide):
         less = grams[j : j + n] < best
-        best[less] = grams[j : j + n][less]
+        np.copyto(best, grams[j : j + n], where=less)
         at[less] = j
-    return at + np.arange(n)
+    return at + np.arange(n, dtype=np.int32)
+
+
+def in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows by doc_id, so that the first of equal things in a part is that of its smallest document."""
+    return batch.take(pa.array(np.argsort(values(batch, "doc_id"), kind="stable")))
 
 
 class Part:
@@ -80,10 +81,21 @@ class Part:
         self.base = np.append(0, np.cumsum([len(x) for x in each]))
         self.flat = np.concatenate(each) if each else np.empty(0, np.int32)
         self.hashes = table[self.flat]
-
-    def of(self, own: int) -> np.ndarray:
-        """Word hashes of a document."""
-        return self.hashes[self.base[own] : self.base[own + 1]]
+        self.owner = np.repeat(np.arange(len(each), dtype=np.int32), np.diff(self.base))
+
+    def seeds(self, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(grams, starts, places): the hash of every run of ``anchor`` words, where windows within a document start, and where their anchors are."""
+        grams = gram_hashes(self.hashes, anchor, 1)
+        starts = np.arange(max(0, len(self.flat) - window + 1), dtype=np.int32)
+        starts = starts[self.owner[starts] == self.owner[starts + window - 1]]
+        return grams, starts, anchors(grams, window - anchor + 1)[starts]
+
+    def contexts(self, starts: np.ndarray, window: int, seed: int) -> np.ndarray:
+        """The hash of the window at each start."""
+        total = np.zeros(len(starts), np.uint64)
+        for j, f in enumerate(factors(window, seed)):
+            total += self.hashes[starts + j] * f
+        return mix(total)
 
     def same(self, own: np.ndarray, pos: np.ndarray, other: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
         """Whether the words of two windows are the same, for each pair."""
@@ -95,7 +107,7 @@ class Part:
 
 
 def _settle(part: Part, groups: list[np.ndarray], own: np.ndarray, pos: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one part: what its own documents settle goes out packed, the rest by group.
+    """Rows of one part, in the order of its documents: what these settle goes out packed, the rest by group.
 
     With ``window``, positions whose window the smallest document of their
     group has too, word by word, are settled; without (anchors), all positions
@@ -104,7 +116,7 @@ def _settle(part: Part, groups: list[np.ndarray], own: np.ndarray, pos: np.ndarr
     if not len(pos):
         return
     doc = part.docs[own]
-    order = np.lexsort((own, doc, *groups[::-1]))
+    order = np.argsort(groups[0], kind="stable")  # by document within a group
     new = np.zeros(len(order), bool)
     new[0] = True
     for g in groups:
@@ -128,13 +140,13 @@ def _settle(part: Part, groups: list[np.ndarray], own: np.ndarray, pos: np.ndarr
     for i in np.flatnonzero(size > 1):
         also[i] = np.unique(pos[picked[cut[i] + 1 : cut[i] + size[i]]]).tolist()
     picked = picked[cut]
-    tidy = np.lexsort((pos[picked], own[picked]))  # rows of a document compress well together
+    tidy = np.argsort((own[picked].astype(np.int64) << 32) | pos[picked])  # rows of a document compress well together
     picked = picked[tidy]
     rest = pa.array(pos[picked], pa.int32()), pa.array([also[i] for i in tidy], pa.list_(pa.int32())), pa.nulls(len(cut), pa.binary())
     yield _batch(part, [g[picked] for g in groups], own[picked], *rest)
     sure = order[known]
     if len(sure):
-        sure = sure[np.lexsort((pos[sure], own[sure]))]
+        sure = sure[np.argsort((own[sure].astype(np.int64) << 32) | pos[sure])]
         cut = np.flatnonzero(np.append(True, own[sure][1:] != own[sure][:-1]))
         packed = pa.array([np.unique(x).astype("<i4").tobytes() for x in np.split(pos[sure], cut[1:])], pa.binary())
         spread = [part.keys[own[sure][cut]].view(np.uint64) for _ in groups]
@@ -168,15 +180,13 @@ def _seed(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, limit=PART_BYTES):
-                part, found = Part(piece), []
-                for own in np.flatnonzero(part.docs != NO_ID):
-                    hashes = part.of(own)
-                    at = np.unique(anchors(hashes, window, anchor))
-                    if len(at):
-                        found.append((gram_hashes(hashes, anchor, 1)[at], np.full(len(at), own), at.astype(np.int32)))
-                if found:
-                    grams, own, pos = (np.concatenate(x) for x in zip(*found))
-                    yield from _settle(part, [grams], own, pos, 0)
+                part = Part(in_order(piece))
+                grams, _, at = part.seeds(window, anchor)
+                at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at  # neighbouring windows share anchors
+                own = part.owner[at]
+                some = part.docs[own] != NO_ID
+                at, own = at[some], own[some]
+                yield from _settle(part, [grams[at]], own, at - part.base[own], 0)
 
     return run
 
@@ -187,21 +197,29 @@ def _positions(pos, more) -> np.ndarray:
     return np.unique(np.concatenate(at))
 
 
+def _marked(part: Part, piece: pa.RecordBatch) -> np.ndarray:
+    """Which words of a part are at the positions of its rows."""
+    marks = np.zeros(len(part.flat), bool)
+    for own, (pos, more) in enumerate(zip(piece.column("pos"), piece.column("more"))):
+        base = part.base[own]
+        if pos.values is not None and len(pos.values):
+            marks[base + pos.values.to_numpy(zero_copy_only=False)] = True
+        for m in more.as_py() or ():
+            marks[base + np.frombuffer(m, "<i4")] = True
+    return marks
+
+
 def _context(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, limit=PART_BYTES):
-                part, found = Part(piece), []
-                places = zip(piece.column("pos").to_pylist(), piece.column("more").to_pylist())
-                for own, (pos, more) in enumerate(places):
-                    hashes = part.of(own)
-                    at = np.flatnonzero(np.isin(anchors(hashes, window, anchor), _positions(pos, more)))
-                    if len(at):
-                        one, two = gram_hashes(hashes, window, 2)[at], gram_hashes(hashes, window, 3)[at] >> np.uint64(32)
-                        found.append((one, two, np.full(len(at), own), at.astype(np.int32)))
-                if found:
-                    one, two, own, pos = (np.concatenate(x) for x in zip(*found))
-                    yield from _settle(part, [one, two], own, pos, window)
+                piece = in_order(piece)
+                part = Part(piece)
+                _, starts, at = part.seeds(window, anchor)
+                starts = starts[_marked(part, piece)[at]]
+                own = part.owner[starts]
+                one, two = part.contexts(starts, window, 2), part.contexts(starts, window, 3) >> np.uint64(32)
+                yield from _settle(part, [one, two], own, starts - part.base[own], window)
 
     return run
 
