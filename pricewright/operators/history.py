@@ -13,16 +13,17 @@ def price_timeseries(points: DataFrame, at: str = AS_OF, days_back: int = 90, ca
     """Cheapest price by product and day, each observation carried for ``carry`` days.
 
     Instead of a range join with a day spine, an observation explodes to the
-    days it may stand for, clipped to the spine, and the latest by day and
-    offer wins: an aggregation on equal keys. Days without a live observation
-    have no row.
+    days it stands for: until the next one of its offer, clipped to the spine.
+    So an offer has one row a day at most, and days are put together by
+    partial aggregation. Days without a live observation have no row.
     """
     last, first = F.to_date(as_of(at)), F.date_sub(F.to_date(as_of(at)), days_back)
     seen = points.withColumn("obs", F.to_date("recorded_at")).where((F.col("obs") > F.date_sub(first, carry)) & (F.col("obs") <= last))
-    span = F.sequence(F.greatest("obs", first), F.least(F.date_add("obs", carry - 1), last))
-    carried = seen.where(F.date_add("obs", carry - 1) >= first).withColumn("day", F.explode(span))
-    newest = carried.groupBy("product_id", "store_id", "day").agg(F.max_by("ngn", F.struct("recorded_at", "order_no", "line_no")).alias("ngn"))
-    return newest.groupBy("product_id", "day").agg(F.min("ngn").alias("low_ngn"), F.countDistinct("store_id").alias("n_stores"))
+    by = Window.partitionBy("product_id", "store_id").orderBy("recorded_at", "order_no", "line_no")
+    held = seen.select("product_id", "store_id", "ngn", "obs", F.date_sub(F.lead("obs").over(by), 1).alias("until"))
+    held = held.withColumns({"from": F.greatest("obs", first), "to": F.least("until", F.date_add("obs", carry - 1), last)}).where(F.col("from") <= F.col("to"))
+    daily = held.select("product_id", "store_id", "ngn", F.explode(F.sequence("from", "to")).alias("day"))
+    return daily.groupBy("product_id", "day").agg(F.min("ngn").alias("low_ngn"), F.count("store_id").alias("n_stores"))
 
 
 def pending_alerts(c: Catalog) -> DataFrame:
