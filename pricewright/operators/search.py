@@ -139,25 +139,38 @@ def q_category_infer(spark, sf_dir):
 
 #: Query vectors that a pass over all rows answers.
 QUERY_BLOCK = 4096
+#: Rows that a task scores at a time, and the most scores that it holds.
+ROW_BLOCK, SCORES = 4096, 1 << 20
 
 
 def _best_of_batch(ids: np.ndarray, queries: np.ndarray, score: Callable, k: int):
     """For each query the ``k`` best rows of each batch, by score and then vec_id, itself left out."""
 
+    def best_of(own: np.ndarray, vectors: np.ndarray, some_ids: np.ndarray, some_queries: np.ndarray) -> tuple[np.ndarray, ...]:
+        scores = score(vectors, some_queries)
+        scores[own[:, None] == some_ids[None]] = -np.inf
+        if len(own) > k:  # no row below the k-th best score is among the best
+            least = np.partition(scores, len(own) - k, axis=0)[len(own) - k]
+        else:
+            least = np.full(len(some_ids), -np.inf)
+        row, query = np.nonzero((scores >= least) & np.isfinite(scores))
+        value = scores[row, query]
+        order = np.lexsort((own[row], -value, query))
+        row, query, value = row[order], query[order], value[order]
+        first = np.searchsorted(query, query)  # where the rows of its query begin
+        kept = np.arange(len(query)) - first < k
+        return some_ids[query[kept]], own[row[kept]], value[kept]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column("vec_id").to_numpy()
-            vectors = batch.column("embedding")
-            scores = score(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1), queries)
-            scores[own[:, None] == ids[None]] = -np.inf
-            order = np.argsort(own, kind="stable")
-            best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
-            value = np.take_along_axis(scores, best, 0)
-            some = np.isfinite(value)
-            columns = np.broadcast_to(ids, best.shape)[some], own[best][some], value[some]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q_id", "vec_id", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROW_BLOCK):
+                batch = whole.slice(start, ROW_BLOCK)
+                own = batch.column("vec_id").to_numpy()
+                vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                step = max(1, SCORES // batch.num_rows)
+                for at in range(0, len(ids), step):
+                    columns = best_of(own, vectors, ids[at : at + step], queries[at : at + step])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q_id", "vec_id", "score"])
 
     return run
 
