@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricewright.catalog import FX_RATES, USD_NGN, Catalog, sql
 from pricewright.functions import text as T
 from pricewright.operators.offers import DEALS, deals
+from pricewright.session import materialize
 
 PAGE = 20
 
@@ -82,7 +83,8 @@ def q_store_pages(spark, sf_dir):
 
 def q_deal_orders(spark, sf_dir):
     """The first fifty deals in each order."""
-    rows = scored_deals(Catalog(spark, sf_dir))
+    rows = scored_deals(Catalog(spark, sf_dir)).select("offer_id", "score", "discount", "ngn", "recorded_at", "clicks")
+    rows = materialize(rows, "scored-deals")  # every order reads it
     out = None
     for mode in ORDERS:
         top = rows.orderBy(*ordering(mode)).limit(50).select(F.lit(mode).alias("mode"), "offer_id")
