@@ -10,7 +10,10 @@ import sys
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,66 +27,102 @@ from pricewright.session import materialize, scratch_root
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHANGE = "product_id string, store_id string, seq long, cents long, currency string, sign int"
-#: Points of an offer that are still within the horizon, in order, and the last one before it.
-STATE = "seqs array<long>, times array<long>, cents array<long>, currencies array<string>"
+#: Points of a group's offers that are still within the horizon, by offer and in order, and of each offer the last one before it: an Arrow stream.
+STATE = "points binary"
 #: How long after a later one a point may come and still be put in its place.
 HORIZON = "3000 days"
+#: Groups that offers are dealt into by a hash; Python takes a group at a time. The number holds for the life of a checkpoint.
+GROUPS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+POINTS = pa.schema([("product_id", pa.string()), ("store_id", pa.string()), ("seq", pa.int64()), ("millis", pa.int64()), ("cents", pa.int64()), ("currency", pa.string())])
+#: Points of an offer in order, of repeated ones that which is held first.
+ORDER = [(name, "ascending") for name in ("product_id", "store_id", "seq", "fresh")]
+
+
+def _like_last(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether a value is that of the row before it; nulls are alike."""
+    values = column.combine_chunks()
+    now, last = values[1:], values[:-1]
+    alike = pc.if_else(pc.or_(pc.is_null(now), pc.is_null(last)), pc.and_(pc.is_null(now), pc.is_null(last)), pc.equal(now, last))
+    return np.concatenate([[False], alike.to_numpy(zero_copy_only=False).astype(bool)])[: len(values)]
+
+
+def _of_last(points: pa.Table) -> np.ndarray:
+    """Whether a point is of the same offer as the row before it."""
+    return _like_last(points["product_id"]) & _like_last(points["store_id"])
+
+
+def _changed(points: pa.Table) -> np.ndarray:
+    """Whether a point is its offer's first, or its price or currency isn't that of the one before; a null differs from nothing, and the one behind a null price is a change."""
+    if not len(points):
+        return np.zeros(0, bool)
+    cents, currency = points["cents"].combine_chunks(), points["currency"].combine_chunks()
+    other = pc.or_kleene(pc.not_equal(cents[1:], cents[:-1]), pc.not_equal(currency[1:], currency[:-1]))
+    other = pc.or_(pc.is_null(cents[:-1]), pc.fill_null(other, False))
+    return np.concatenate([[True], other.to_numpy(zero_copy_only=False).astype(bool)]) | ~_of_last(points)
+
 
 class PriceChanges(StatefulProcessor):
-    """Changes of one offer's price, corrected when points come late.
-
-    A point is a change if price or currency isn't that of the point before it.
-    One that comes late is put in its place: it may be a change itself, and
-    the one behind it may become one (sign 1) or cease to be one (sign -1). So
-    what the signs add up to doesn't depend on how points are split into
-    batches. When the watermark passes a point, a timer drops all before it, so
-    the state of an offer is its points within the horizon and one more.
+    """Changes of the prices of a group's offers, corrected when points come late.
+
+    A point is a change if price or currency isn't that of its offer's point
+    before it. One that comes late is put in its place: it may be a change
+    itself, and the one behind it may become one (sign 1) or cease to be one
+    (sign -1). So what the signs add up to doesn't depend on how points are
+    split into batches. When the watermark passes a point, a timer drops all of
+    its offer before it, so the state of an offer is its points within the
+    horizon and one more. A batch's points of a group are put in place at once,
+    as columns.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("points", STATE)
 
-    def _held(self) -> list[tuple]:
-        return list(zip(*self.state.get())) if self.state.exists() else []
+    def _held(self) -> pa.Table:
+        return pa.ipc.open_stream(self.state.get()[0]).read_all() if self.state.exists() else POINTS.empty_table()
 
-    def _keep(self, points: list[tuple]) -> None:
-        self.state.update(tuple([type(points[0][k])(p[k]) for p in points] for k in range(4)))
+    def _keep(self, points: pa.Table) -> int | None:
+        """Store a group's points; the time after which some can be dropped, if ever."""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, POINTS, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_table(points)
+        self.state.update((sink.getvalue().to_pybytes(),))
+        next_at = pc.min(points["millis"].filter(pa.array(_of_last(points)))).as_py()
+        return None if next_at is None else next_at + 1
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(s), int(t), int(c), str(k)) for s, t, c, k in self._held()]
-        before = {p[0]: changed for p, changed in self._changes(held)}
-        points = {p[0]: p for p in held}
-        for batch in rows:
-            for seq, at, cents, currency in zip(batch.seq, batch["at"], batch.cents, batch.currency):
-                points.setdefault(int(seq), (int(seq), int(pd.Timestamp(at).timestamp() * 1000), int(cents), str(currency)))
-        ordered = [points[s] for s in sorted(points)]
-        out = []
-        for point, changed in self._changes(ordered):
-            sign = int(changed) - int(before.get(point[0], False))
-            if sign:
-                out.append((*key, point[0], point[2], point[3], sign))
-        self._keep(ordered)
-        self.handle.registerTimer(ordered[0][1] + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["product_id", "store_id", "seq", "cents", "currency", "sign"])
-
-    @staticmethod
-    def _changes(points: list[tuple]) -> Iterator[tuple[tuple, bool]]:
-        last = None
-        for point in points:
-            yield point, last is None or last[2:] != point[2:]
-            last = point
+        held = self._held()
+        old = held.append_column("fresh", pa.array(np.zeros(len(held), bool))).append_column("before", pa.array(_changed(held)))
+        new = pa.concat_tables([pa.Table.from_pandas(batch, POINTS, preserve_index=False) for batch in rows])
+        new = new.append_column("fresh", pa.array(np.ones(len(new), bool))).append_column("before", pa.array(np.zeros(len(new), bool)))
+        both = pa.concat_tables([old, new])
+        both = both.take(pc.sort_indices(both, sort_keys=ORDER))
+        repeated = _of_last(both) & _like_last(both["seq"])
+        both = both.filter(pa.array(~repeated))
+        points = both.select(POINTS.names)
+        sign = _changed(points).astype("int32") - both["before"].to_numpy().astype("int32")
+        following = self._keep(points)
+        timers = list(self.handle.listTimers())
+        if following is not None and timers != [following]:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(following)
+        out = points.drop_columns("millis").append_column("sign", pa.array(sign)).filter(pa.array(sign != 0))
+        if len(out):
+            yield out.to_pandas()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, points = timerValues.getCurrentWatermarkInMs(), self._held()
-        if points:
-            done = max((i for i, p in enumerate(points) if p[1] < passed), default=0)
-            self._keep(points[done:])
-            if done + 1 < len(points):
-                self.handle.registerTimer(int(points[done + 1][1]) + 1)
+        points = self._held()
+        offer = np.cumsum(~_of_last(points)) - 1
+        passed = pc.fill_null(pc.less(points["millis"], timerValues.getCurrentWatermarkInMs()), False).to_numpy().astype(bool)
+        row = np.arange(len(points))
+        last = np.zeros(len(points), "int64")
+        np.maximum.at(last, offer[passed], row[passed])
+        following = self._keep(points.filter(pa.array(row >= last[offer])))
+        if following is not None:
+            self.handle.registerTimer(following)
         yield from ()
 
     def close(self) -> None:
@@ -95,8 +134,9 @@ def price_changes(points: DataFrame, horizon: str = HORIZON) -> DataFrame:
 
     Points later than ``horizon`` are left out.
     """
-    keyed = points.withWatermark("at", horizon).groupBy("product_id", "store_id")
-    return keyed.transformWithStateInPandas(PriceChanges(), CHANGE, "Append", "EventTime")
+    group = F.pmod(F.xxhash64("product_id", "store_id"), F.lit(GROUPS)).cast("int")
+    dealt = points.withColumns({"offers": group, "millis": F.unix_millis("at")}).withWatermark("at", horizon)
+    return dealt.groupBy("offers").transformWithStateInPandas(PriceChanges(), CHANGE, "Append", "EventTime")
 
 
 def standing(changes: DataFrame) -> DataFrame:

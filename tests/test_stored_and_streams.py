@@ -70,6 +70,75 @@ def test_changes_dont_depend_on_how_points_are_split(spark, tmp_path):
         assert n == 0 or found.where("sign < 0").count() > 0
 
 
+class Held:
+    """A group's state and timers; counts how often the state is written."""
+
+    def __init__(self):
+        self.value, self.timers, self.writes = None, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_offers_of_a_group_are_put_in_place_at_once():
+    """500 offers cost a write of state for each batch, not for each offer; what a timer drops is that of each offer."""
+    import pandas as pd
+
+    draw, held = Random(4), Held()
+    points = [(f"p{i % 100}", f"s{i // 100 % 5}", i, i * 10, draw.choice([10, 11]), draw.choice(["USD", "NGN"])) for i in range(2000)]
+    draw.shuffle(points)
+    taker = jobs.PriceChanges()
+    taker.init(held)
+    signs = {}
+    for part in (points[:700], points[600:1500], points[1500:]):
+        frames = [pd.DataFrame(rows, columns=["product_id", "store_id", "seq", "millis", "cents", "currency"]) for rows in (part[:300], part[300:])]
+        for out in taker.handleInputRows((7,), iter(frames), None):
+            for *change, sign in out.itertuples(index=False):
+                signs[tuple(change)] = signs.get(tuple(change), 0) + sign
+    assert {c for c, n in signs.items() if n} == brute_changes(points) and set(signs.values()) <= {0, 1}
+    assert held.writes == 3 and len(held.timers) == 1 and len({p[:2] for p in points}) == 500
+
+    class Passed:
+        getCurrentWatermarkInMs = staticmethod(lambda: 15_000)
+
+    assert list(taker.handleExpiredTimer((7,), Passed, None)) == []
+    left = [tuple(r.values()) for r in taker._held().to_pylist()]
+    last = {}
+    for p in sorted(points, key=lambda p: p[2]):
+        if p[3] < 15_000:
+            last[p[:2]] = p
+    assert sorted(left) == sorted(set(last.values()) | {p for p in points if p[3] >= 15_000})
+
+
+def test_a_price_that_is_missing_counts_as_in_sql(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [("p", "a", i, at + timedelta(hours=i), cents, currency) for i, (cents, currency) in enumerate([(10, "USD"), (None, "USD"), (10, "USD"), (10, "USD"), (10, None), (11, None), (11, "USD")])]
+    with jobs.state_store(spark, jobs.ROCKS):
+        found = jobs.drain(jobs.price_changes(split_stream(spark, tmp_path, rows, [[1, 2, 5], [0, 3, 4, 6]])))
+    points = spark.createDataFrame(rows, POINT)
+    points.createOrReplaceTempView("some_points")
+    want = spark.sql("SELECT product_id, store_id, seq, cents, currency FROM (SELECT *, lag(cents) OVER w AS c, lag(currency) OVER w AS k FROM some_points WINDOW w AS (PARTITION BY product_id, store_id ORDER BY seq)) WHERE c IS NULL OR c <> cents OR k <> currency")
+    assert {tuple(r) for r in jobs.standing(found).collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_state_keeps_the_last_point_behind_the_horizon(spark, tmp_path):
     """Batches a year apart with a horizon of a day: the base price stays known, so an equal price is no change."""
     at = lambda days: datetime(2024, 1, 1) + timedelta(days=days)
