@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricewright.functions.text import let
+
 # Characters that mean broken text, those that stand for a space, and invisible ones that reorder or hide what is shown. The joiners U+200C and U+200D stay: Indic and Arabic text and emoji need them.
 BROKEN = r"\x{FFFD}"
 CONTROLS = r"[\x{0000}-\x{001F}\x{007F}]"
@@ -38,15 +40,20 @@ RELAYS = r"(^|\.)google\.com$|^(www\.)?google\.[a-z.]{2,8}$|(^|\.)(googleadservi
 
 def sanitize_label(text: Column) -> Column:
     """Markup, broken and hidden characters out, controls as spaces, spaces collapsed. Joiners stay."""
-    bare = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), BROKEN, "")
-    bare = F.regexp_replace(F.regexp_replace(bare, CONTROLS, " "), HIDDEN, "")
+    bare = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), CONTROLS, " ")
+    bare = F.regexp_replace(bare, f"{BROKEN}|{HIDDEN}", "")
     return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
 
 
 def _zeros_read(text: Column) -> Column:
     """Zeros as o in the words of letters that have them. Words and what stands between them alternate."""
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(ZEROS), F.replace(w, F.lit("0"), F.lit("o"))).otherwise(w)), "")
+
+    def read(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+        spelled = F.transform(words, lambda w: F.when(w.contains("0") & w.rlike(ZEROS), F.replace(w, F.lit("0"), F.lit("o"))).otherwise(w))
+        return F.when(text.contains("0"), F.array_join(spelled, "")).otherwise(text)
+
+    return let(text, read)
 
 
 def clean_title_display(title: Column) -> Column:
@@ -70,13 +77,8 @@ def display_store_name(name: Column, rules: list[tuple[str, str]] = ()) -> Colum
     return chain.otherwise(cut)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value``, which is worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _begins_specs(words: Column) -> Callable[[Column, Column], Column]:
-    """Whether a word other than the first begins the specifications."""
+    """Whether one of ``words``, in small letters, begins the specifications; the first doesn't."""
 
     def test(word: Column, i: Column) -> Column:
         pair = F.concat(word, F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit("")))
@@ -95,10 +97,12 @@ def _written(word: Column, i: Column) -> Column:
 
 def _within(words: Column) -> Column:
     """As many whole words as fit; a first word that doesn't is cut."""
-    grown = F.transform(words, lambda w, i: F.array_join(F.slice(words, F.lit(1), i + 1), " "))
-    fit = F.filter(grown, lambda t: F.length(t) <= LONGEST)
+    # every word but the first takes two signs at least, with the space before it
+    few = F.slice(words, 1, LONGEST)
+    grown = F.transform(few, lambda w, i: F.array_join(F.slice(few, F.lit(1), i + 1), " "))
     whole = F.array_join(words, " ")
-    return F.when(F.length(F.coalesce(F.get(fit, F.size(fit) - 1), F.lit(""))) * 2 < LONGEST, F.substring(whole, 1, LONGEST)).otherwise(F.get(fit, F.size(fit) - 1))
+    longest = let(F.filter(grown, lambda t: F.length(t) <= LONGEST), lambda fit: F.get(fit, F.size(fit) - 1))
+    return let(longest, lambda fit: F.when(F.length(F.coalesce(fit, F.lit(""))) * 2 < LONGEST, F.substring(whole, 1, LONGEST)).otherwise(fit))
 
 
 def friendly_chip(title: Column) -> Column:
@@ -106,21 +110,21 @@ def friendly_chip(title: Column) -> Column:
     words = F.filter(F.split(F.trim(F.regexp_replace(title, "<[^>]*>", "")), r"\s+"), lambda w: w != "")
 
     def upto(words: Column) -> Column:
-        test = _begins_specs(F.transform(words, lambda w: F.lower(w)))
-        at = F.transform(words, lambda w, i: F.when(test(F.lower(w), i), i))
-        first = F.array_min(F.filter(at, lambda i: i.isNotNull()))
+        first = let(F.transform(words, F.lower), lambda low: F.array_min(F.transform(low, lambda w, i: F.when(_begins_specs(low)(w, i), i))))
         return F.slice(words, F.lit(1), F.coalesce(first, F.size(words)))
 
     def named(name: Column) -> Column:
         # a last part of four signs or more is a code
         code = F.regexp_extract(name, "(?i)-\\s*([A-Z][A-Z0-9]{3,})$", 0)
         name = F.rtrim(F.substring(name, F.lit(1), F.length(name) - F.length(code)), F.lit(LOOSE_ENDS))
-        shown = F.transform(F.split(name, " "), _written)
+        return let(F.transform(F.split(name, " "), _written), lines)
+
+    def lines(shown: Column) -> Column:
         own = (F.size(shown) > 1) & (F.lower(shown[0]) == MAKER) & F.lower(F.get(shown, F.lit(1))).isin(OWN_LINES)
         return F.when(own, F.slice(shown, F.lit(2), F.size(shown))).otherwise(shown)
 
-    short = _let(_let(words, upto), lambda kept: F.array_join(kept, " "))
-    return F.rtrim(_let(_let(short, named), _within), F.lit(LOOSE_ENDS))
+    short = let(let(words, upto), lambda kept: F.array_join(kept, " "))
+    return F.rtrim(let(let(short, named), _within), F.lit(LOOSE_ENDS))
 
 
 def chip_label(brand: Column, model: Column, title: Column) -> Column:
@@ -177,7 +181,7 @@ def slug_title(url: Column) -> Column:
         usable = (F.length(slug) >= 8) & ~slug.rlike("^[A-Z0-9]{6,}$") & (F.size(kept) > 1)
         return F.when(usable, F.array_join(F.transform(kept, _capital), " "))
 
-    return _let(slug, titled)
+    return let(slug, titled)
 
 
 def jsonld_identifiers(html: Column) -> Column:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from pricewright.catalog import LINE, Catalog
-from pricewright.operators import history, offers
+from pricewright.functions import display, text
+from pricewright.operators import history, identity, offers
 
 
 def plan(df) -> str:
@@ -28,3 +29,17 @@ def test_days_are_put_together_before_they_move(spark):
     got = {str(r.day): (r.low_ngn, r.n_stores) for r in series.collect()}
     assert (got["2001-10-01"], got["2001-10-02"], got["2001-10-03"]) == ((7, 1), (4, 2), (3, 2)) and len(got) == 23
     assert "SortAggregate" not in plan(series)
+
+
+def test_titles_are_dealt_to_all_tasks(spark, sf_dir):
+    """The file of products is one split, the work on its titles is not."""
+    c = Catalog(spark, sf_dir)
+    assert c.products.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism <= identity.spelled(c).rdd.getNumPartitions()
+    assert identity.identified(c).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_title_is_worked_on_once(spark):
+    title = spark.createDataFrame([("Samsung Galaxy A10 Plus",)], "t string")
+    steps = lambda made: title.select(made(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert steps(text.variant_tokens).count("lower(") == 1
+    assert steps(display.friendly_chip).count("split(") == 2 and steps(display.friendly_chip).count("rtrim(") + steps(display.friendly_chip).count("trim(trailing") <= 4
